@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -25,14 +26,41 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a query go when it has been written: what follows reads the written table.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, which its user sizes to the data."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def file_system(uri: str):
+    """pyarrow's file system and path for a folder that executors share."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -40,3 +68,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def crc_mod(column: str, n: int):
     """crc32 of the decimal text of an integer column, modulo n (null: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
+
+
+def tokenizer_path(name: str) -> str:
+    """The default place of a public tokenizer's file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

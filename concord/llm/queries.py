@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import documents
+from .common import documents, tokenizer_path
+
+
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import shard_report
+
+    return shard_report(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +27,42 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_report
+
+    return substring_report(documents(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_report
+
+    return media_report(documents(spark, sf_dir))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_report
+
+    return simhash_report(documents(spark, sf_dir))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import language_report
+
+    return language_report(documents(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_report
+
+    return quality_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
