@@ -1,0 +1 @@
+"""Reconciles inconsistent tabular exports into one declared contract, as Spark jobs."""
