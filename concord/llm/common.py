@@ -75,3 +75,16 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+#: Rows that go to a Python worker at once; whole texts can be long, so fewer than Spark's default of 10,000.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to BATCH_ROWS, so a worker's memory is bounded."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return df

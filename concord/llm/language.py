@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, in_small_batches
 from .wordbytes import mix
 
 BUCKETS, SIZES, PER_LABEL, EPOCHS = 1 << 16, (1, 2, 3), 1000, 3
@@ -169,4 +169,4 @@ def language_report(docs: DataFrame, model: LanguageModel | None = None) -> Data
             labels, score = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(labels, pa.string()), pa.array(score)], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return given.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_small_batches(given).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, materialise, partitions, shared_dir
+from .common import file_system, in_small_batches, materialise, partitions, shared_dir
 from .wordbytes import slices
 
 UNIT, RATE, HEADER = 64, 8000, 44
@@ -131,7 +131,7 @@ def chunk_media(docs: DataFrame, folder: str) -> DataFrame:
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     schema = "row long, doc_id long, n_bytes long, seq int, digest binary, length int, pack string, place long, packed int"
-    return materialise(given.mapInArrow(write, schema), "chunks")
+    return materialise(in_small_batches(given).mapInArrow(write, schema), "chunks")
 
 
 def chunk_lists(chunks: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_small_batches, materialise
 
 CAPACITY, INSTANCE_PIECES = 2048, 4096
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["doc_id", "number", "piece", "start", "length", "ids_crc32"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return given.mapInArrow(cut, "doc_id long, number long, piece int, start long, length long, ids_crc32 long")
+    return in_small_batches(given).mapInArrow(cut, "doc_id long, number long, piece int, start long, length long, ids_crc32 long")
 
 
 class Bins:

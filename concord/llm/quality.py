@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, in_small_batches
 from .wordbytes import hashes, rows_of, slices, words
 
 PER_CLASS, TREES, DEPTH, BINS, RATE, LAMBDA = 6000, 80, 4, 64, 0.15, 1.0
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Trees
             x = _statistics_of(batch.column("_text"))
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_y"), pa.array(list(x), pa.list_(pa.float64()))], ["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "id long, y int, x array<double>").limit(4 * per_class * max(1, len(counts))).toPandas().sort_values(["id", "y"])
+    got = in_small_batches(rows).mapInArrow(run, "id long, y int, x array<double>").limit(4 * per_class * max(1, len(counts))).toPandas().sort_values(["id", "y"])
     x = np.stack(got["x"].tolist()) if len(got) else np.zeros((0, len(STATISTICS)))
     return train(x, got["y"].to_numpy(float))
 
@@ -203,7 +203,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, model: Trees | None = Non
             score = model.score(_statistics_of(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return given.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_small_batches(given).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, model: Trees | None = None) -> DataFrame:
@@ -215,4 +215,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, model: Trees | None = None) ->
             good = model.score(_statistics_of(batch.column(batch.schema.get_field_index("text")))) >= 0.5
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
+from .common import in_small_batches
+
 #: The three base kinds in their listed order; the kinds with a checksum follow.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "checked", "xkey")
@@ -143,7 +145,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(found, _TYPE)], [*names, "secret_spans"])
 
     kept = given.drop("_scan").schema
-    return given.mapInArrow(scan, kept.add("secret_spans", SPANS_TYPE))
+    return in_small_batches(given).mapInArrow(scan, kept.add("secret_spans", SPANS_TYPE))
 
 
 def redact(text: str | None, spans, mask: str) -> str | None:
@@ -171,7 +173,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "<secret
             columns[at] = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
-    return docs.mapInArrow(scan, schema)
+    return in_small_batches(docs).mapInArrow(scan, schema)
 
 
 def joined(spans: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, materialise, partitions, shared_dir
+from .common import file_system, in_small_batches, materialise, partitions, shared_dir
 
 MAGIC = b"CSST0001"
 FOOTER = struct.Struct("<QQQQQQQ8s")
@@ -205,7 +205,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             fs.move(f"{base}/.{name}", f"{base}/{name}")
             yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "file": [name], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens], "n_bytes": [size]})
 
-    return materialise(ordered.mapInArrow(write, "shard int, file string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    return materialise(in_small_batches(ordered).mapInArrow(write, "shard int, file string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_small_batches, materialise
 from .wordbytes import _SPACE, rows_of, slices, words
 
 SHINGLE, DISTANCE, SEED, BLOCK = 3, 3, 42, 2048
@@ -112,7 +112,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp)], ["doc_id", "h", "fp"])
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), F.col("text"))
-    return given.mapInArrow(run, "doc_id long, h long, fp long")
+    return in_small_batches(given).mapInArrow(run, "doc_id long, h long, fp long")
 
 
 def _differing(a: np.ndarray, b) -> np.ndarray:

@@ -21,7 +21,7 @@ from .wordbytes import _SPACE, hashes, runs, slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Stretches kept in a worker's memory.
-MAX_KEPT = 1_000_000
+MAX_KEPT = 500_000
 _WIDE = ((0xC2, 0x85, None), (0xC2, 0xA0, None), (0xE1, 0x9A, (0x80,)), (0xE2, 0x80, (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, (0x9F,)), (0xE3, 0x80, (0x80,)))
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, shared_dir, shuffles_dropped
+from .common import in_small_batches, materialise, partitions, shared_dir, shuffles_dropped
 from .wordbytes import hashes, rows_of, slices, window_hashes, words
 
 WIDTH, ANCHOR_WORDS, FANOUT, BATCHES = 13, 5, 4, 2
@@ -72,7 +72,7 @@ def anchors(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
                 new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(content[first + r[new]])], ["anchor", "content"])
 
-    return keyed.select("content", "text").mapInArrow(run, "anchor long, content long")
+    return in_small_batches(keyed.select("content", "text")).mapInArrow(run, "anchor long, content long")
 
 
 class FingerprintIndex:
