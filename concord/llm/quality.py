@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Trees
         share = F.when(F.col("_y") == y, F.lit(min(1.0, per_class / n))).otherwise(share)
     u = F.pmod(F.xxhash64(F.lit("quality"), "_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.filter(u < share).limit(2 * per_class * max(1, len(counts)))
-    rows = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("_id")).select("_id", "_y", F.col("text").alias("_text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(sample), "_id").select("_id", "_y", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
