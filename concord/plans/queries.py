@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..contract import COMPATIBLE, ORDER, infer_contract, parse_spec, to_yaml
 from ..functions import dates, shapes, text
-from ..operators import deliver, mapping, profile, reconcile, review, validate
+from ..operators import deliver, mapping, profile, reconcile, review, rulebook, validate
 from .catalog import HEADERS, duck, headers, values, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -460,6 +460,67 @@ def rule_preview_header(spark, sf_dir):
     return changed.select("column_id", F.col("a.target").alias("before"), F.col("b.target").alias("after"))
 
 
+_SHAPES = [
+    ("r1", "HEADER_ALIAS", "s", "buyer", "orderRef", None, None, None, None), ("r2", "HEADER_ALIAS", "s", "buyer", None, None, None, None, None), ("r3", "VALUE_ALIAS", "s", None, "tier", "asap", None, None, None),
+    ("r4", "DATE_ORDER", "s", None, "placedDate", None, None, None, None), ("r5", "DATE_ORDER", "s", None, None, None, None, "day_first", None), ("r6", "COLUMN_IGNORE", "s", "", None, None, None, None, None),
+    ("r7", "OVERRIDE", "s", None, None, None, None, None, None), ("r8", "OVERRIDE", "", None, None, None, None, None, "r1"), ("r9", "DATE_ORDER", "s", None, "placedDate", None, None, "day_first", None),
+]
+
+
+@query("SELECT * FROM (VALUES ('r1', NULL), ('r2', 'needs header and field'), ('r3', 'needs field, value and canonical value'), ('r4', 'needs a reading'), ('r5', 'needs column or field'), ('r6', 'needs header'), ('r7', 'needs the rule it disables'), ('r8', 'no schema'), ('r9', NULL)) t(rule_id, lacks)")
+def rule_shape_check(spark, sf_dir):
+    names = ("rule_id", "kind", "schema_id", "header", "field_name", "value", "canonical", "date_order", "targets_rule_id")
+    return spark.createDataFrame(_SHAPES, ", ".join(f"{n} string" for n in names)).select("rule_id", rulebook.shape_error().alias("lacks"))
+
+
+@query("SELECT c_custkey, left(regexp_replace(lower(c_name || ' (' || c_mktsegment || ')'), '[^a-z0-9]+', '', 'g'), 120) AS header, c_name AS canonical, left(repeat(c_name, 20), 240) AS rationale FROM customer")
+def rule_normalise(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    padded = F.concat(F.lit("  "), "c_name", F.lit(" "))
+    rules = c.select("c_custkey", F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("header"), padded.alias("canonical"), F.repeat("c_name", F.lit(20)).alias("rationale"))
+    return rulebook.normalise_rules(rules)
+
+
+@query("WITH s AS (SELECT DISTINCT user_id, user_id % 3 + 1 AS version, 'first' AS body FROM events), c AS (SELECT e.user_id, arg_min(event_type, event_id) AS body FROM events e WHERE event_id % 3 = e.user_id % 3 GROUP BY 1) SELECT s.user_id, CAST(s.version + CASE WHEN c.user_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version, coalesce(c.body, s.body) AS body FROM s LEFT JOIN c USING (user_id)")
+def rule_version_lock(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    stored = e.select("user_id", (F.col("user_id") % 3 + 1).cast("long").alias("version"), F.lit("first").alias("body")).distinct()
+    changes = e.select("user_id", (F.col("event_id") % 3 + 1).alias("expected"), F.col("event_type").alias("body"), F.col("event_id").alias("pos"))
+    return rulebook.update_versions(stored, changes, "user_id", "body")
+
+
+@query("SELECT user_id AS owner, event_type AS targets_rule_id, 's' AS schema_id, arg_max(event_id % 3 = 0, (event_id % 2, event_id)) AS enabled FROM events GROUP BY 1, 2")
+def rule_override_toggle(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rows = e.select(F.col("user_id").alias("owner"), F.col("event_type").alias("targets_rule_id"), F.lit("s").alias("schema_id"), (F.col("event_id") % 3 == 0).alias("enabled"), F.col("event_id").alias("pos"))
+    return rulebook.toggle_overrides(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
+
+
+_SAMPLES = _CELLS + ", f AS (SELECT column_id, t AS sample, min(ord) AS o FROM cells WHERE t <> '' GROUP BY 1, 2), r AS (SELECT column_id, row_number() OVER (PARTITION BY column_id ORDER BY o, sample) AS position, sample FROM f), s AS (SELECT column_id, sample FROM r WHERE position <= 5)"
+
+
+def _own_targets(spark):
+    return spark.createDataFrame([(c, c) for c in _PROFILED], "column_id string, target string")
+
+
+@query(_SAMPLES + " SELECT column_id, sample AS before, 'urgent' AS after FROM s WHERE column_id = 'tier' AND regexp_replace(lower(sample), '[^a-z0-9]+', '', 'g') = 'asap'")
+def rule_preview_value(spark, sf_dir):
+    return rulebook.preview_value(profile.profile_samples(_cells(spark, sf_dir)), _own_targets(spark), "tier", "asap", "urgent")
+
+
+@query(_SAMPLES + f" SELECT column_id, sample AS before, {d_date('sample')['dm']} AS after FROM s WHERE column_id = 'placedDate' AND {d_date('sample')['status']} = 'ambiguous'")
+def rule_preview_date(spark, sf_dir):
+    return rulebook.preview_dates(profile.profile_samples(_cells(spark, sf_dir)), _own_targets(spark), "placedDate", "day_first")
+
+
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 NOT IN (1, 2) AND event_id % 5 <> 0")
+def decisions_that_generalise(spark, sf_dir):
+    n = F.col("event_id")
+    action = F.when(n % 4 == 1, F.lit("reject")).when(n % 4 == 2, F.lit("exclude")).otherwise(F.lit("map"))
+    d = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), action.alias("action"), F.when(n % 5 == 0, F.lit(" Date ")).otherwise(F.lit("Warehouse")).alias("header"))
+    return rulebook.generalisable(d, ORDER, ("click", "view")).select("event_id")
+
+
 @query("SELECT 'rule_' || user_id % 40 AS rule_id, CAST(count(*) + CASE WHEN user_id % 40 < 10 THEN 100 ELSE 0 END AS BIGINT) AS hits FROM events GROUP BY user_id % 40")
 def rule_hits(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.concat(F.lit("rule_"), F.col("user_id") % 40).alias("rule_id"))
