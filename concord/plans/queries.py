@@ -503,14 +503,16 @@ def _own_targets(spark):
     return spark.createDataFrame([(c, c) for c in _PROFILED], "column_id string, target string")
 
 
-@query(_SAMPLES + " SELECT column_id, sample AS before, 'urgent' AS after FROM s WHERE column_id = 'tier' AND regexp_replace(lower(sample), '[^a-z0-9]+', '', 'g') = 'asap'")
+@query(_SAMPLES + " SELECT column_id, sample AS before, 'low' AS after FROM s WHERE column_id = 'tier' AND regexp_replace(lower(sample), '[^a-z0-9]+', '', 'g') = 'notspecified'")
 def rule_preview_value(spark, sf_dir):
-    return rulebook.preview_value(profile.profile_samples(_cells(spark, sf_dir)), _own_targets(spark), "tier", "asap", "urgent")
+    return rulebook.preview_value(profile.profile_samples(_cells(spark, sf_dir)), _own_targets(spark), "tier", "notspecified", "low")
 
 
-@query(_SAMPLES + f" SELECT column_id, sample AS before, {d_date('sample')['dm']} AS after FROM s WHERE column_id = 'placedDate' AND {d_date('sample')['status']} = 'ambiguous'")
+@query(duck("li_dates") + f" SELECT DISTINCT 'c' || l_linenumber AS column_id, raw AS before, {_D['dm']} AS after FROM li_dates WHERE l_linenumber <= 3 AND {_D['status']} = 'ambiguous'")
 def rule_preview_date(spark, sf_dir):
-    return rulebook.preview_dates(profile.profile_samples(_cells(spark, sf_dir)), _own_targets(spark), "placedDate", "day_first")
+    samples = view(spark, sf_dir, "li_dates").select(F.concat(F.lit("c"), "l_linenumber").alias("column_id"), F.col("raw").alias("sample")).distinct()
+    mapped = spark.createDataFrame([(f"c{i}", "placedDate" if i <= 3 else "tier") for i in range(1, 8)], "column_id string, target string")
+    return rulebook.preview_dates(samples, mapped, "placedDate", "day_first")
 
 
 @query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 NOT IN (1, 2) AND event_id % 5 <> 0")
