@@ -7,6 +7,9 @@ a run of its own, which is merge-joined with itself and with the runs before it
 buckets); anchors that two contents share are candidates. When ``fanout`` runs have gathered they are compacted
 into one.
 
+An index that goes from call to call also keeps the texts of its batches: a later batch is verified against them, and
+its rows are those of one call over all batches. Rows of earlier calls are not revised, so batches come by ascending doc_id.
+
 Only documents with candidates give windows, and only those at shared anchors. Their hashes meet by anchor, sorted
 by doc_id: windows count as equal if both 64-bit hashes, of the 13 words and of the anchor's, agree, and the words of
 a later document's window are marked. Copies of a whole text need no windows: all but the first go by their content.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +85,13 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.buckets, self.fanout = spark, buckets or partitions(spark), fanout
         self.runs: list[str] = []
+        self.texts: list[DataFrame] = []
+        self.blind = False
+
+    def hold(self, keyed: DataFrame) -> DataFrame:
+        """Keeps the key, content and text of a batch for the verification of later ones; the kept batch."""
+        self.texts.append(materialise(keyed.select("key", "content", "text"), "texts"))
+        return self.texts[-1]
 
     def _write(self, rows: DataFrame) -> str:
         name = f"anchors_{uuid.uuid4().hex}"
@@ -89,9 +100,10 @@ class FingerprintIndex:
             ready.write.option("path", shared_dir(self.spark, name)).option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         return name
 
-    def add(self, rows: DataFrame) -> DataFrame:
+    def add(self, rows: DataFrame, held: bool = False) -> DataFrame:
         """Writes a run for the batch; the (anchor, content) rows, of the batch and of history, at anchors of the batch that
-        more than one content has."""
+        more than one content has. ``held``: the texts behind the rows are at hand for verification."""
+        self.blind |= not held
         name = self._write(rows)
         new = self.spark.table(name)
         history = [self.spark.table(x) for x in self.runs]
@@ -183,11 +195,20 @@ def later_windows(candidates: DataFrame) -> DataFrame:
 
 
 def substring_marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
-    """key, content, copy, spans: documents that lose words. The documents enter the index in ``batches`` of ascending doc_id."""
+    """key, content, copy, spans: documents that lose words. The documents enter the index in ``batches`` of ascending doc_id
+    and are judged against what it held before, too."""
     keyed = _keyed(docs)
-    index = index or FingerprintIndex(docs.sparkSession)
+    texts = keyed
+    if index is None:
+        index = FingerprintIndex(docs.sparkSession)  # ends with this call, so no later one needs the texts
+    elif index.blind:
+        raise ValueError("the index has runs whose texts it does not hold; matches with them cannot be verified")
+    else:
+        keyed = index.hold(keyed)
+        texts = reduce(DataFrame.unionByName, index.texts)
     ids = materialise(keyed.select("key", "content"), "contents")
-    firsts = materialise(ids.groupBy("content").agg(F.min("key").alias("first")), "firsts")
+    known = ids if len(index.texts) < 2 else texts.select("key", "content")
+    firsts = materialise(known.groupBy("content").agg(F.min("key").alias("first")), "firsts")
     cuts: list[int] = []
     if batches > 1:
         shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
@@ -199,11 +220,11 @@ def substring_marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES,
             batch = batch.filter(F.col("key") > int(low))
         if high is not None:
             batch = batch.filter(F.col("key") <= int(high))
-        found = index.add(anchors(batch, width))
+        found = index.add(anchors(batch, width), held=True)
         shared = found if shared is None else shared.unionByName(found)
         if len(index.runs) >= index.fanout:
             index.compact()
-    windows = materialise(candidate_windows(keyed, shared, firsts, width), "windows")
+    windows = materialise(candidate_windows(texts, shared, firsts, width), "windows")
     spans = later_windows(windows).groupBy("key", "content").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
     copies = ids.join(firsts, "content").filter(F.col("key") > F.col("first")).select("key", "content").distinct()
     none = F.array().cast("array<struct<pos:int,n:int>>")

@@ -100,6 +100,26 @@ def test_later_batch_against_index(spark, docs):
     assert kept == {(r[0], r[2]) for r in brute.substrings([d[:2] for d in docs])}
 
 
+@pytest.mark.parametrize("fanout", [2, 9])
+def test_calls_on_one_index_give_the_rows_of_one(spark, docs, fanout):
+    from concord.llm.substrings import FingerprintIndex, _keyed, anchors, substring_report
+
+    index, got = FingerprintIndex(spark, buckets=2, fanout=fanout), Counter()
+    want = Counter(brute.substrings([d[:2] for d in docs]))
+    parts = [[d for d in docs if d[0] is not None and d[0] < 200], [d for d in docs if d[0] is not None and 200 <= d[0] < 1006], [d for d in docs if d[0] is None or d[0] >= 1006]]
+    for i, part in enumerate(parts):
+        got += rows_of(substring_report(frame(spark, part), batches=1 + i % 2, index=index))
+    assert got == want
+    lost = FingerprintIndex(spark, buckets=2)
+    late = rows_of(substring_report(frame(spark, parts[2]), index=lost))  # first come, but the larger ids
+    early = rows_of(substring_report(frame(spark, parts[0]), index=lost))
+    assert early <= want and not late <= want
+    blind = FingerprintIndex(spark, buckets=2)
+    blind.add(anchors(_keyed(frame(spark, parts[0]))))
+    with pytest.raises(ValueError):
+        substring_report(frame(spark, parts[1]), index=blind)
+
+
 def test_simhash(spark, docs):
     from concord.llm.simhash import one_of_each, simhash_report
 
