@@ -1,7 +1,11 @@
-"""String expressions of the reconciler. All stay inside code generation but Unicode normalisation in ``scrub``."""
+"""String expressions of the reconciler. All stay inside code generation but ``prompt_text`` and Unicode normalisation in ``scrub``."""
 
 from __future__ import annotations
 
+import functools
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -85,8 +89,6 @@ def truncate_sample(c: Column, limit: int = 120) -> Column:
 @F.pandas_udf(StringType())
 def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unicode NFC, which Spark has no function for."""
-    import unicodedata
-
     for s in parts:
         yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -100,12 +102,44 @@ def scrub(c: Column, limit: int) -> Column:
     return F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit - 1)), F.lit("…"))).otherwise(t)
 
 
+@functools.cache
+def _prompt_patterns():
+    """Zero-width and bidirectional characters; all of Cc and Cf; what imitates the structure of a prompt."""
+    control = (x for x in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(x) in ("Cc", "Cf"))
+    return (
+        re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u206a-\u206f\ufeff]"),
+        re.compile("[" + "".join(map(re.escape, control)) + "]"),
+        re.compile(r"(?i)(<\|[^|>]*\|>|</?(?:system|user|assistant|instructions?)>|```|^\s*#{1,6}\s)"),
+    )
+
+
+def prompt_text(c: Column, limit: int) -> Column:
+    """Text that may stand in a prompt, by the rule NRM-08 with Python's own Unicode tables and patterns: no invisible characters;
+    control characters, prompt structure and white space become blanks, one at a time; cut to the limit."""
+
+    @F.pandas_udf(StringType())
+    def cleaned(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        invisible, control, structure = _prompt_patterns()
+
+        def one(x):
+            if x is None:
+                return None
+            t = control.sub(" ", invisible.sub("", unicodedata.normalize("NFC", x)))
+            t = re.sub(r"\s+", " ", structure.sub(" ", t)).strip()
+            return t if len(t) <= limit else t[: limit - 1].rstrip() + "…"
+
+        for s in parts:
+            yield s.map(one)
+
+    return cleaned(c)
+
+
 def safe_header(c: Column) -> Column:
-    return F.coalesce(F.nullif(scrub(c, 80), F.lit("")), F.lit("(blank)"))
+    return F.coalesce(F.nullif(prompt_text(c, 80), F.lit("")), F.lit("(blank)"))
 
 
 def safe_value(c: Column) -> Column:
-    return F.concat(F.lit('"'), F.replace(scrub(c, 60), F.lit('"'), F.lit("'")), F.lit('"'))
+    return F.concat(F.lit('"'), F.replace(prompt_text(c, 60), F.lit('"'), F.lit("'")), F.lit('"'))
 
 
 def mask_secrets(m: Column) -> Column:

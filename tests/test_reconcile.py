@@ -2,6 +2,8 @@
 
 import datetime
 import io
+import re
+import unicodedata
 import zipfile
 
 import pytest
@@ -29,6 +31,25 @@ def test_text(spark):
     assert one(spark, ["abcdef"], lambda c: text.scrub(c, 4)) == ["abc…"]
 
 
+def test_prompt_text(spark):
+    def plain(x, limit):
+        """The documented rule, character by character."""
+        x = unicodedata.normalize("NFC", x)
+        x = "".join(c for c in x if not (c in "\u00ad\ufeff" or any(a <= c <= b for a, b in ("\u200b\u200f", "\u202a\u202e", "\u2060\u2064", "\u206a\u206f"))))
+        x = "".join(" " if unicodedata.category(c) in ("Cc", "Cf") else c for c in x)
+        x = re.sub(r"(?i)<\|[^|>]*\|>|</?(?:system|user|assistant|instructions?)>|```|^\s*#{1,6}\s", " ", x)
+        x = " ".join(x.split())
+        return x if len(x) <= limit else x[: limit - 1].rstrip() + "…"
+
+    given = [
+        "emp\u202eid", "a\u206ab\u200bc\u2066d\u2069", "<INSTRUCTION>x</instructions>y</user>", "a```b```", "# head", " \n###### six", "####### seven", "#none", "a # b", "user: hi", "System : x",
+        "<|im_start|>a<||>b", "e\u0301 \u3000\u2028\x1c\x85x", "a" * 58 + " bcd", "b" * 78 + "  cdef", "é" * 60, "", " \u200b\t", '"q" ``', "<\u017fystem>z", "\U000e0041\U00013430x",
+    ]
+    assert one(spark, [*given, None], text.safe_header) == [*(plain(x, 80) or "(blank)" for x in given), "(blank)"]
+    assert one(spark, [*given, None], text.safe_value) == [*('"' + plain(x, 60).replace('"', "'") + '"' for x in given), None]
+    assert one(spark, given[:5], text.safe_header) == ["empid", "abc d", "x y", "a b", "head"]
+
+
 def test_dates(spark):
     cases = {
         "2026-3-4": ("parsed", "2026-03-04"), "2026-02-30": ("invalid", None), "March 14th, 2026": ("parsed", "2026-03-14"), "14 Sept 2026": ("parsed", "2026-09-14"), "1-Mar-2026": ("parsed", "2026-03-01"), "03/04/2026": ("ambiguous", None),
