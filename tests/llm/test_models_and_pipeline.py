@@ -88,3 +88,25 @@ def test_pipeline_stages(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for stage in stages.values():
         assert stage(spark, empty, DATA).collect() == []
+
+
+def test_mix_tells_documents_of_one_id_apart(spark):
+    from concord.llm.mixing import mix, mixed_documents
+
+    rows = [(None, " ".join(f"{s}{i}x{j}" for j in range(20)), "en", s, i) for s, n in (("a", 9), ("b", 40), ("c", 70)) for i in range(n)]
+    rows += [(5, " ".join(f"same{j}" for j in range(20)), str(i), s, i) for s in ("b", "c") for i in range(30)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want, got, cut = Counter(), Counter(), Counter()
+    for r in mix(docs).collect():
+        want[r["source"]] += r["taken"]
+    whole = {r[1] for r in rows}
+    for r in mixed_documents(docs).collect():
+        got[r["source"]] += len(r["text"].split())
+        cut[r["source"]] += r["text"] not in whole
+    assert got == want and max(cut.values()) <= 1
+    copies = spark.createDataFrame([*((7, "p q r s t u v", str(i), "c", i) for i in range(31)), (1, "one two", "en", "a", 1), (2, "x " * 400, "en", "b", 1)], SCHEMA)
+    takes = Counter(r["taken"] for r in mix(copies).filter("doc_id = 7").collect())
+    by_row = Counter()
+    for r in mixed_documents(copies).filter("doc_id = 7").collect():
+        by_row[r["lang"]] += len(r["text"].split())
+    assert len(takes) > 1 and Counter(by_row[str(i)] for i in range(31)) == takes
