@@ -1,9 +1,11 @@
 """Token ids of whole texts by the tokenizers library, each distinct stretch of text encoded once.
 
 A byte-level BPE never joins characters over a single blank or line feed between two other characters, and
-a word BPE never joins them over white space. Texts are cut there; a stretch is looked up by its hash among
-those that this Python worker has seen, and new ones are encoded by the library. The memory of stretches
-is bounded; when it is full it starts anew. A tokenizer of any other kind encodes whole texts.
+a word BPE never joins them over white space. Texts are cut there; a stretch is looked up among those that this
+Python worker has seen, and new ones are encoded by the library. The key of a stretch of up to seven bytes is the bytes
+themselves; a longer one is found by a hash and its bytes are compared with the remembered ones at every use, so
+stretches of one hash never share ids. The memory of stretches is bounded; when it is full it starts anew. A tokenizer
+of any other kind encodes whole texts.
 """
 
 from __future__ import annotations
@@ -14,14 +16,17 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from .wordbytes import _SPACE, hashes, runs, slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Stretches kept in a worker's memory.
-MAX_KEPT = 500_000
+#: Stretches kept in a worker's memory, and bytes of them.
+MAX_KEPT, MAX_KEPT_BYTES = 500_000, 64 << 20
+_SHORT = 7
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(_SHORT + 1)], np.uint64)
 _WIDE = ((0xC2, 0x85, None), (0xC2, 0xA0, None), (0xE1, 0x9A, (0x80,)), (0xE2, 0x80, (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (0xE2, 0x81, (0x9F,)), (0xE3, 0x80, (0x80,)))
 
 
@@ -61,6 +66,35 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return runs(~white_space(data), offsets)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (beyond the end: zeros); a view, nothing is copied but the bytes."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each span: its length (at most 8) above its bytes or, from eight bytes on, 56 bits of a hash."""
+    lengths = ends - starts
+    long = np.flatnonzero(lengths > _SHORT)
+    keys = (eights(data)[starts] & _LOW_BYTES[np.minimum(lengths, _SHORT)]) | (np.minimum(lengths, _SHORT + 1).astype(np.uint64) << np.uint64(56))
+    if len(long):
+        keys[long] = (hashes(data, starts[long], ends[long]) & _LOW_BYTES[_SHORT]) | np.uint64((_SHORT + 1) << 56)
+    return keys
+
+
+def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans of two byte arrays, each of eight bytes or more, are equal."""
+    x, y = eights(a), eights(b)
+    same = (x[a_at] == y[b_at]) & (x[a_at + lengths - 8] == y[b_at + lengths - 8])
+    more = np.flatnonzero(same & (lengths > 16))
+    if len(more):
+        steps = (lengths[more] - 1) // 8 - 1  # the eights between the first and the last
+        of, upto = np.repeat(more, steps), np.cumsum(steps)
+        step = 8 * (np.arange(len(of)) - np.repeat(upto - steps, steps) + 1)
+        same[of[x[a_at[of] + step] != y[b_at[of] + step]]] = False
+    return same
+
+
 class SpanEncoder:
     """Of one tokenizer file; keeps what it has encoded."""
 
@@ -90,8 +124,11 @@ class SpanEncoder:
 
     def _forget(self) -> None:
         self.codes: dict[int, int] = {}
+        self.alike: dict[bytes, int] = {}
+        self.n = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.starts, self.lengths, self.text_at, self.text_len = (np.zeros(1 << 14, np.int64) for _ in range(4))
 
     def _single(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and how many each has."""
@@ -112,44 +149,51 @@ class SpanEncoder:
                 return ids, np.diff(ends[np.append(0, counts)])
         return self._single([t.decode() for t in parts])
 
-    def _learn(self, keys: list[int], parts: list[bytes], easy: np.ndarray) -> None:
-        """``easy`` stretches are a blank and characters other than white space, or words."""
+    def _learn(self, parts: list[bytes], easy: np.ndarray) -> np.ndarray:
+        """A code for each of the parts. ``easy`` stretches are a blank and characters other than white space, or words."""
+        out = np.zeros(len(parts), np.int64)
         todo = [(self._several, np.flatnonzero(easy)), (lambda x: self._single([t.decode() for t in x]), np.flatnonzero(~easy))]
         for encode, rows in todo:
             for at in range(0, len(rows), 2000):
-                part = rows[at : at + 2000].tolist()
-                ids, lengths = encode([parts[i] for i in part])
-                first = len(self.codes)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-                while first + len(part) > len(self.starts):
-                    self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+                part = [parts[i] for i in rows[at : at + 2000].tolist()]
+                ids, lengths = encode(part)
+                raw, sizes = np.frombuffer(b"".join(part), np.uint8), np.fromiter(map(len, part), np.int64, len(part))
+                first, last = self.n, self.n + len(part)
+                self.flat, self.text = _room(self.flat, self.used + len(ids)), _room(self.text, self.text_used + len(raw))
+                self.starts, self.lengths, self.text_at, self.text_len = (_room(x, last) for x in (self.starts, self.lengths, self.text_at, self.text_len))
                 self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[first : first + len(part)] = self.used + np.cumsum(lengths) - lengths
-                self.lengths[first : first + len(part)] = lengths
-                self.used += len(ids)
-                self.codes.update(zip([keys[i] for i in part], range(first, first + len(part))))
+                self.text[self.text_used : self.text_used + len(raw)] = raw
+                self.starts[first:last], self.lengths[first:last] = self.used + np.cumsum(lengths) - lengths, lengths
+                self.text_at[first:last], self.text_len[first:last] = self.text_used + np.cumsum(sizes) - sizes, sizes
+                self.used, self.text_used, self.n = self.used + len(ids), self.text_used + len(raw), last
+                out[rows[at : at + 2000]] = np.arange(first, last)
+        return out
+
+    def _easy(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if self.kind == "word":
+            return np.ones(len(starts), bool)
+        blanks = np.concatenate([[0], np.cumsum(white_space(data), dtype=np.int32)])
+        return (data[starts] == 32) & (blanks[ends] - blanks[starts] == 1) & (ends - starts > 1)
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends = (cut_spaces if self.kind == "byte" else cut_words)(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        keys, at, back = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+        back, keys = pd.factorize(span_keys(data, starts, ends))
+        at = np.zeros(len(keys), np.int64)
+        at[back[::-1]] = np.arange(len(back))[::-1]  # the first span of each key
         keys = keys.tolist()
-        if len(self.codes) + len(keys) > MAX_KEPT:
+        if self.n + len(keys) > MAX_KEPT or self.text_used > MAX_KEPT_BYTES:
             self._forget()
-        got = list(map(self.codes.get, keys))
-        new = [i for i, x in enumerate(got) if x is None]
-        if new:
+        known = np.fromiter((self.codes.get(k, -1) for k in keys), np.int64, len(keys))
+        new = np.flatnonzero(known < 0)
+        if len(new):
             s, e = starts[at[new]], ends[at[new]]
-            easy = np.ones(len(new), bool)
-            if self.kind == "byte":
-                blanks = np.concatenate([[0], np.cumsum(white_space(data), dtype=np.int32)])
-                easy = (data[s] == 32) & (blanks[e] - blanks[s] == 1) & (e - s > 1)
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[a:b] for a, b in zip(s.tolist(), e.tolist())], easy)
-            got = list(map(self.codes.get, keys))
-        code = np.array(got, np.int32)[back]
+            known[new] = self._learn([raw[a:b] for a, b in zip(s.tolist(), e.tolist())], self._easy(data, s, e))
+            self.codes.update(zip([keys[i] for i in new.tolist()], known[new].tolist()))
+        code = known[back]
+        self._tell_apart(data, starts, ends, code)
         lengths = self.lengths[code]
         upto = np.zeros(len(code) + 1, np.int64)
         np.cumsum(lengths, out=upto[1:])
@@ -157,6 +201,18 @@ class SpanEncoder:
         place += np.arange(len(place))
         return self.flat[place], upto[np.searchsorted(starts, offsets)]
 
+    def _tell_apart(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> None:
+        """Gives spans whose bytes are not those of their code's stretch a code of their own."""
+        long = np.flatnonzero(ends - starts > _SHORT)
+        a, n, c = starts[long], ends[long] - starts[long], code[long]
+        fits = n == self.text_len[c]
+        fits[fits] = same_bytes(data, a[fits], self.text[: self.text_used], self.text_at[c[fits]], n[fits])
+        for i in long[~fits].tolist():
+            own = data[starts[i] : ends[i]].tobytes()
+            if own not in self.alike:
+                self.alike[own] = int(self._learn([own], self._easy(data, starts[i : i + 1], ends[i : i + 1]))[0])
+            code[i] = self.alike[own]
+
     def encode(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids, offsets of each row's ids) of runs of rows; null texts are empty."""
         if self.kind == "whole":
@@ -168,6 +224,11 @@ class SpanEncoder:
             yield first, *self._slice(data, offsets)
 
 
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    """``x``, or twice as long (or longer) with room for n."""
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
+
+
 _encoders: dict[str, SpanEncoder] = {}
 
 

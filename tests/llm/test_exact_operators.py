@@ -73,6 +73,43 @@ def test_encoder_agrees_with_library(name):
     assert got == [t[:-1] for t in brute.tokens(texts, path, 0)]
 
 
+def twins():
+    """Two words of 1024 letters that hash alike under any polynomial modulo 2 ** 64."""
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_compares_bytes(name):
+    import pyarrow as pa
+
+    from concord.llm.span_tokens import SpanEncoder
+    from concord.llm.wordbytes import hashes
+
+    path, (a, b) = public_tokenizers.path(name), twins()
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    assert len(set(hashes(data, np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 1
+    texts = [f"{a} {b} {a} x", f"{b} {a}", b, a, f"{b}\n{b} abcdefgh abcdefg\0 abcdefg", None]
+    got = SpanEncoder(path)
+    for part in (texts[:1], texts[1:], texts):
+        found = [ids[o[i] : o[i + 1]].tolist() for _, ids, o in got.encode(pa.array(part, pa.string())) for i in range(len(o) - 1)]
+        assert found == [t[:-1] for t in brute.tokens(part, path, 0)]
+
+
+def test_same_bytes():
+    from concord.llm.span_tokens import same_bytes
+
+    data = np.frombuffer(bytes(range(1, 120)) * 2, np.uint8)
+    lengths = np.arange(8, 108)
+    at = np.arange(100) % 11
+    assert same_bytes(data, at, data, at + 119, lengths).all()
+    for place in range(60):
+        other = data.copy()
+        other[119 + place] ^= 1
+        want = (at > place) | (at + lengths <= place)
+        assert (same_bytes(data, at, other, at + 119, lengths) == want).all()
+
+
 @pytest.mark.parametrize("batches", [1, 2, 5])
 def test_substrings(spark, docs, batches):
     from concord.llm.substrings import FingerprintIndex, substring_report
