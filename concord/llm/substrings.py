@@ -1,18 +1,20 @@
 """Substring dedup with a log-structured fingerprint index (operator 4).
 
-A window is ``width`` consecutive words. Its anchor is the least hash of the five-word runs inside it, so equal windows
-have equal anchors and about one position in five gives a new one. The index keeps (anchor, content) rows, a content
-being the hash of a whole text, in immutable runs: tables bucketed and sorted by anchor. A new batch of documents becomes
-a run of its own, which is merge-joined with itself and with the runs before it (no shuffle: all have the same
-buckets); anchors that two contents share are candidates. When ``fanout`` runs have gathered they are compacted
-into one.
-
-An index that goes from call to call also keeps the texts of its batches: a later batch is verified against them, and
-its rows are those of one call over all batches. Rows of earlier calls are not revised, so batches come by ascending doc_id.
-
-Only documents with candidates give windows, and only those at shared anchors. Their hashes meet by anchor, sorted
-by doc_id: windows count as equal if both 64-bit hashes, of the 13 words and of the anchor's, agree, and the words of
-a later document's window are marked. Copies of a whole text need no windows: all but the first go by their content.
+A window is ``width`` consecutive words. The index keeps the hashes of all windows in immutable runs: tables bucketed
+and sorted by anchor, which no later batch shuffles again. The anchor of a window is the least hash of the five-word runs
+inside it, so equal windows have equal anchors and about five neighbours share one; a row holds an anchor, the document's
+key (doc_id) and content (a hash of its whole text) and the hashes of its windows there. A new batch of documents becomes a
+run of its own and is merge-joined with the runs before it: windows that two contents have under one anchor, one of them new,
+are hits. When ``fanout`` runs have gathered they are compacted into one and dropped.
+
+Hits are verified on the words. Each document with hits (the first of its content) gives the 128-bit BLAKE2b digest of the
+words of every window that was hit; the least key of a digest is found by a partial aggregate and joined back, so a window of
+very many documents is spread over tasks (Spark's skew join), and the words of later documents' windows are marked. Copies of a
+whole text (by SHA-256) need no windows: all but the first go at once.
+
+An index that goes from call to call also keeps the texts of its batches, as later hits are verified against them; its
+rows are those of one call over all batches. Rows of earlier calls are not revised, so batches come by ascending doc_id.
+``drop`` removes its tables.
 
 Defined results: null and short texts lose nothing; rows that repeat an identifier are no copies of each other;
 a null doc_id counts as larger than any other; an empty table gives no rows; other columns are ignored.
@@ -27,13 +29,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import in_small_batches, materialise, partitions, shared_dir, shuffles_dropped
+from .common import in_small_batches, materialise, partitions, shuffles_dropped
 from .wordbytes import hashes, rows_of, slices, window_hashes, words
 
-WIDTH, ANCHOR_WORDS, FANOUT, BATCHES = 13, 5, 4, 2
+WIDTH, ANCHOR_WORDS, FANOUT, BATCHES = 13, 5, 4, 3
 _LAST = (1 << 63) - 1
 
 
@@ -61,26 +63,41 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("content"), F.col("text"))
 
 
-def anchors(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
-    """anchor, content: once for each text."""
+def _sha(text: str) -> F.Column:
+    return F.coalesce(F.sha2(F.col(text).cast("binary"), 256), F.lit(""))
+
+
+def fingerprints(keyed: DataFrame, width: int = WIDTH) -> DataFrame:
+    """anchor, key, content and the 32-bit hashes of the windows at that anchor, for each text. Copies that meet in one
+    Arrow batch give the rows of the least key alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            content = batch.column("content").to_numpy(zero_copy_only=False)
-            for first, data, offsets in slices(batch.column("text")):
+            key, content = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "content"))
+            order = np.lexsort((key, content))
+            firsts = np.sort(order[np.append(True, content[order][1:] != content[order][:-1])[: len(order)]])
+            key, content = key[firsts], content[firsts]
+            for first, data, offsets in slices(batch.column("text").take(pa.array(firsts))):
                 h, row, ok = _windows(data, offsets, width)
-                a, r = window_anchors(h, width)[ok], row[ok]
+                a, w, r = window_anchors(h, width)[ok], short(window_hashes(h, width)[ok]), row[ok]
                 order = np.lexsort((a, r))
-                a, r = a[order], r[order]
+                a, w, r = a[order], w[order], r[order]
                 new = np.ones(len(a), bool)
                 new[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(a[new].view(np.int64)), pa.array(content[first + r[new]])], ["anchor", "content"])
+                s = np.flatnonzero(new)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(s, len(a)).astype(np.int32)), pa.array(w))
+                yield pa.RecordBatch.from_arrays([pa.array(a[s].view(np.int64)), pa.array(key[first + r[s]]), pa.array(content[first + r[s]]), lists], ["anchor", "key", "content", "windows"])
+
+    return in_small_batches(keyed.select("key", "content", "text")).mapInArrow(run, "anchor long, key long, content long, windows array<int>")
 
-    return in_small_batches(keyed.select("content", "text")).mapInArrow(run, "anchor long, content long")
+
+def short(w: np.ndarray) -> np.ndarray:
+    """The upper half of window hashes, as the index keeps them."""
+    return (w >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (anchor, content), oldest first. All runs have the same buckets."""
+    """Sorted immutable runs of window hashes by anchor, oldest first. All runs have the same buckets."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
         self.spark, self.buckets, self.fanout = spark, buckets or partitions(spark), fanout
@@ -94,111 +111,80 @@ class FingerprintIndex:
         return self.texts[-1]
 
     def _write(self, rows: DataFrame) -> str:
-        name = f"anchors_{uuid.uuid4().hex}"
+        """A managed table, so that dropping it removes its files."""
+        name = f"windows_{uuid.uuid4().hex}"
         with shuffles_dropped(self.spark):
-            ready = rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "content")
-            ready.write.option("path", shared_dir(self.spark, name)).option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+            rows.sortWithinPartitions("anchor").write.option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         return name
 
     def add(self, rows: DataFrame, held: bool = False) -> DataFrame:
-        """Writes a run for the batch; the (anchor, content) rows, of the batch and of history, at anchors of the batch that
-        more than one content has. ``held``: the texts behind the rows are at hand for verification."""
+        """Writes a run for the batch; content and w of the windows that two contents share, one of them of the batch.
+        ``held``: the texts behind the rows are at hand for verification."""
         self.blind |= not held
-        name = self._write(rows)
-        new = self.spark.table(name)
-        history = [self.spark.table(x) for x in self.runs]
-        spread = new.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
-        for run in history:
-            old = run.groupBy("anchor").agg(F.min("content").alias("old_lo"), F.max("content").alias("old_hi"))
-            spread = spread.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
-        shared = spread.filter("lo < hi").select("anchor")
-        found = new.join(shared.hint("merge"), "anchor")
-        for run in history:
-            found = found.unionByName(run.join(shared.hint("merge"), "anchor", "left_semi"))
-        self.runs.append(name)
-        return materialise(found, "shared-anchors")
+        self.runs.append(self._write(rows.repartition(self.buckets, "anchor")))
+        every = self.spark.table(self.runs[-1]).withColumn("new", F.lit(True))
+        for run in self.runs[:-1]:
+            every = every.unionByName(self.spark.table(run).withColumn("new", F.lit(False)))
+        # all of this stays within the buckets
+        at = every.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("new").alias("fresh"))
+        near = every.join(at.filter("lo < hi AND fresh").select("anchor").hint("merge"), "anchor", "left_semi")
+        each = near.select("anchor", "content", "new", F.explode("windows").alias("w"))
+        same = Window.partitionBy("anchor", "w")
+        hits = each.select("content", "w", F.min("content").over(same).alias("lo"), F.max("content").over(same).alias("hi"), F.max("new").over(same).alias("fresh"))
+        return materialise(hits.filter("lo < hi AND fresh").select("content", "w").distinct(), "hits")
 
     def compact(self) -> None:
-        """One run in place of all. Rows that runs repeat are kept once."""
+        """One run in place of all, which go. Of the rows that an anchor has for one content, that of the least key stays."""
         if len(self.runs) > 1:
-            rows = self.spark.table(self.runs[0])
-            for x in self.runs[1:]:
-                rows = rows.unionByName(self.spark.table(x))
-            self.runs = [self._write(rows.distinct())]
+            rows = reduce(DataFrame.unionByName, [self.spark.table(x) for x in self.runs])
+            new = self._write(rows.groupBy("anchor", "content").agg(F.min_by(F.struct("key", "windows"), "key").alias("x")).select("anchor", "x.key", "content", "x.windows"))
+            self.drop()
+            self.runs = [new]
+
+    def drop(self) -> None:
+        """Removes the runs' tables and files."""
+        for name in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.runs = []
 
 
-def candidate_windows(keyed: DataFrame, shared: DataFrame, firsts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """anchor, key, content, pos and the hashes of the consecutive windows from there that have this anchor, for the
-    first document of each content that has shared anchors."""
-    sets = shared.groupBy("content").agg(F.collect_set("anchor").alias("anchors")).join(firsts, "content")
-    sets = sets.select(F.col("content").alias("c"), F.col("first").alias("k"), "anchors")
-    wanted = keyed.join(sets, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c"))).select("key", "content", "text", "anchors")
+def hit_windows(texts: DataFrame, hits: DataFrame, firsts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """d, key, content, pos of each window that was hit, in the first document of each content: d is a digest of its words."""
+    sets = hits.groupBy("content").agg(F.collect_set("w").alias("wanted")).join(firsts, "content")
+    sets = sets.select(F.col("content").alias("c"), F.col("first").alias("k"), F.col("sha").alias("s"), "wanted")
+    mine = (F.col("key") == F.col("k")) & (F.col("content") == F.col("c")) & (_sha("text") == F.col("s"))
+    found = texts.select("key", "content", "text").join(sets, mine).select("key", "content", "text", "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, content = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "content"))
             for first, data, offsets in slices(batch.column("text")):
+                starts, ends = words(data, offsets)
                 h, row, ok = _windows(data, offsets, width)
-                a, w, r = window_anchors(h, width)[ok], window_hashes(h, width)[ok], row[ok]
-                sets = batch.column("anchors").slice(first, len(offsets) - 1)
-                wanted = np.unique(sets.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
-                at = np.minimum(np.searchsorted(wanted, a), max(0, len(wanted) - 1))
-                held = np.flatnonzero(wanted[at] == a) if len(wanted) else np.zeros(0, int)
-                a, w, r, pos = a[held], w[held], r[held], ok[held] - np.searchsorted(row, np.arange(len(offsets)))[r[held]]
-                begins = np.ones(len(a), bool)
-                begins[1:] = (a[1:] != a[:-1]) | (r[1:] != r[:-1]) | (pos[1:] != pos[:-1] + 1)
-                s = np.flatnonzero(begins)
-                lists = pa.ListArray.from_arrays(pa.array(np.append(s, len(a)).astype(np.int32)), pa.array(w.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(a[s].view(np.int64)), pa.array(key[first + r[s]]), pa.array(content[first + r[s]]), pa.array(pos[s].astype(np.int32)), lists], ["anchor", "key", "content", "pos", "windows"])
+                wanted = np.unique(batch.column("wanted").slice(first, len(offsets) - 1).flatten().to_numpy(zero_copy_only=False))
+                held = ok[np.isin(short(window_hashes(h, width)[ok]), wanted)]
+                raw = data.tobytes()
+                each = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+                digests = b"".join([hashlib.blake2b(b" ".join(each[p : p + width]), digest_size=16).digest() for p in held.tolist()])
+                r = row[held]
+                pos = held - np.searchsorted(row, np.arange(len(offsets)))[r]
+                d = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(held), [None, pa.py_buffer(digests)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([d, pa.array(key[first + r]), pa.array(content[first + r]), pa.array(pos.astype(np.int32))], ["d", "key", "content", "pos"])
 
-    return wanted.mapInArrow(run, "anchor long, key long, content long, pos int, windows array<long>")
+    return found.mapInArrow(run, "d binary, key long, content long, pos int")
 
 
-def later_windows(candidates: DataFrame) -> DataFrame:
-    """key, content, pos, n: runs of n windows that also start in a document with a smaller key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, held_w, held_key = None, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor, key, content, pos = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("anchor", "key", "content", "pos"))
-            lists = batch.column("windows")
-            sizes = np.diff(lists.offsets.to_numpy())
-            w, r = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(anchor)), sizes)
-            each = key[r]
-            _, at, back = np.unique(w, return_index=True, return_inverse=True)
-            first = each[at][back]  # rows come by anchor and key, so the first of equal windows has the least key
-            if len(held_w):
-                same = np.flatnonzero(anchor[r] == held)
-                j = np.minimum(np.searchsorted(held_w, w[same]), len(held_w) - 1)
-                hit = held_w[j] == w[same]
-                first[same[hit]] = np.minimum(first[same[hit]], held_key[j[hit]])
-            last = anchor[-1] == anchor[r]
-            if anchor[-1] != held:
-                held_w, held_key = held_w[:0], held_key[:0]
-            held = anchor[-1]
-            merged, keys = np.concatenate([held_w, w[last]]), np.concatenate([held_key, each[last]])
-            held_w, at = np.unique(merged, return_index=True)
-            held_key = keys[at]
-            gone = np.flatnonzero(first < each)
-            if len(gone):
-                place = pos[r].astype(np.int64) + np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                begins = np.ones(len(gone), bool)
-                begins[1:] = (r[gone][1:] != r[gone][:-1]) | (gone[1:] != gone[:-1] + 1)
-                s = np.flatnonzero(begins)
-                n = np.diff(np.append(s, len(gone)))
-                yield pa.RecordBatch.from_arrays([pa.array(key[r[gone[s]]]), pa.array(content[r[gone[s]]]), pa.array(place[gone[s]].astype(np.int32)), pa.array(n.astype(np.int32))], ["key", "content", "pos", "n"])
-
-    together = candidates.repartition("anchor").sortWithinPartitions("anchor", "key")
-    return together.mapInArrow(run, "key long, content long, pos int, n int")
+def later_windows(windows: DataFrame) -> DataFrame:
+    """key, content, pos of the windows whose words also start in a document with a smaller key."""
+    least = windows.groupBy("d").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("d", "least")
+    return windows.join(least, "d").filter(F.col("key") > F.col("least")).select("key", "content", "pos")
 
 
 def substring_marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:
-    """key, content, copy, spans: documents that lose words. The documents enter the index in ``batches`` of ascending doc_id
-    and are judged against what it held before, too."""
+    """key, sha, copy, at: documents that lose words, known by key and SHA-256 of the text, and where the windows that go
+    start. The documents enter the index in ``batches`` of ascending doc_id and are judged against what it held before, too."""
     keyed = _keyed(docs)
-    texts = keyed
+    texts, passing = keyed, index is None
     if index is None:
         index = FingerprintIndex(docs.sparkSession)  # ends with this call, so no later one needs the texts
     elif index.blind:
@@ -206,39 +192,41 @@ def substring_marks(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES,
     else:
         keyed = index.hold(keyed)
         texts = reduce(DataFrame.unionByName, index.texts)
-    ids = materialise(keyed.select("key", "content"), "contents")
-    known = ids if len(index.texts) < 2 else texts.select("key", "content")
-    firsts = materialise(known.groupBy("content").agg(F.min("key").alias("first")), "firsts")
+    ids = materialise(keyed.select("key", "content", _sha("text").alias("sha")), "contents")
+    known = ids if len(index.texts) < 2 else texts.select("key", "content", _sha("text").alias("sha"))
+    firsts = materialise(known.groupBy("content", "sha").agg(F.min("key").alias("first")), "firsts")
     cuts: list[int] = []
     if batches > 1:
         shares = F.array(*[F.lit(i / batches) for i in range(1, batches)])
         cuts = sorted(set(docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), shares, F.lit(1000)).alias("cuts")).first()["cuts"] or []))
-    shared = None
+    hits = None
     for low, high in zip([None, *cuts], [*cuts, None]):
         batch = keyed
         if low is not None:
             batch = batch.filter(F.col("key") > int(low))
         if high is not None:
             batch = batch.filter(F.col("key") <= int(high))
-        found = index.add(anchors(batch, width), held=True)
-        shared = found if shared is None else shared.unionByName(found)
+        found = index.add(fingerprints(batch, width), held=True)
+        hits = found if hits is None else hits.unionByName(found)
         if len(index.runs) >= index.fanout:
             index.compact()
-    windows = materialise(candidate_windows(texts, shared, firsts, width), "windows")
-    spans = later_windows(windows).groupBy("key", "content").agg(F.collect_list(F.struct("pos", "n")).alias("spans"))
-    copies = ids.join(firsts, "content").filter(F.col("key") > F.col("first")).select("key", "content").distinct()
-    none = F.array().cast("array<struct<pos:int,n:int>>")
-    marks = copies.select("key", "content", F.lit(True).alias("copy"), none.alias("spans"))
-    return materialise(marks.unionByName(spans.select("key", "content", F.lit(False).alias("copy"), "spans")), "marks")
+    if passing:
+        index.drop()
+    windows = materialise(hit_windows(texts, hits, firsts, width), "windows")
+    spans = later_windows(windows).groupBy("key", "content").agg(F.collect_list("pos").alias("at"))
+    copies = ids.join(firsts, ["content", "sha"]).filter(F.col("key") > F.col("first")).select("key", "sha").distinct()
+    spans = spans.join(firsts.withColumnRenamed("first", "key"), ["key", "content"]).select("key", "sha", F.lit(False).alias("copy"), "at")
+    marks = copies.select("key", "sha", F.lit(True).alias("copy"), F.array().cast("array<int>").alias("at"))
+    return materialise(marks.unionByName(spans), "marks")
 
 
 def _kept(docs: DataFrame, width: int, finish, schema: str, batches: int, index: FingerprintIndex | None) -> DataFrame:
-    marks = substring_marks(docs, width, batches, index).select(F.col("key").alias("k"), F.col("content").alias("c"), "copy", "spans")
-    rows = _keyed(docs).join(marks, (F.col("key") == F.col("k")) & (F.col("content") == F.col("c")), "left")
+    marks = substring_marks(docs, width, batches, index).select(F.col("key").alias("k"), F.col("sha").alias("s"), "copy", "at")
+    rows = _keyed(docs).join(marks, (F.col("key") == F.col("k")) & (_sha("text") == F.col("s")), "left")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            ids, copies, spans = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("spans")
+            ids, copies, at = batch.column("doc_id").to_pylist(), batch.column("copy").to_pylist(), batch.column("at")
             for first, data, offsets in slices(batch.column("text")):
                 starts, ends = words(data, offsets)
                 bounds, raw, out = np.searchsorted(starts, offsets).tolist(), data.tobytes(), []
@@ -248,16 +236,16 @@ def _kept(docs: DataFrame, width: int, finish, schema: str, batches: int, index:
                     if copies[first + i]:
                         keep[:] = b - a < width
                     elif copies[first + i] is not None:
-                        for s in spans[first + i].as_py():
-                            keep[s["pos"] : s["pos"] + s["n"] + width - 1] = False
-                    at = np.flatnonzero(keep) + a
-                    text = b" ".join([raw[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist())])
-                    out.append((ids[first + i], b - a, b - a - len(at), *finish(text)))
+                        gone = np.array(at[first + i].as_py(), np.int64)
+                        keep[(gone[:, None] + np.arange(width)).ravel()] = False
+                    kept = np.flatnonzero(keep) + a
+                    text = b" ".join([raw[x:y] for x, y in zip(starts[kept].tolist(), ends[kept].tolist())])
+                    out.append((ids[first + i], b - a, b - a - len(kept), *finish(text)))
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x)) for x in out], kinds)
 
     names = [x.split()[0] for x in schema.split(",")]
     kinds = pa.schema([(n, pa.string() if n in ("kept_sha256", "kept") else pa.int64()) for n in names])
-    return rows.select("doc_id", "text", "copy", "spans").mapInArrow(run, schema)
+    return rows.select("doc_id", "text", "copy", "at").mapInArrow(run, schema)
 
 
 def substring_report(docs: DataFrame, width: int = WIDTH, batches: int = BATCHES, index: FingerprintIndex | None = None) -> DataFrame:

@@ -118,28 +118,50 @@ def test_substrings(spark, docs, batches):
     got = substring_report(frame(spark, docs), batches=batches, index=index)
     assert rows_of(got) == Counter(brute.substrings([d[:2] for d in docs]))
     assert len(index.runs) < 3
+    index.drop()
     if batches == 1:
         assert substring_report(frame(spark, [])).collect() == []
 
 
-def test_later_batch_against_index(spark, docs):
-    from concord.llm.substrings import FingerprintIndex, _keyed, anchors, without_repeats
+def test_index_finds_hits_of_a_later_batch(spark, docs):
+    from concord.llm.substrings import FingerprintIndex, _keyed, fingerprints
 
+    before = {r["tableName"] for r in spark.sql("SHOW TABLES").collect()}
     index = FingerprintIndex(spark, buckets=2)
-    old, new = [d for d in docs if d[0] is not None and d[0] < 200], [d for d in docs if d[0] is not None and d[0] >= 200]
-    index.add(anchors(_keyed(frame(spark, old))))
-    shared = index.add(anchors(_keyed(frame(spark, new))))
-    held = defaultdict(set)
-    for r in shared.collect():
-        held[r["anchor"]].add(r["content"])
-    assert held and all(len(x) > 1 for x in held.values())
-    kept = {(r["doc_id"], r["n_removed"]) for r in without_repeats(frame(spark, docs)).collect()}
-    assert kept == {(r[0], r[2]) for r in brute.substrings([d[:2] for d in docs])}
+    keyed = _keyed(frame(spark, docs))
+    index.add(fingerprints(keyed.filter("key < 200")))
+    hits = index.add(fingerprints(keyed.filter("key >= 200"))).collect()
+    texts = {r["content"]: (r["text"] or "").split() for r in keyed.collect()}
+    assert hits and all(len(texts[r["content"]]) >= 13 for r in hits)
+    both = {r["content"] for r in hits} & {r["content"] for r in keyed.filter("key < 200").collect()}
+    assert both  # the documents of history that a new one meets
+    index.compact()
+    assert len({r["tableName"] for r in spark.sql("SHOW TABLES").collect()} - before) == 1
+    index.drop()
+    assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
+
+
+def test_substrings_compare_words(spark):
+    from concord.llm.substrings import substring_report, without_repeats
+
+    a, b = twins()
+    rest = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{a} {rest}", None, None, None), (2, f"{b} {rest}", None, None, None), (3, f"x {b} {rest}", None, None, None)]
+    assert rows_of(substring_report(frame(spark, rows))) == Counter(brute.substrings([r[:2] for r in rows]))
+    assert {(r["doc_id"], r["n_removed"], r["kept"]) for r in without_repeats(frame(spark, rows)).collect()} == {(1, 0, rows[0][1]), (2, 0, rows[1][1]), (3, 13, "x")}
+
+
+def test_a_window_of_very_many_documents(spark):
+    from concord.llm.substrings import substring_report
+
+    five = "v w x y z"
+    rows = [(i, f"{' '.join(f'{i}a{j}' for j in range(8))} {five} {' '.join(f'{i}b{j}' for j in range(8))} {five if i % 3 else 'q'} {' '.join('same' + str(j) for j in range(20))}", None, None, None) for i in range(3000)]
+    assert rows_of(substring_report(frame(spark, rows, False).repartition(8))) == Counter(brute.substrings([r[:2] for r in rows]))
 
 
 @pytest.mark.parametrize("fanout", [2, 9])
 def test_calls_on_one_index_give_the_rows_of_one(spark, docs, fanout):
-    from concord.llm.substrings import FingerprintIndex, _keyed, anchors, substring_report
+    from concord.llm.substrings import FingerprintIndex, _keyed, fingerprints, substring_report
 
     index, got = FingerprintIndex(spark, buckets=2, fanout=fanout), Counter()
     want = Counter(brute.substrings([d[:2] for d in docs]))
@@ -152,7 +174,7 @@ def test_calls_on_one_index_give_the_rows_of_one(spark, docs, fanout):
     early = rows_of(substring_report(frame(spark, parts[0]), index=lost))
     assert early <= want and not late <= want
     blind = FingerprintIndex(spark, buckets=2)
-    blind.add(anchors(_keyed(frame(spark, parts[0]))))
+    blind.add(fingerprints(_keyed(frame(spark, parts[0]))))
     with pytest.raises(ValueError):
         substring_report(frame(spark, parts[1]), index=blind)
 
