@@ -4,11 +4,11 @@ A window is ``width`` consecutive words. The index keeps the hashes of all windo
 and sorted by anchor, which no later batch shuffles again. The anchor of a window is the least hash of the five-word runs
 inside it, so equal windows have equal anchors and about five neighbours share one; a row holds an anchor, the document's
 key (doc_id) and content (a hash of its whole text) and the hashes of its windows there. A new batch of documents becomes a
-run of its own and is merge-joined with the runs before it: windows that two contents have under one anchor, one of them new,
-are hits. When ``fanout`` runs have gathered they are compacted into one and dropped.
+run of its own and is merge-joined with the runs before it: anchors at which two contents, one of them new, have a window in
+common are hits. When ``fanout`` runs have gathered they are compacted into one and dropped.
 
 Hits are verified on the words. Each document with hits (the first of its content) gives the 128-bit BLAKE2b digest of the
-words of every window that was hit; the least key of a digest is found by a partial aggregate and joined back, so a window of
+words of every window at those anchors; the least key of a digest is found by a partial aggregate and joined back, so a window of
 very many documents is spread over tasks (Spark's skew join), and the words of later documents' windows are marked. Copies of a
 whole text (by SHA-256) need no windows: all but the first go at once.
 
@@ -118,26 +118,35 @@ class FingerprintIndex:
         return name
 
     def add(self, rows: DataFrame, held: bool = False) -> DataFrame:
-        """Writes a run for the batch; content and w of the windows that two contents share, one of them of the batch.
+        """Writes a run for the batch; content and anchor wherever two contents, one of them of the batch, share a window.
         ``held``: the texts behind the rows are at hand for verification."""
         self.blind |= not held
         self.runs.append(self._write(rows.repartition(self.buckets, "anchor")))
-        every = self.spark.table(self.runs[-1]).withColumn("new", F.lit(True))
-        for run in self.runs[:-1]:
-            every = every.unionByName(self.spark.table(run).withColumn("new", F.lit(False)))
-        # all of this stays within the buckets
-        at = every.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("new").alias("fresh"))
-        near = every.join(at.filter("lo < hi AND fresh").select("anchor").hint("merge"), "anchor", "left_semi")
-        each = near.select("anchor", "content", "new", F.explode("windows").alias("w"))
-        same = Window.partitionBy("anchor", "w")
-        hits = each.select("content", "w", F.min("content").over(same).alias("lo"), F.max("content").over(same).alias("hi"), F.max("new").over(same).alias("fresh"))
-        return materialise(hits.filter("lo < hi AND fresh").select("content", "w").distinct(), "hits")
+        runs = [self.spark.table(x) for x in self.runs]
+        # each step below merges sorted buckets of the same number; only windows of shared anchors are shuffled, after a partial aggregate
+        spread = runs[-1].groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"))
+        for run in runs[:-1]:
+            old = run.groupBy("anchor").agg(F.min("content").alias("old_lo"), F.max("content").alias("old_hi"))
+            spread = spread.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
+        near = spread.filter("lo < hi").select("anchor")
+        each = [run.join(near.hint("merge"), "anchor", "left_semi").select("anchor", "key", "content", F.lit(run is runs[-1]).alias("new"), F.explode("windows").alias("w")) for run in runs]
+        most = [F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("new").alias("fresh")]
+        same = reduce(DataFrame.unionByName, each).groupBy("anchor", "w").agg(*most).filter("fresh AND lo < hi AND least < most")
+        shared = materialise(same.select("anchor").distinct(), "shared-anchors")
+        return materialise(reduce(DataFrame.unionByName, [run.join(shared.hint("merge"), "anchor", "left_semi").select("content", "anchor") for run in runs]), "hits")
 
     def compact(self) -> None:
         """One run in place of all, which go. Of the rows that an anchor has for one content, that of the least key stays."""
         if len(self.runs) > 1:
-            rows = reduce(DataFrame.unionByName, [self.spark.table(x) for x in self.runs])
-            new = self._write(rows.groupBy("anchor", "content").agg(F.min_by(F.struct("key", "windows"), "key").alias("x")).select("anchor", "x.key", "content", "x.windows"))
+            rows = self.spark.table(self.runs[0])
+            for name in self.runs[1:]:  # merged bucket by bucket
+                later = self.spark.table(name).select(F.col("anchor").alias("a"), F.col("content").alias("c"), F.col("key").alias("k"), F.col("windows").alias("w"))
+                both = rows.join(later.hint("merge"), (F.col("anchor") == F.col("a")) & (F.col("content") == F.col("c")), "full")
+                mine = F.col("a").isNull() | (F.col("key") <= F.col("k"))
+                pick = {"anchor": F.coalesce("anchor", "a"), "content": F.coalesce("content", "c"), "key": F.when(mine, F.col("key")).otherwise(F.col("k")), "windows": F.when(mine, F.col("windows")).otherwise(F.col("w"))}
+                rows = both.select(*[x.alias(n) for n, x in pick.items()])
+            rows = rows.groupBy("anchor", "content").agg(F.min_by(F.struct("key", "windows"), "key").alias("x"))
+            new = self._write(rows.select("anchor", "x.key", "content", "x.windows").repartition(self.buckets, "anchor"))
             self.drop()
             self.runs = [new]
 
@@ -149,8 +158,9 @@ class FingerprintIndex:
 
 
 def hit_windows(texts: DataFrame, hits: DataFrame, firsts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """d, key, content, pos of each window that was hit, in the first document of each content: d is a digest of its words."""
-    sets = hits.groupBy("content").agg(F.collect_set("w").alias("wanted")).join(firsts, "content")
+    """d, key, content, pos of each window at an anchor that was hit, in the first document of each content: d is a digest of
+    its words."""
+    sets = hits.groupBy("content").agg(F.collect_set("anchor").alias("wanted")).join(firsts, "content")
     sets = sets.select(F.col("content").alias("c"), F.col("first").alias("k"), F.col("sha").alias("s"), "wanted")
     mine = (F.col("key") == F.col("k")) & (F.col("content") == F.col("c")) & (_sha("text") == F.col("s"))
     found = texts.select("key", "content", "text").join(sets, mine).select("key", "content", "text", "wanted")
@@ -161,8 +171,8 @@ def hit_windows(texts: DataFrame, hits: DataFrame, firsts: DataFrame, width: int
             for first, data, offsets in slices(batch.column("text")):
                 starts, ends = words(data, offsets)
                 h, row, ok = _windows(data, offsets, width)
-                wanted = np.unique(batch.column("wanted").slice(first, len(offsets) - 1).flatten().to_numpy(zero_copy_only=False))
-                held = ok[np.isin(short(window_hashes(h, width)[ok]), wanted)]
+                wanted = batch.column("wanted").slice(first, len(offsets) - 1).flatten().to_numpy(zero_copy_only=False)
+                held = ok[np.isin(window_anchors(h, width)[ok].view(np.int64), wanted)]
                 raw = data.tobytes()
                 each = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
                 digests = b"".join([hashlib.blake2b(b" ".join(each[p : p + width]), digest_size=16).digest() for p in held.tolist()])

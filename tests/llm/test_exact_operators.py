@@ -135,7 +135,11 @@ def test_index_finds_hits_of_a_later_batch(spark, docs):
     assert hits and all(len(texts[r["content"]]) >= 13 for r in hits)
     both = {r["content"] for r in hits} & {r["content"] for r in keyed.filter("key < 200").collect()}
     assert both  # the documents of history that a new one meets
+    whole = spark.table(index.runs[0]).unionByName(spark.table(index.runs[1])).select("anchor", "content", "windows")
+    want = {(r["anchor"], r["content"], tuple(sorted(r["windows"]))) for r in whole.collect()}
     index.compact()
+    got = [(r["anchor"], r["content"], tuple(sorted(r["windows"]))) for r in spark.table(index.runs[0]).collect()]
+    assert len(got) == len(want) and set(got) == want
     assert len({r["tableName"] for r in spark.sql("SHOW TABLES").collect()} - before) == 1
     index.drop()
     assert {r["tableName"] for r in spark.sql("SHOW TABLES").collect()} == before
