@@ -13,16 +13,23 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where that setting is missing (tests on one machine), a temporary folder takes its place
-    for the rest of the session.
+    Where that setting is missing on a local master (tests on one machine), a temporary folder takes its place for the rest
+    of the application; on a cluster that is an error, as executors would not see the driver's folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="concord-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _own_folder.setdefault(context.applicationId, "")
+        if not base:
+            base = _own_folder[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="spark-concord-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -4,7 +4,8 @@ A feature is an n-gram of one to three lower-cased characters, hashed into ``buc
 the text's n-grams times its inverse document frequency. Weights are trained with follow-the-regularised-leader
 (per-coordinate rates, L1 and L2 penalties, so most weights stay zero), then one temperature is fitted on a part of
 the sample that training did not see. The sample is bounded: about ``per_label`` documents of each language, chosen
-by a hash of doc_id, whole texts. Prediction is one vectorised pass over all documents, without a shuffle.
+by a hash of doc_id, and at most ``SAMPLE_LABELS`` languages (the most frequent); of a text in the sample, its n-gram counts go to
+the driver, at most BUCKETS of them however long the text is. Prediction is one vectorised pass over all documents, without a shuffle.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if no labelled
 row is there to learn from; repeated rows agree; other columns are ignored.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, in_small_batches
 from .wordbytes import mix
 
-BUCKETS, SIZES, PER_LABEL, EPOCHS = 1 << 16, (1, 2, 3), 1000, 3
+BUCKETS, SIZES, PER_LABEL, EPOCHS, SAMPLE_LABELS = 1 << 16, (1, 2, 3), 1000, 3, 200
 ALPHA, BETA, L1, L2, SCALE = 0.3, 1.0, 0.002, 0.01, 30.0
 SLICE_CHARS = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -93,15 +94,36 @@ def _features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return bucket, count * (SCALE / len(all_grams))
 
 
+def shrink(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weights of the follow-the-regularised-leader state (z, n): zero within the L1 penalty."""
+    return np.where(np.abs(a) <= L1, 0, -(a - np.sign(a) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+
+
+def leader_step(z: np.ndarray, n: np.ndarray, x: np.ndarray, bias: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The state of a document's features and the bias after one document of class y with feature values x."""
+    w = shrink(z, n)
+    s = x @ w + bias
+    p = np.exp(s - s.max())
+    p /= p.sum()
+    p[y] -= 1
+    g = x[:, None] * p
+    n_new = n + g * g
+    return z + g - (np.sqrt(n_new) - np.sqrt(n)) / ALPHA * w, n_new, bias - 0.01 * p
+
+
 def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 8) -> LanguageModel:
     """Of (text, label) pairs."""
-    sample = [(t, y) for t, y in sample if t and _LETTER.search(t)]
-    labels = sorted({y for _, y in sample})
+    return train_counted([(*_features(t), y) for t, y in sample if t and _LETTER.search(t)], epochs, seed)
+
+
+def train_counted(sample: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = EPOCHS, seed: int = 8) -> LanguageModel:
+    """Of (buckets, values, label), as ``_features`` gives them."""
+    labels = sorted({y for _, _, y in sample})
     k = len(labels)
     if not k:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0)
     rng = np.random.default_rng(seed)
-    rows = [(*_features(t), labels.index(y)) for t, y in sample]
+    rows = [(b, x, labels.index(y)) for b, x, y in sample]
     order = rng.permutation(len(rows)).tolist()
     held = order[: len(rows) // 5] if len(rows) >= 50 else []
     learn = order[len(held) :]
@@ -112,8 +134,7 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 8) ->
     z, n, bias = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k)), np.zeros(k)
 
     def weights(bucket):
-        a = z[bucket]
-        return np.where(np.abs(a) <= L1, 0, -(a - np.sign(a) * L1) / ((BETA + np.sqrt(n[bucket])) / ALPHA + L2))
+        return shrink(z[bucket], n[bucket])
 
     def logits(i):
         return (rows[i][1] * idf[rows[i][0]]) @ weights(rows[i][0]) + bias
@@ -121,16 +142,7 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 8) ->
     for _ in range(epochs):
         for i in rng.permutation(learn).tolist():
             bucket, x, y = rows[i][0], rows[i][1] * idf[rows[i][0]], rows[i][2]
-            w = weights(bucket)
-            s = x @ w + bias
-            p = np.exp(s - s.max())
-            p /= p.sum()
-            p[y] -= 1
-            g = x[:, None] * p
-            n_new = n[bucket] + g * g
-            z[bucket] += g - (np.sqrt(n_new) - np.sqrt(n[bucket])) / ALPHA * w
-            n[bucket] = n_new
-            bias -= 0.01 * p
+            z[bucket], n[bucket], bias = leader_step(z[bucket], n[bucket], x, bias, y)
     temperature = 1.0
     if held:
         scores, truth = np.array([logits(i) for i in held]), np.array([rows[i][2] for i in held])
@@ -148,15 +160,25 @@ def train(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 8) ->
 def fit(docs: DataFrame, per_label: int = PER_LABEL) -> LanguageModel:
     """Learns from rows with a label whose crc32 of doc_id is not 2 modulo 4; about ``per_label`` of each label."""
     known = docs.filter(F.col("lang").isNotNull() & (F.coalesce(crc_mod("doc_id", 4), F.lit(0)) != 2)).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row for each language
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(SAMPLE_LABELS).collect()}
     if not counts:
         return train([])
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, per_label / n))).otherwise(share)
     u = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = known.filter(u < share).limit(2 * per_label * len(counts)).collect()
-    return train([(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (str(r["doc_id"]), r["lang"], r["text"] or ""))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text, lang in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "lang"))):
+                if text and _LETTER.search(text):
+                    bucket, x = _features(text)
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i], pa.int64()), "lang": [lang], "bucket": [bucket.astype("<i4").tobytes()], "x": [x.astype("<f8").tobytes()]})
+
+    sample = known.filter(u < share).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    counted = in_small_batches(sample).mapInArrow(count, "doc_id long, lang string, bucket binary, x binary")
+    rows = sorted(counted.limit(2 * per_label * len(counts)).collect(), key=lambda r: (str(r["doc_id"]), r["lang"], r["bucket"], r["x"]))
+    return train_counted([(np.frombuffer(r["bucket"], "<i4").astype(np.int64), np.frombuffer(r["x"], "<f8"), r["lang"]) for r in rows])
 
 
 def language_report(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:

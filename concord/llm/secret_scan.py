@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from .common import in_small_batches
 
@@ -161,8 +161,10 @@ def redact(text: str | None, spans, mask: str) -> str | None:
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "<secret>") -> DataFrame:
-    """``docs`` with the secrets of its text column masked, columns and their order unchanged (null text stays null)."""
+    """``docs`` with the secrets of its text column masked, columns and their order unchanged (null text stays null);
+    ``n_chars``, where there is such a column of longs, counts the characters of a changed text anew."""
     schema = docs.schema
+    counted = any(f.name == "n_chars" and f.dataType == LongType() for f in schema.fields)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,6 +173,9 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", mask: str = "<secret
             new = [redact(t, [dict(zip(("kind", "start", "end"), s)) for s in find_spans(t)], mask) for t in texts]
             columns = [batch.column(i) for i in range(batch.num_columns)]
             columns[at] = pa.array(new, batch.schema.field(at).type)
+            if counted:
+                n = batch.schema.get_field_index("n_chars")
+                columns[n] = pa.array([c if a == b else len(b) for a, b, c in zip(texts, new, columns[n].to_pylist())], pa.int64())
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return in_small_batches(docs).mapInArrow(scan, schema)

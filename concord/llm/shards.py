@@ -1,7 +1,8 @@
 """Token shards as sorted string tables (operator 1).
 
 Documents are range-partitioned and sorted by (doc_id, hash of the text); each task encodes its texts and
-writes one shard. A shard holds blocks of prefix-compressed keys with their token ids, then a sparse index of
+writes shards, a new one whenever the last has reached ``shard_bytes``, so neither files nor a task's memory grow with the data.
+A shard holds blocks of prefix-compressed keys with their token ids, then a sparse index of
 the blocks' first keys, a Bloom filter of the keys and a footer of fixed size. A key is the identifier in eight
 big-endian bytes with the sign bit turned, so bytes sort as numbers do; a null identifier is the empty key and
 sorts first. A lookup reads footer, filter and index, searches the index in halves and decodes one block.
@@ -30,7 +31,7 @@ from .common import file_system, in_small_batches, materialise, partitions, shar
 
 MAGIC = b"CSST0001"
 FOOTER = struct.Struct("<QQQQQQQ8s")
-BLOCK_BYTES = 1 << 16
+BLOCK_BYTES, SHARD_BYTES = 1 << 16, 256 << 20
 BITS_PER_KEY, PROBES = 10, 7
 
 
@@ -174,8 +175,9 @@ class ShardReader:
         return out
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shards: int | None = None) -> DataFrame:
-    """Writes the shards below ``folder`` (shared by all executors); one row for each: shard, file, n_docs, n_tokens, n_bytes."""
+def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int = 2, shards: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Writes the shards below ``folder`` (shared by all executors); one row for each: part, shard (in order within the
+    part), file, n_docs, n_tokens, n_bytes."""
     spark = docs.sparkSession
     n = shards or partitions(spark)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
@@ -186,39 +188,48 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
         from .span_tokens import encoder
 
-        encode, part = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, part, made = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         fs, base = file_system(folder)
         fs.create_dir(base, recursive=True)
-        name = f"shard-{part:06d}-{uuid.uuid4().hex[:12]}.sst"
-        writer = sink = None
+        run, writer, sink = uuid.uuid4().hex[:12], None, None
+
+        def name() -> str:
+            return f"shard-{part:06d}-{made:04d}-{run}.sst"
+
+        def close() -> pa.RecordBatch:
+            size = writer.close()
+            sink.close()
+            fs.move(f"{base}/.{name()}", f"{base}/{name()}")
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "shard": pa.array([made], pa.int32()), "file": [name()], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens], "n_bytes": [size]})
+
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
             for first, ids, offsets in encode.encode(batch.column("text")):
-                if writer is None:
-                    sink = fs.open_output_stream(f"{base}/.{name}")
-                    writer = ShardWriter(sink)
                 for i in range(len(offsets) - 1):
+                    if writer is None:
+                        sink = fs.open_output_stream(f"{base}/.{name()}")
+                        writer = ShardWriter(sink)
                     writer.add(key_of(keys[first + i]), np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)))
+                    if writer.at >= shard_bytes:
+                        yield close()
+                        writer, made = None, made + 1
         if writer is not None:
-            size = writer.close()
-            sink.close()
-            fs.move(f"{base}/.{name}", f"{base}/{name}")
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([part], pa.int32()), "file": [name], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens], "n_bytes": [size]})
+            yield close()
 
-    return materialise(in_small_batches(ordered).mapInArrow(write, "shard int, file string, n_docs long, n_tokens long, n_bytes long"), "manifest")
+    return materialise(in_small_batches(ordered).mapInArrow(write, "part int, shard int, file string, n_docs long, n_tokens long, n_bytes long"), "manifest")
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, shard, start (ids of the shard before it) and the ids (little-endian, 32 bits each) of each entry."""
+    """doc_id, file, start (ids of the shard before it) and the ids (little-endian, 32 bits each) of each entry."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         for batch in batches:
-            for shard, name in zip(batch.column("shard").to_pylist(), batch.column("file").to_pylist()):
+            for name in batch.column("file").to_pylist():
                 with fs.open_input_file(f"{base}/{name}") as source:
                     rows, start, held = [], 0, 0
                     for key, ids in ShardReader(source).scan():
-                        rows.append((id_of(key), shard, start, ids.tobytes()))
+                        rows.append((id_of(key), name, start, ids.tobytes()))
                         start, held = start + len(ids), held + len(ids)
                         if held > 1 << 20:
                             yield _rows(rows)
@@ -226,19 +237,22 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return manifest.select("shard", "file").repartition(max(1, partitions(manifest.sparkSession))).mapInArrow(read, "doc_id long, shard int, start long, ids binary")
+    return manifest.select("file").repartition(max(1, partitions(manifest.sparkSession))).mapInArrow(read, "doc_id long, file string, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     a, b, c, d = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["doc_id", "shard", "start", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.string()), pa.array(c, pa.int64()), pa.array(d, pa.binary())], ["doc_id", "file", "start", "ids"])
 
 
-def shard_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and shard of each document, from the files as read back."""
+def shard_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and file of each document, from the files as read back."""
     folder = shared_dir(docs.sparkSession, "shards")
-    manifest = write_shards(docs, tokenizer_path, folder, end_id)
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for each shard
-    base = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    found = read_shards(manifest, folder).select("doc_id", "shard", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "shard")
+    manifest = write_shards(docs, tokenizer_path, folder, end_id, shard_bytes=shard_bytes)
+    # shards of a part are summed in the part, parts over their totals: one row for each part
+    inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
+    parts = parts.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    base = manifest.join(parts, "part").select("file", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("base"))
+    found = read_shards(manifest, folder).select("doc_id", "file", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return found.join(base, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "file")

@@ -1,28 +1,31 @@
 """Exact top-k search (operator 10): exhaustive term-at-a-time accumulation over blocks.
 
 A vector is a sparse row of (term, integer weight) pairs, a term being a component's position. Candidates are
-packed into blocks of ``block_rows``; a block keeps one posting list per term. Queries are packed into blocks
-as well, and every query block meets every candidate block (a stated query set against all rows, in blocks).
-In a task, each term in turn scatters its weighted postings into dense score arrays; a partition selection
+packed into blocks of ``BLOCK_ROWS``; a block keeps one posting list per term. Queries are packed into blocks
+as well, and every query block meets every candidate block (a stated query set against all rows, in blocks): candidate
+blocks are dealt out once, over as many groups as there are shuffle partitions, and the query blocks, the smaller side by
+far, go to every group. In a task, each term in turn scatters its weighted postings into dense score arrays; a partition selection
 keeps the k best of the block per query, and a window merges the blocks' lists.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; vectors of
 unequal length score over the terms that both have; rows with the query's own vec_id are no candidates for it;
 a repeated query row is a query of its own; ties go to the smaller vec_id; vec_ids that are null take no part;
-scores beyond the range of a long are clamped to it.
+integers are exact whatever the size of a component; scores beyond the range of a long are clamped to it before they are ranked.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from fractions import Fraction
+from math import floor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions
 
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 _SAFE = 1 << 23  # below it, 2**16 products stay within 62 bits
@@ -40,13 +43,14 @@ def _weights(values, scale: float) -> np.ndarray:
     """One row per vector; short ones end in zeros. Python integers where 64 bits could overflow."""
     width = max((len(v) for v in values), default=0)
     dense = np.zeros((len(values), width))
-    for i, v in enumerate(values):
-        dense[i, : len(v)] = np.floor(np.asarray(v, float) * scale)
+    with np.errstate(over="ignore"):
+        for i, v in enumerate(values):
+            dense[i, : len(v)] = np.floor(np.asarray(v, float) * scale)
     if np.abs(dense).max(initial=0) < _SAFE and width < 1 << 16:
         return dense.astype(np.int64)
     exact = np.zeros(dense.shape, object)
     for i, j in zip(*np.nonzero(dense)):
-        exact[i, j] = int(dense[i, j])
+        exact[i, j] = int(dense[i, j]) if np.isfinite(dense[i, j]) else floor(Fraction(float(values[i][j])) * Fraction(scale))
     return exact
 
 
@@ -69,18 +73,17 @@ def accumulate(query: np.ndarray, lists, n: int) -> np.ndarray:
     scores = np.zeros(n, np.int64 if small else object)
     for term, rows, weights in lists:
         if term < len(query) and (q := query[term]) != 0:
+            if not small:
+                weights, q = weights.astype(object), int(q)
             if rows is None:
                 scores += weights * q
             else:
                 scores[rows] += weights * q
-    return scores
+    return scores if small else np.clip(scores, _LOW, _HIGH).astype(np.int64)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, allowed: np.ndarray, k: int) -> list[tuple[int, int]]:
     """The k best (vec_id, score) of the allowed rows; ties to the smaller id."""
-    if scores.dtype == object:
-        order = sorted(np.flatnonzero(allowed), key=lambda i: (-scores[i], ids[i]))[:k]
-        return [(int(ids[i]), max(_LOW, min(_HIGH, int(scores[i])))) for i in order]
     rows = np.flatnonzero(allowed)
     s = scores[rows]
     if len(s) > k:
@@ -126,13 +129,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     queries = given.filter(is_query(F.col("vec_id")))
     blocks = _pack(given, "block", BLOCK_ROWS, scale)
     asked = materialise(_pack(queries.repartition(queries.count() // QUERY_ROWS + 1), "asked", QUERY_ROWS, scale), "queries")
-    numbers = [r["asked"] for r in asked.select("asked").collect()]  # one number per block of queries
+    groups = partitions(vectors.sparkSession)
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = ids = lists = None
         for batch in batches:
-            for block_data, number, asked_data in zip(batch["block_data"], batch["asked"], batch["asked_data"]):
-                ids, weights = pickle.loads(block_data)
-                lists = postings(weights if weights.dtype == object else weights.astype(np.int64))
+            for block, block_data, number, asked_data in zip(batch["block"], batch["block_data"], batch["asked"], batch["asked_data"]):
+                if block != held:
+                    ids, weights = pickle.loads(block_data)
+                    held, lists = block, postings(weights if weights.dtype == object else weights.astype(np.int64))
                 own, rows = pickle.loads(asked_data)
                 rows = rows if rows.dtype == object else rows.astype(np.int64)
                 out = []
@@ -141,7 +146,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
                     out += [(int(query_id), int(number) * QUERY_ROWS + i, v, s) for v, s in found]
                 yield pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
 
-    pairs = blocks.withColumn("asked", F.explode(F.lit(numbers).cast("array<long>"))).join(asked, "asked")
+    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    pairs = dealt.join(asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group").drop("group")
     partial = pairs.mapInPandas(search, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     merged = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

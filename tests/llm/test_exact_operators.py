@@ -20,11 +20,14 @@ def docs():
     return documents()
 
 
-def test_token_shards(spark, docs):
+@pytest.mark.parametrize("shard_bytes", [1 << 28, 1])
+def test_token_shards(spark, docs, shard_bytes):
     from concord.llm.shards import shard_report
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    got = shard_report(frame(spark, docs), path).orderBy("start").collect()
+    got = shard_report(frame(spark, docs), path, shard_bytes=shard_bytes).orderBy("start").collect()
+    files = len({r["file"] for r in got})
+    assert files > 4 if shard_bytes == 1 else files <= 4
     ids = [r["doc_id"] for r in got]
     assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
     start = 0
@@ -295,3 +298,20 @@ def test_genetic_algorithm_beats_its_seed():
     assert all(sum(sizes[i] for i in x) <= 12 for x in found)
     assert lower_bound(sizes, 12) <= len(found) <= len(bins)
     assert found == evolve(sizes, [], [1, 2], 12)[0]
+
+
+def test_crossover_improves_packings(monkeypatch):
+    """Over some instances of few, large items, the evolved packings need fewer bins than the best of the first generation."""
+    from concord.llm import packing
+
+    def used():
+        r, total = np.random.default_rng(7), 0
+        for _ in range(12):
+            sizes = r.integers(150, 500, 120).tolist()
+            total += len(packing.evolve(sizes, [], [3], 1000)[0])
+        return total
+
+    monkeypatch.setattr(packing, "GENERATIONS", 60)
+    evolved = used()
+    monkeypatch.setattr(packing, "cross", lambda a, b, sizes, rng, capacity: [list(x) for x in a])
+    assert evolved < used()

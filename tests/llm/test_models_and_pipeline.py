@@ -1,4 +1,4 @@
-"""Trained operators on held-out rows, secrets and top-k against plain versions, and the pipeline's stages."""
+"""Trained operators on held-out rows and against plain steps, secrets against plain versions, and the pipeline's stages."""
 
 import hashlib
 import re
@@ -41,6 +41,44 @@ def test_quality(spark):
     assert len(odd) == len(documents()) and {r["score"] for r in odd} == {0.5}
 
 
+def test_leader_step_is_the_plain_one():
+    from concord.llm.language import ALPHA, BETA, L1, L2, leader_step
+
+    r = np.random.default_rng(4)
+    z, n, x, bias = r.normal(size=(7, 3)) * 0.01, r.random((7, 3)), r.random(7), r.normal(size=3)
+    w = [[0.0 if abs(z[i, k]) <= L1 else -(z[i, k] - (L1 if z[i, k] > 0 else -L1)) / ((BETA + n[i, k] ** 0.5) / ALPHA + L2) for k in range(3)] for i in range(7)]
+    s = [sum(x[i] * w[i][k] for i in range(7)) + bias[k] for k in range(3)]
+    p = [np.exp(v) / sum(np.exp(u) for u in s) for v in s]
+    new_z, new_n, new_bias = leader_step(z, n, x, bias, 1)
+    for i in range(7):
+        for k in range(3):
+            g = (p[k] - (k == 1)) * x[i]
+            sigma = ((n[i, k] + g * g) ** 0.5 - n[i, k] ** 0.5) / ALPHA
+            assert np.isclose(new_z[i, k], z[i, k] + g - sigma * w[i][k]) and np.isclose(new_n[i, k], n[i, k] + g * g)
+    assert np.allclose(new_bias, bias - 0.01 * (np.array(p) - [0, 1, 0]))
+
+
+def test_trees_walk_like_plain_trees():
+    from concord.llm.quality import train
+
+    r = np.random.default_rng(6)
+    x = r.normal(size=(600, 5))
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.7).astype(float)
+    model = train(x[:400], y[:400], trees=12)
+
+    def plain(row):
+        total = model.base
+        for node in model.roots:
+            while model.threshold[node] != np.inf:  # a leaf has no threshold
+                node = model.child[node] + (1 if row[model.feature[node]] > model.threshold[node] else 0)
+            total += model.value[node]
+        return 1 / (1 + np.exp(-total))
+
+    got = model.score(x)
+    assert np.allclose(got, [plain(row) for row in x])
+    assert np.mean((got[400:] >= 0.5) == (y[400:] == 1)) > 0.9
+
+
 def plain_secrets(text):
     text, out = text or "", []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A):
