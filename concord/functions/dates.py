@@ -8,15 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
-_ISO = r"^(\d{4})-(\d{1,2})-(\d{1,2})$"
-_NUMERIC = r"^(\d{1,4})[/.-](\d{1,2})[/.-](\d{1,4})$"
-_MONTH_FIRST = r"^([A-Za-z]+)\.?[\s-]+(\d{1,2})(?:st|nd|rd|th)?,?[\s-]+(\d{4})$"
-_DAY_FIRST = r"^(\d{1,2})(?:st|nd|rd|th)?[\s-]+([A-Za-z]+)\.?,?[\s-]+(\d{4})$"
-
-
-def _month(c: Column) -> Column:
-    names = {m: i + 1 for i, m in enumerate(MONTHS)} | {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.lower(c)).cast("string")
+#: Months by name, first three letters, and one more spelling; years that count.
+MONTH_NUMBERS = {m: i + 1 for i, m in enumerate(MONTHS)} | {m[:3]: i + 1 for i, m in enumerate(MONTHS)} | {"sept": 9}
+FIRST_YEAR, LAST_YEAR = 1900, 2100
+#: The shapes of dates - numbers, month first, day first - and the names of their formats.
+_SPACE = r"[\s\p{Z}\x1c-\x1f\x85-]+"
+_NUMBERS = r"(\d{1,4})([/.-])(\d{1,2})([/.-])(\d{1,4})"
+_MONTH_FIRST = rf"([a-z]{{3,9}})\.?{_SPACE}(\d{{1,2}})(?:st|nd|rd|th)?,?{_SPACE}(\d{{4}})"
+_DAY_FIRST = rf"(\d{{1,2}})(?:st|nd|rd|th)?\.?{_SPACE}([a-z]{{3,9}})\.?,?{_SPACE}(\d{{4}})"
+ISO, MONTH_DAY, DAY_MONTH, YEAR_FIRST, EITHER_WAY, DMY, MDY = "ISO-8601", "MMMM D YYYY", "D MMMM YYYY", "YYYY/MM/DD", "identical either way", "DD/MM/YYYY", "MM/DD/YYYY"
+#: All parts by one replacement; a text of no shape gives empty parts.
+_PARTS = rf"(?i)^(?:{_NUMBERS}|{_MONTH_FIRST}|{_DAY_FIRST}|[\s\S]*)$"
+_OUT = "$1\x01$2$4\x01$3\x01$5\x01$6\x01$7\x01$8\x01$9\x01$10\x01$11"
 
 
 def let(x: Column, body: Callable[[Column], Column]) -> Column:
@@ -24,52 +27,58 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(x), body), 1)
 
 
-def _groups(t: Column) -> Column:
-    """Which pattern a trimmed text has, and its three parts."""
-    kind = F.when(t.isNull() | (t == ""), F.lit("empty"))
-    parts = [F.lit("")] * 3
-    for name, pattern in (("numeric", _NUMERIC), ("day", _DAY_FIRST), ("month", _MONTH_FIRST), ("iso", _ISO)):
-        parts = [F.when(t.rlike(pattern), F.regexp_extract(t, pattern, i + 1)).otherwise(x) for i, x in enumerate(parts)]
-    for name, pattern in (("iso", _ISO), ("month", _MONTH_FIRST), ("day", _DAY_FIRST), ("numeric", _NUMERIC)):
-        kind = kind.when(t.rlike(pattern), F.lit(name))
-    return F.struct(kind.otherwise(F.lit("none")).alias("kind"), *[x.alias(n) for x, n in zip(parts, "abc")])
+def _iso(y: Column, m: Column, d: Column) -> Column:
+    """The date as text if it is in the calendar and its year counts; else null."""
+    leap = (y % 4 == 0) & ((y % 100 != 0) | (y % 400 == 0))
+    last = F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    real = y.between(FIRST_YEAR, LAST_YEAR) & m.between(1, 12) & (d >= 1) & (d <= last)
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.when(real, F.concat(y.cast("string"), F.lit("-"), two(m), F.lit("-"), two(d)))
 
 
-def _readings(g: Column) -> Column:
-    """The text as an ISO-like date in its first reading (day first, where numbers leave a choice) and its second."""
-    kind, a, b, c = (g[n] for n in ("kind", "a", "b", "c"))
-    year_first = (kind == "iso") | (F.length(a) == 4)
-    month = F.when(kind == "month", _month(a)).when(kind == "day", _month(b)).otherwise(b)
-    day = F.when(kind == "month", b).when(year_first, c).otherwise(a)
-    year = F.when(year_first & (kind != "month"), a).otherwise(c)
-    joined = lambda y, m, d: F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    fits = (F.length(year) == 4) & (F.length(day) <= 2) & month.isNotNull() & kind.isin("iso", "month", "day", "numeric")
-    choice = fits & (kind == "numeric") & ~year_first
-    return F.struct(kind.alias("kind"), (kind == "numeric").alias("numeric"), year_first.alias("year_first"), F.try_to_date(F.when(fits, joined(year, month, day)), "yyyy-MM-dd").alias("one"), F.try_to_date(F.when(choice, joined(c, a, b)), "yyyy-MM-dd").alias("two"))
+def _read(t: Column, g: Column) -> Column:
+    """The parts as numbers, in the first reading (day first, where numbers leave a choice), and what shape they have."""
+    n = lambda i: F.nullif(g[i], F.lit("")).cast("int")  # noqa: E731 - digits or nothing, so no cast fails
+    names = F.create_map(*[F.lit(x) for kv in MONTH_NUMBERS.items() for x in kv])
+    shape = (
+        F.when(g[4] != "", F.lit(MONTH_DAY)).when(g[7] != "", F.lit(DAY_MONTH)).when(g[0] == "", F.lit("")).when((F.length(g[0]) == 4) & (g[1] == "--") & (F.length(g[3]) <= 2), F.lit(ISO))
+        .when(F.length(g[0]) == 4, F.lit(YEAR_FIRST)).when(F.length(g[3]) == 4, F.lit(DMY)).otherwise(F.lit("no year"))
+    )
+    word = F.concat(g[4], g[8])
+    return F.struct(
+        t.alias("t"), shape.alias("shape"), word.alias("word"), F.coalesce(n(6), n(9), F.when(F.length(g[0]) == 4, n(0)).otherwise(n(3))).alias("y"),
+        F.when(word != "", F.try_element_at(names, F.lower(word))).otherwise(n(2)).alias("m"), F.coalesce(n(5), n(7), F.when(F.length(g[0]) == 4, n(3)).otherwise(n(0))).alias("d"),
+    )
 
 
 def _settled(r: Column) -> Column:
-    """status (empty, parsed, ambiguous, invalid), value, format, day_first, month_first."""
-    iso = lambda d: F.when(F.year(d).between(1900, 2100), F.date_format(d, "yyyy-MM-dd"))
-    one, two = iso(r["one"]), iso(r["two"])
-    either = r["numeric"] & ~r["year_first"]
-    ambiguous = either & (F.year(r["one"]).between(1900, 2100)) & (F.year(r["two"]).between(1900, 2100)) & (r["one"] != r["two"])
-    ambiguous = F.coalesce(ambiguous, F.lit(False))
+    """status (empty, parsed, ambiguous, invalid), value, format, day_first, month_first, reason."""
+    t, shape, one, two = r["r"]["t"], r["r"]["shape"], r["one"], r["two"]
+    ambiguous = F.coalesce(one != two, F.lit(False))
     value = F.when(~ambiguous, F.coalesce(one, two))
-    status = F.when(r["kind"] == "empty", F.lit("empty")).when(ambiguous, F.lit("ambiguous")).when(value.isNotNull(), F.lit("parsed")).otherwise(F.lit("invalid"))
-    fmt = (
-        F.when(r["kind"] == "iso", F.lit("YYYY-MM-DD")).when(r["kind"] == "month", F.lit("Month D, YYYY")).when(r["kind"] == "day", F.lit("D Month YYYY"))
-        .when(r["year_first"], F.lit("YYYY/MM/DD")).when(one.isNotNull(), F.lit("DD/MM/YYYY")).otherwise(F.lit("MM/DD/YYYY"))
+    status = F.when(t.isNull() | (t == ""), F.lit("empty")).when(ambiguous, F.lit("ambiguous")).when(value.isNotNull(), F.lit("parsed")).otherwise(F.lit("invalid"))
+    fmt = F.when(shape != DMY, shape).when(one == two, F.lit(EITHER_WAY)).when(one.isNotNull(), F.lit(DMY)).otherwise(F.lit(MDY))
+    reason = (
+        F.when(shape == "", F.concat(F.lit('"'), t, F.lit('" is not a recognised date format'))).when(shape == "no year", F.concat(t, F.lit(" has no four-digit year, so the century would be a guess")))
+        .when((r["r"]["word"] != "") & r["r"]["m"].isNull(), F.concat(F.lit('unrecognised month "'), r["r"]["word"], F.lit('"'))).otherwise(F.concat(t, F.lit(" is not a real calendar date")))
+    )
+    return F.struct(
+        status.alias("status"), value.alias("value"), F.when(value.isNotNull(), fmt).alias("format"), F.when(shape == DMY, one).alias("day_first"), F.when(shape == DMY, two).alias("month_first"),
+        F.when((t != "") & value.isNull() & ~ambiguous, reason).alias("reason"),
     )
-    return F.struct(status.alias("status"), value.alias("value"), F.when(status == "parsed", fmt).alias("format"), F.when(either, one).alias("day_first"), F.when(either, two).alias("month_first"))
 
 
 def parse_date(c: Column) -> Column:
-    """The calendar date that a text spells, as a struct. Every step is bound once, so a filter on the result that the optimizer
-    moves below it repeats one small expression."""
+    """The calendar date that a text spells, as a struct: one regular expression, then numbers. Every step is bound once, so a
+    filter on the result that the optimizer moves below it repeats one small expression."""
     from .text import trim_surrounding
 
-    return let(let(let(trim_surrounding(c), _groups), _readings), _settled)
+    def both(r: Column) -> Column:
+        fits = r["shape"] != "no year"
+        return F.struct(r.alias("r"), F.when(fits, _iso(r["y"], r["m"], r["d"])).alias("one"), F.when(r["shape"] == DMY, _iso(r["y"], r["d"], r["m"])).alias("two"))
+
+    parts = lambda t: F.struct(t.alias("t"), F.split(F.regexp_replace(t, _PARTS, _OUT), "\x01").alias("g"))
+    return let(let(let(let(trim_surrounding(c), parts), lambda x: _read(x["t"], x["g"])), both), _settled)
 
 
 def with_dates(df: DataFrame, made: dict[str, Column]) -> DataFrame:

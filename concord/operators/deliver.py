@@ -74,3 +74,92 @@ def space_out(requests: DataFrame, lane: str, time: str, order: list[str], gap:
     i = (F.row_number().over(w) - 1).cast("long")
     df = requests.withColumn("i", i)
     return df.withColumn("slot", F.max(F.col(time) - F.col("i") * gap).over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("i") * gap).drop("i")
+
+
+def backoff(status: Column, attempt: Column, retry_after: Column | None = None) -> Column:
+    """Seconds before the next attempt of an answer that may be tried again: what the destination asks for, else a power of two;
+    two seconds after a timeout (null status). Null where no attempt follows."""
+    asked = F.lit(None).cast("double") if retry_after is None else retry_after.cast("double")
+    wait = F.when(status.isNull(), F.lit(2.0)).otherwise(F.coalesce(asked, F.pow(F.lit(2.0), attempt)))
+    return F.when(classify(status, attempt) == "retry_wait", wait)
+
+
+def deliverable(records: DataFrame, intents: DataFrame) -> DataFrame:
+    """Records (id, disposition) that are to be sent: ready, waiting, or failed while their intent (record_id, state) still waits."""
+    rows = records.join(intents.select(F.col("record_id").alias("id"), F.col("state").alias("intent_state")), "id", "left")
+    again = (F.col("disposition") == "failed") & (F.col("intent_state") == "retry_wait")
+    return rows.filter(F.col("disposition").isin("ready", "retry_wait") | F.coalesce(again, F.lit(False))).drop("intent_state")
+
+
+ANSWER = "struct<detail:struct<message:string,errors:array<struct<message:string>>>>"
+
+
+def failure_text(body: Column, status: Column, attempt: Column) -> Column:
+    """Why a destination refused a record: its message and the first three of its errors; else the status, where it was tried
+    again, or the answer's own words (200 characters)."""
+    parsed = F.from_json(body, ANSWER)["detail"]
+    listed = F.array_join(F.transform(F.slice(parsed["errors"], 1, 3), lambda e: F.coalesce(e["message"], F.lit(""))), "; ")
+    message = F.coalesce(parsed["message"], F.lit("The destination rejected the record."))
+    worded = F.when(F.coalesce(F.size(parsed["errors"]), F.lit(0)) > 0, F.trim(F.concat(message, F.lit(" "), listed))).otherwise(message)
+    tried = F.concat(F.lit("The destination returned "), status.cast("string"), F.lit(" on every one of "), attempt.cast("string"), F.lit(" attempts. It may need checking before retrying."))
+    return F.when(parsed.isNotNull(), worded).when(status.isin(*RETRYABLE), tried).otherwise(F.coalesce(F.get_json_object(body, "$.detail"), F.left(body, F.lit(200))))
+
+
+def find_receipt(receipts: DataFrame, key: str) -> DataFrame:
+    return receipts.filter(F.col("key") == key)
+
+
+def count_receipts(receipts: DataFrame, run: str) -> DataFrame:
+    return receipts.filter(F.col("run_id") == run).agg(F.count(F.lit(1)).alias("n"))
+
+
+def schema_envelope(contract: Contract) -> str:
+    """What a destination needs of a contract, as one header value: Base64 of compact JSON."""
+    import base64
+    import json
+
+    fields = []
+    for f in contract.fields:
+        row: dict = {"name": f.name, "label": f.title, "kind": f.kind, "required": f.required}
+        row |= {"enum_values": list(f.values)} if f.values else {}
+        row |= {"not_before": f.not_before} if f.not_before else {}
+        row |= {"max_length": f.max_length} if f.max_length else {}
+        fields.append(row)
+    return base64.b64encode(json.dumps({"name": contract.name, "fields": fields}, separators=(",", ":")).encode()).decode("ascii")
+
+
+def read_envelope(c: Column) -> Column:
+    """Name and fields of an envelope column; null where it cannot be read."""
+    text = F.try_to_binary(c, F.lit("base64")).cast("string")
+    return F.from_json(text, "struct<name:string,fields:array<struct<name:string,label:string,kind:string,required:boolean,enum_values:array<string>,not_before:string,max_length:int>>>")
+
+
+def remaining(used: Column, limit: int) -> Column:
+    return F.greatest(F.lit(0), F.lit(limit) - used)
+
+
+def may_ask(used: Column, per_run: int = 6) -> Column:
+    """Whether a run may make one more model request."""
+    return used < per_run
+
+
+def retryable_error(name: Column) -> Column:
+    """Whether the class of an error names something that passes."""
+    return F.lower(name).rlike("rate|timeout|connection|server|apierror")
+
+
+def describe_columns(columns: DataFrame, profiles: DataFrame, samples: int = 3) -> DataFrame:
+    """column_id and one line for a prompt: id, header, shape, how full and how varied the column is, and a few samples."""
+    from ..functions.text import safe_value
+
+    rows = columns.select("column_id", "header").join(profiles, "column_id", "left").withColumn("few", F.slice(F.coalesce("samples", F.array().cast("array<string>")), 1, samples))
+    each = rows.select("*", F.posexplode_outer("few").alias("place", "sample")).withColumn("safe", F.when(F.col("sample").isNotNull(), safe_value(F.col("sample"))))
+    shown = each.groupBy("column_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("safe").isNotNull(), F.struct("place", "safe")))), lambda x: x["safe"]), ", ").alias("examples"))
+    number = lambda c: F.col(c).cast("string")
+    line = F.concat_ws(
+        " ", F.concat(F.lit("- id="), F.col("column_id")), F.concat(F.lit("header="), safe_value(F.col("header"))),
+        F.when(F.col("total_count").isNotNull(), F.concat(F.lit("shape="), F.coalesce(F.get("detected_kinds", F.lit(0)), F.lit("unknown")))),
+        F.concat(F.lit("filled="), number("non_empty_count"), F.lit("/"), number("total_count")), F.concat(F.lit("distinct="), number("distinct_count")),
+        F.when(F.col("examples") != "", F.concat(F.lit("examples=["), F.col("examples"), F.lit("]"))),
+    )
+    return rows.join(shown, "column_id").select("column_id", line.alias("line"))

@@ -37,27 +37,46 @@ def candidates(columns: DataFrame, contract: Contract, learned: DataFrame | None
 
 
 def decide(columns: DataFrame, contract: Contract, learned: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
-    """column_id, file_id, target, outcome, gate: the first gate that applies decides."""
-    found = candidates(columns, contract, learned)
-    index = spelling_index(columns.sparkSession, contract).filter("ambiguous").select(F.col("spelling").alias("h"), F.lit(True).alias("shared"))
+    """column_id, file_id, target, outcome, gate: the first gate that applies decides.
+
+    A header that several fields claim stays a question unless a learned rule sends this very header to one of them; contention
+    looks at the contract alone. Ignored columns (header) leave before the gates.
+    """
+    spark = columns.sparkSession
+    rows = columns.withColumn("h", normalize_header(F.col("header"))).withColumn("skip", F.lit(False))
+    if ignored is not None:
+        rows = rows.drop("skip").join(ignored.select(F.col("header").alias("h"), F.lit(True).alias("skip")).distinct(), "h", "left").withColumn("skip", F.coalesce("skip", F.lit(False)))
+    index = spelling_index(spark, contract).filter("ambiguous").select(F.col("spelling").alias("h"), "targets", F.lit(True).alias("claimed"))
+    index = index.withColumn("settled", F.lit(False))
     if learned is not None:
-        index = index.join(learned.select(F.col("header").alias("h")), "h", "left_anti")
+        by_rule = index.drop("settled").join(learned.select(F.col("header").alias("h"), "field_name"), "h").filter(F.array_contains("targets", F.col("field_name"))).select("h", F.lit(True).alias("s")).distinct()
+        index = index.join(by_rule, "h", "left").withColumn("settled", F.coalesce("s", F.lit(False)))
+    found = candidates(columns, contract, learned)
     each = found.groupBy("column_id").agg(F.count_if("viable").alias("n_viable"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("viable"), F.col("target"))).alias("one"))
-    rows = columns.withColumn("h", normalize_header(F.col("header"))).join(each, "column_id", "left").join(F.broadcast(index), "h", "left")
-    lone = F.when(F.col("n_viable") == 1, F.when(F.col("shared").isNull(), F.col("one")))
+    rows = rows.join(each, "column_id", "left").join(F.broadcast(index.select("h", "claimed", "settled")), "h", "left")
+    lone = F.when((F.col("n_viable") == 1) & F.col("claimed").isNull() & ~F.col("skip"), F.col("one"))
     rows = rows.withColumn("lone", lone).withColumn("rivals", F.count("lone").over(Window.partitionBy("file_id", "lone")))
-    skip = F.lit(False)
-    if ignored is not None:
-        rows = rows.join(ignored.select(F.col("header").alias("h"), F.lit(True).alias("skip")), "h", "left")
-        skip = F.coalesce("skip", F.lit(False))
     gate = (
-        F.when(skip, F.lit("ignored")).when(F.col("shared"), F.lit("shared_header")).when(F.col("lone").isNotNull() & (F.col("rivals") > 1), F.lit("contended"))
+        F.when(F.col("skip"), F.lit("ignored")).when(F.col("claimed") & ~F.col("settled"), F.lit("shared_header")).when(F.col("lone").isNotNull() & (F.col("rivals") > 1), F.lit("contended"))
         .when(F.col("n_viable") == 1, F.lit("mapped")).when(F.col("n_viable") > 1, F.lit("several")).when(F.col("n") > 0, F.lit("mismatch")).otherwise(F.lit("unknown"))
     )
     outcome = F.when(gate == "mapped", F.lit("AUTO_MAPPED")).when(gate == "ignored", F.lit("EXCLUDED")).otherwise(F.lit("ESCALATED"))
     return rows.select("column_id", "file_id", F.when(gate == "mapped", F.col("one")).alias("target"), outcome.alias("outcome"), gate.alias("gate"))
 
 
+def preview_change(columns: DataFrame, contract: Contract, rule: DataFrame) -> DataFrame:
+    """column_id, before, after of the columns whose target or outcome a header rule (header, field_name) would change."""
+    a, b = decide(columns, contract).alias("a"), decide(columns, contract, rule).alias("b")
+    changed = a.join(b, "column_id").filter(~F.col("a.target").eqNullSafe(F.col("b.target")) | ~F.col("a.outcome").eqNullSafe(F.col("b.outcome")))
+    return changed.select("column_id", F.col("a.target").alias("before"), F.col("b.target").alias("after"))
+
+
+def with_profiles(columns: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Columns with the kinds of their profile; none where there is no profile."""
+    kinds = profiles.select("column_id", F.col("detected_kinds").alias("kinds"))
+    return columns.join(kinds, "column_id", "left").withColumn("kinds", F.coalesce("kinds", F.array().cast("array<string>")))
+
+
 def required_missing(decisions: DataFrame, found: DataFrame, contract: Contract) -> DataFrame:
     """Required fields that nothing supplies or offers; none while a column is unknown."""
     spark = decisions.sparkSession
@@ -67,9 +86,10 @@ def required_missing(decisions: DataFrame, found: DataFrame, contract: Contract)
 
 
 def effective(decisions: DataFrame) -> DataFrame:
-    """The latest accepted decision (column_id, target, outcome, pos) of each column."""
-    order = Window.partitionBy("column_id").orderBy(F.col("pos").desc())
-    return decisions.filter(F.col("outcome").isin("AUTO_MAPPED", "HUMAN_CORRECTION")).withColumn("r", F.row_number().over(order)).filter("r = 1").drop("r")
+    """The latest accepted decision (column_id, target, outcome, pos) of each column, by a partial aggregate."""
+    rest = [c for c in decisions.columns if c != "column_id"]
+    last = decisions.filter(F.col("outcome").isin("AUTO_MAPPED", "HUMAN_CORRECTION")).groupBy("column_id").agg(F.max_by(F.struct(*rest), "pos").alias("d"))
+    return last.select("column_id", "d.*")
 
 
 def project(rows: DataFrame, mapping: dict[str, str], contract: Contract, order: str, file_id: str, file_ordinal: int) -> DataFrame:

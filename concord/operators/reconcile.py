@@ -30,7 +30,7 @@ def merge(rows: DataFrame, contract: Contract, rules: dict[str, dict[str, str]]
         *[F.min(F.when(F.col(f"t_{n}") != "", value(n))).alias(f"f_{n}") for n in names],
         *[F.min_by(n, "ord").alias(f"b_{n}") for n in names],
     )
-    joined = some.select("key", "ord", *[f"t_{n}" for n in names], *[f"c_{n}" for n in names]).join(firsts.select("key", *[f"f_{n}" for n in names]), "key")
+    joined = some.select("key", "ord", *[f"t_{n}" for n in names], *[f"c_{n}" for n in names]).join(firsts, "key")
     later = lambda n: F.coalesce((F.col(f"t_{n}") != "") & (F.col("ord") > F.col(f"f_{n}.ord")), F.lit(False))
     same = lambda n: (F.col(f"t_{n}") == F.col(f"f_{n}.t")) | F.coalesce(F.col(f"c_{n}") == F.col(f"f_{n}.c"), F.lit(False))
     joined = joined.withColumns({f"eq_{n}": later(n) & same(n) for n in names} | {f"ne_{n}": later(n) & ~same(n) for n in names})
@@ -41,7 +41,8 @@ def merge(rows: DataFrame, contract: Contract, rules: dict[str, dict[str, str]]
             F.min(F.when(eq, F.col("ord"))).alias(f"at_{n}"), F.min(F.when(ne, F.col("ord"))).alias(f"lo_{n}"), F.max(F.when(ne, F.col("ord"))).alias(f"hi_{n}"),
             F.collect_set(F.when(ne, F.col(f"t_{n}"))).alias(f"cs_{n}"),
         ]
-    both, fields, conflicts = firsts.join(joined.groupBy("key").agg(*parts), "key"), [], []
+    carried = ["n_rows", "first_ord", *[f"{p}_{n}" for p in "fb" for n in names]]  # alike in all rows of a key
+    both, fields, conflicts = joined.groupBy("key").agg(*[F.any_value(c).alias(c) for c in carried], *parts), [], []
     for n in names:
         raw, trimmed, at = F.col(f"f_{n}.v"), F.col(f"f_{n}.t"), F.col(f"at_{n}")
         fc = F.nullif(F.col(f"f_{n}.c"), F.lit(""))

@@ -71,3 +71,57 @@ def generalisable(decisions: DataFrame, contract: Contract, types: tuple[str, ..
     shared = [s for s, names in contract.spelling_index().items() if len(names) > 1]
     claimed = normalize_header(F.coalesce("header", F.lit(""))).isin(*shared) if shared else F.lit(False)
     return decisions.filter(F.col("type").isin(*types) & ~F.coalesce("action", F.lit("")).isin("reject", "exclude") & ~claimed)
+
+
+_KEYS = ("kind", "header", "field_name", "value", "canonical", "date_order", "schema_id")
+
+
+def accept_new(proposed: DataFrame, held: DataFrame, keys: tuple[str, ...] = _KEYS, order: str = "pos") -> DataFrame:
+    """Proposed rules whose content (null-safe on all keys) neither a held rule nor an earlier proposal has."""
+    rest = [c for c in proposed.columns if c not in keys]
+    first = proposed.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").alias("n")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    return first.join(held.select(*keys).distinct().alias("h"), same, "left_anti")
+
+
+DRAFTABLE, READINGS = ("HEADER_ALIAS", "VALUE_ALIAS", "DATE_ORDER"), ("day_first", "month_first")
+
+
+def verify_drafts(drafts: DataFrame, contract: Contract) -> DataFrame:
+    """rule_id, refused, scope: the first reason against a drafted rule (null: none), and whether it helps the run that made it
+    (value) or later ones (column). drafts: rule_id, generalises, kind and the parts of a rule."""
+    from .review import check_rules
+
+    form = drafts.withColumn("term", F.when(F.col("kind") == "HEADER_ALIAS", normalize_header(F.coalesce("header", F.lit("")))).otherwise(F.col("value")))
+    checked = check_rules(form.select("rule_id", "kind", "field_name", "term", "canonical"), contract).withColumnRenamed("refused", "by_schema")
+    kind = F.col("kind")
+    reason = (
+        F.when(~F.coalesce("generalises", F.lit(False)), F.lit("The model judged that this decision does not generalise."))
+        .when(~kind.isin(*DRAFTABLE), F.lit("The model proposed a kind of rule the engine does not accept."))
+        .when((kind == "DATE_ORDER") & ~F.coalesce(F.col("date_order").isin(*READINGS), F.lit(False)), F.lit("The drafted date rule named no usable reading."))
+        .otherwise(F.coalesce(shape_error(), F.col("by_schema")))
+    )
+    return drafts.join(checked, "rule_id").select("rule_id", reason.alias("refused"), F.when(kind.isin("VALUE_ALIAS", "DATE_ORDER"), F.lit("value")).otherwise(F.lit("column")).alias("scope"))
+
+
+def learned_from_mappings(verified: DataFrame, columns: DataFrame, contract: Contract, schema_id: str) -> DataFrame:
+    """Header rules (kind, header, field_name, schema_id, scope) that verified mappings (column_id, target) teach, but those
+    that the contract refuses."""
+    from .review import check_rules
+
+    rows = verified.join(columns.select("column_id", normalize_header(F.col("header")).alias("header")), "column_id").filter("header <> ''")
+    rows = rows.select(F.concat_ws(":", "header", "target").alias("rule_id"), F.lit("HEADER_ALIAS").alias("kind"), "header", F.col("target").alias("field_name")).distinct()
+    fine = check_rules(rows.select("rule_id", "kind", "field_name", F.col("header").alias("term"), F.lit(None).cast("string").alias("canonical")), contract).filter("refused IS NULL")
+    return rows.join(fine.select("rule_id"), "rule_id", "left_semi").select("kind", "header", "field_name", F.lit(schema_id).alias("schema_id"), F.lit("column").alias("scope"))
+
+
+def search(rules: DataFrame, text: str) -> DataFrame:
+    """Rules that mention the text: field and canonical value as they are, header and value in normal form; case does not count."""
+    import re
+
+    needle = text.strip().lower()
+    if not needle:
+        return rules
+    plain = re.sub(r"[^a-z0-9]+", "", needle)
+    has = lambda c, x: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(x))
+    return rules.filter(has("header", plain) | has("field_name", needle) | has("value", plain) | has("canonical", needle))

@@ -414,7 +414,7 @@ def decision_validation(spark, sf_dir):
 def record_corrections(spark, sf_dir):
     r = reconcile.merge(union_rows(spark, sf_dir), ORDER)
     number = F.right("key", F.lit(7)).cast("long")
-    fixes = r.filter(number % 11 == 0).select(F.col("id").alias("record_id"), F.lit("customerEmail").alias("field"), F.lit("fixed@example.com").alias("value"))
+    fixes = r.filter(number % 11 == 0).select(F.col("id").alias("record_id"), F.lit("customerEmail").alias("field"), F.lit("fixed@example.com").alias("value"), F.lit(1).alias("pos"))
     out = review.apply_corrections(r, fixes, r.filter(number % 17 == 0).select(F.col("id").alias("record_id")), ORDER)
     return out.select("id", "customerEmail", F.col("revision").cast("long").alias("revision"), "excluded")
 
@@ -434,8 +434,7 @@ def rule_layering(spark, sf_dir):
 @query("WITH r AS (SELECT 'rule_' || event_id AS rule_id FROM events), o AS (SELECT 'rule_' || event_id AS rule_id FROM events WHERE event_id % 4 = 3) SELECT rule_id, rule_id IN (SELECT rule_id FROM o) AS overridden FROM r")
 def rule_listing_overridden(spark, sf_dir):
     rules = _rules(spark, sf_dir)
-    off = rules.filter("n % 4 = 3").select("rule_id", F.lit(True).alias("o"))
-    return rules.join(off, "rule_id", "left").select("rule_id", F.coalesce("o", F.lit(False)).alias("overridden"))
+    return review.overridden(rules, rules.filter("n % 4 = 3").select(F.col("rule_id").alias("targets_rule_id"), F.lit(True).alias("enabled"))).select("rule_id", "overridden")
 
 
 @query(f"WITH {values('spell', 'spelling, target, kind', _SPELL)}, s AS (SELECT spelling, min(target) AS target FROM spell GROUP BY 1 HAVING count(*) = 1) SELECT 'HEADER_ALIAS' AS kind, target AS field_name, spelling AS term FROM s WHERE spelling <> lower(target) UNION ALL SELECT 'VALUE_ALIAS', 'tier', t FROM (VALUES {', '.join(repr((a,)).replace(',)', ')') for a in ENUM.value_aliases)}) v(t)")
@@ -454,10 +453,7 @@ def rule_schema_check(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('f0:c5', NULL, 'tier')) t(column_id, before, after)")
 def rule_preview_header(spark, sf_dir):
     some = headers(spark).filter(F.col("file_id").isin("f0") & ~F.col("column_id").isin("f0:c3", "f0:c4"))
-    rule = spark.createDataFrame([("warehouse", "tier")], "header string, field_name string")
-    a, b = mapping.decide(some, ORDER), mapping.decide(some, ORDER, rule)
-    changed = a.alias("a").join(b.alias("b"), "column_id").filter(~F.col("a.target").eqNullSafe(F.col("b.target")) | ~F.col("a.outcome").eqNullSafe(F.col("b.outcome")))
-    return changed.select("column_id", F.col("a.target").alias("before"), F.col("b.target").alias("after"))
+    return mapping.preview_change(some, ORDER, spark.createDataFrame([("warehouse", "tier")], "header string, field_name string"))
 
 
 _SHAPES = [
@@ -533,9 +529,7 @@ def rule_hits(spark, sf_dir):
 @query("SELECT event_type, user_id, min(event_id) AS event_id FROM events WHERE event_type <> 'view' GROUP BY 1, 2")
 def accept_dedup(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
-    first = e.groupBy("event_type", "user_id").agg(F.min("event_id").alias("event_id"))
-    held = e.filter("event_type = 'view'").select(F.col("event_type").alias("t"), F.col("user_id").alias("u"))
-    return first.join(held, first["event_type"].eqNullSafe(held["t"]) & first["user_id"].eqNullSafe(held["u"]), "left_anti")
+    return rulebook.accept_new(e, e.filter("event_type = 'view'"), ("event_type", "user_id"), "event_id")
 
 
 # --- delivery, admission, audit ---
@@ -667,3 +661,4 @@ def event_days(spark, sf_dir):
     return windowed_counts(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
 
 
+from . import run_queries  # noqa: E402, F401 - registers its queries
