@@ -19,11 +19,34 @@ COMPATIBLE = {
     "enum": ("enum", "text"),
 }
 MAX_FIELDS, MAX_SPEC_BYTES = 40, 256 * 1024
-#: Words that stand for each other in headers.
-SYNONYMS = {
-    "id": ("number", "code", "ref", "no"), "number": ("id", "no", "num"), "ref": ("id", "number", "reference"), "date": ("on", "day"), "email": ("mail", "emailaddress"),
-    "name": ("title",), "customer": ("client", "cust"), "placed": ("ordered", "created"), "shipped": ("dispatched", "sent"), "start": ("joining", "join", "hire"), "end": ("leaving", "exit"), "tier": ("level", "class"),
-}
+#: Words that stand for each other in headers.
+VOCABULARY = {
+    "employee": ("emp", "empl", "staff", "worker", "personnel", "associate"),
+    "identifier": ("id", "no", "num", "number", "code", "ref"),
+    "id": ("no", "num", "number", "code", "ref"),
+    "name": ("nm", "nam"),
+    "email": ("mail", "eml", "emailaddress", "mailid"),
+    "phone": ("tel", "telephone", "mobile", "contact"),
+    "date": ("dt", "on"),
+    "department": ("dept", "div", "division", "team", "unit", "function"),
+    "type": ("typ", "kind", "category", "cat"),
+    "status": ("state", "stat"),
+    "start": ("join", "joining", "joined", "hire", "hired", "commencement", "from"),
+    "end": ("exit", "leaving", "left", "termination", "separation", "last", "to"),
+    "work": ("office", "company", "business", "corporate", "official"),
+    "full": ("complete", "legal", "display"),
+    "employment": ("engagement", "contract", "job"),
+    "first": ("fore", "given"),
+    "last": ("sur", "family"),
+    "amount": ("amt", "value", "total"),
+    "address": ("addr", "location"),
+    "city": ("town",),
+    "country": ("nation",),
+}
+#: Headers of row numbers, which no contract takes as a field.
+STRUCTURAL = {"sno", "srno", "serialno", "index", "rowid", "row", "no", "sl", "slno"}
+#: Spellings shorter than this name too much.
+MIN_SPELLING = 3
 _FIELD_NAME = re.compile(r"^[A-Za-z][A-Za-z0-9_]{0,63}$")
 
 
@@ -37,18 +60,20 @@ def split_words(text: str) -> list[str]:
     return [w.lower() for w in re.split(r"[^A-Za-z0-9]+", spaced) if w]
 
 
+def field_words(name: str, label: str) -> list[str]:
+    """The words of a field: those of its name, or of its label where the name is one word."""
+    own = split_words(name)
+    return own if len(own) > 1 else [w for w in re.split(r"[^a-z0-9]+", label.lower()) if w] or own
+
+
 def derive_spellings(name: str, label: str) -> set[str]:
-    """Headers that name a field without a declared alias."""
-    out = {normal(name), normal(label)}
-    for words in (split_words(name), split_words(label)):
-        if not words:
-            continue
-        out.add("".join(words))
-        if len(words) > 1:
-            out.add(words[-1])
-        for choice in itertools.product(*[(w, *SYNONYMS.get(w, ())) for w in words]):
-            out.add("".join(choice))
-    return {s for s in out if len(s) > 2}
+    """Headers that name a field without a declared alias: name, label, the last word alone, and the words with any of their
+    stand-ins."""
+    words = field_words(name, label)
+    out = {normal(name), normal(label), *(normal("".join(w)) for w in itertools.product(*[(w, *VOCABULARY.get(w, ())) for w in words]))}
+    if len(words) > 1:
+        out.add(normal(words[-1]))
+    return {s for s in out if len(s) >= MIN_SPELLING}
 
 
 @dataclass(frozen=True)
@@ -141,33 +166,59 @@ class Contract:
 ORDER = Contract(
     "Order",
     (
-        Field("orderRef", "identifier", "Order ref", required=True, identity=True),
-        Field("customerEmail", "email", "Customer email", required=True, unique=True),
+        Field("orderRef", "identifier", "Order ref", required=True, identity=True, aliases=("order number",)),
+        Field("customerEmail", "email", "Customer email", required=True, unique=True, aliases=("client email",)),
         Field("placedDate", "date", "Placed date", required=True),
-        Field("shippedDate", "date", "Shipped date", not_before="placedDate"),
+        Field("shippedDate", "date", "Shipped date", not_before="placedDate", aliases=("dispatched date",)),
         Field(
             "tier", "enum", "Tier", values=("urgent", "high", "medium", "not_specified", "low"),
             value_aliases={"1urgent": "urgent", "2high": "high", "3medium": "medium", "4notspecified": "not_specified", "5low": "low"}, aliases=("priority",),
         ),
     ),
 )
+#: Headers that name either date of employment, and the spellings of its kinds.
+_EITHER_DATE = ("dates", "employmentdate", "effectivedate", "contractdate")
+_EMPLOYMENT = {
+    "fulltime": "full_time", "full": "full_time", "permanent": "full_time", "fte": "full_time", "regular": "full_time",
+    "parttime": "part_time", "part": "part_time",
+    "contract": "contract", "contractor": "contract", "contractual": "contract", "temporary": "contract", "temp": "contract", "fixedterm": "contract",
+    "intern": "intern", "internship": "intern", "trainee": "intern", "apprentice": "intern",
+}
+#: The contract of an employee record, with its aliases.
 EMPLOYEE = Contract(
     "Employee",
     (
-        Field("employeeId", "identifier", "Employee ID", required=True, identity=True, aliases=("emp_id", "employee number", "staff id")),
-        Field("fullName", "person_name", "Full name", required=True, aliases=("emp_nm", "name"), max_length=200),
-        Field("workEmail", "email", "Work email", required=True, unique=True, aliases=("email", "company email")),
-        Field("startDate", "date", "Start date", required=True, aliases=("doj", "joining date", "date")),
-        Field("endDate", "date", "End date", aliases=("leaving date", "date"), not_before="startDate"),
-        Field("department", "text", "Department", aliases=("dept", "division", "team"), max_length=120),
-        Field("employmentType", "enum", "Employment type", aliases=("emp_type", "engagement type"), values=("full_time", "part_time", "contract", "intern"),
-              value_aliases={"permanent": "full_time", "ft": "full_time", "pt": "part_time", "contractor": "contract", "internship": "intern", "trainee": "intern"}),
+        Field(
+            "employeeId", "identifier", "Employee ID", required=True, identity=True,
+            aliases=("employeeid", "empid", "employeenumber", "empno", "employeecode", "empcode", "staffid", "staffnumber", "personnelnumber", "workerid", "id"),
+        ),
+        Field(
+            "fullName", "person_name", "Full name", required=True, max_length=200,
+            aliases=("fullname", "name", "employeename", "empname", "empnm", "staffname", "displayname", "legalname", "completename"),
+        ),
+        Field(
+            "workEmail", "email", "Work email", required=True, unique=True,
+            aliases=("workemail", "email", "emailaddress", "officeemail", "companyemail", "businessemail", "corporateemail", "workmail"),
+        ),
+        Field(
+            "startDate", "date", "Start date", required=True,
+            aliases=("startdate", "joindate", "joiningdate", "dateofjoining", "doj", "hiredate", "datehired", "employmentstartdate", "commencementdate", *_EITHER_DATE),
+        ),
+        Field(
+            "endDate", "date", "End date", not_before="startDate",
+            aliases=("enddate", "exitdate", "leavingdate", "dateofleaving", "dol", "terminationdate", "lastworkingday", "lastdate", "separationdate", "employmentenddate", *_EITHER_DATE),
+        ),
+        Field("department", "text", "Department", max_length=120, aliases=("department", "dept", "departmentname", "division", "team", "businessunit", "function", "orgunit")),
+        Field(
+            "employmentType", "enum", "Employment type", values=("full_time", "part_time", "contract", "intern"), value_aliases=_EMPLOYMENT,
+            aliases=("employmenttype", "emptype", "employeetype", "contracttype", "workertype", "employmentstatus", "engagementtype"),
+        ),
     ),
 )
 
 #: Type and format words of specifications.
 _TYPE_WORDS = {"date": "date", "datetime": "date", "timestamp": "date", "date-time": "date", "email": "email", "identifier": "identifier", "id": "identifier", "uuid": "identifier", "enum": "enum", "person_name": "person_name"}
-_NAME_WORDS = {"id": "identifier", "ref": "identifier", "code": "identifier", "number": "identifier", "email": "email", "mail": "email", "date": "date", "on": "date", "name": "person_name"}
+_NAME_WORDS = {"id": "identifier", "identifier": "identifier", "ref": "identifier", "reference": "identifier", "code": "identifier", "number": "identifier", "no": "identifier", "tag": "identifier", "email": "email", "mail": "email", "date": "date", "on": "date", "at": "date", "day": "date", "name": "person_name"}
 
 
 def _field_of(name: str, spec, required: set[str]) -> tuple[Field, list[str]]:
@@ -266,17 +317,22 @@ def field_name(header: str, taken: set[str]) -> str:
     return next(n for n in (name, *(f"{name[:61]}{i}" for i in range(2, 100))) if n not in taken)
 
 
+def header_label(header: str) -> str:
+    """A header as words with capitals, as a reader would write it."""
+    words = re.split(r"[\s_\-./\\|]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", header.strip()))
+    return " ".join(w[:1].upper() + w[1:] for w in words if w)
+
+
 def infer_contract(profiles: list[dict], name: str = "Detected") -> Contract:
     """From column profiles (header, kinds in order of detection). Never infers required, identity, unique or enum."""
     fields, seen, taken = [], set(), set()
     for i, p in enumerate(profiles):
         key = normal(p["header"]) or f"#{i}"
-        if key in seen or len(fields) == MAX_FIELDS:
+        if key in seen or key in STRUCTURAL or len(fields) == MAX_FIELDS:
             continue
         seen.add(key)
         made = field_name(p["header"], taken)
         taken.add(made)
         kind = (p["kinds"] or ["text"])[0]
-        label = " ".join(w[:1].upper() + w[1:] for w in re.split(r"[\s_\-./\\|]+", re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", p["header"].strip())) if w)
-        fields.append(Field(made, "text" if kind == "enum" else kind, label))
+        fields.append(Field(made, "text" if kind == "enum" else kind, header_label(p["header"])))
     return Contract(name, tuple(fields) or (Field("field1"),))

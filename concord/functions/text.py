@@ -1,8 +1,9 @@
-"""String expressions of the reconciler. All stay inside code generation but ``prompt_text`` and Unicode normalisation in ``scrub``."""
+"""String expressions of the reconciler. All stay inside code generation but ``prompt_text`` and ``mask_secrets_json``."""
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import sys
 import unicodedata
@@ -86,22 +87,6 @@ def truncate_sample(c: Column, limit: int = 120) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.left(c, F.lit(limit - 3)), F.lit("..."))).otherwise(c)
 
 
-@F.pandas_udf(StringType())
-def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode NFC, which Spark has no function for."""
-    for s in parts:
-        yield s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
-
-
-def scrub(c: Column, limit: int) -> Column:
-    """Text that may stand in a prompt: no invisible or control characters, no chat markers, one blank at a time, cut to the limit."""
-    t = F.regexp_replace(_composed(c), r"[​-‏⁠-⁤﻿­]", "")
-    t = F.regexp_replace(t, r"[\p{Cc}\p{Cf}]", " ")
-    t = F.regexp_replace(t, r"(?i)<\|[^|>]*\|>|</?(?:system|user|assistant)>|^\s*(?:system|user|assistant)\s*:", "[masked]")
-    t = F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
-    return F.when(F.length(t) > limit, F.concat(F.left(t, F.lit(limit - 1)), F.lit("…"))).otherwise(t)
-
-
 @functools.cache
 def _prompt_patterns():
     """Zero-width and bidirectional characters; all of Cc and Cf; what imitates the structure of a prompt."""
@@ -142,9 +127,34 @@ def safe_value(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(prompt_text(c, 60), F.lit('"'), F.lit("'")), F.lit('"'))
 
 
+_SECRET = r"secret|token|authorization|api_key"
+
+
 def mask_secrets(m: Column) -> Column:
     """A map with the values of secret-looking keys masked."""
-    return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike("secret|token|authorization|api_key"), F.lit("***")).otherwise(v))
+    return F.transform_values(m, lambda k, v: F.when(F.lower(k).rlike(_SECRET), F.lit("***")).otherwise(v))
+
+
+def mask_secrets_json(c: Column) -> Column:
+    """JSON text with the values of secret-looking keys masked at every depth; text that is no JSON stays as it is."""
+
+    @F.pandas_udf(StringType())
+    def masked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def walk(x):
+            if isinstance(x, dict):
+                return {k: "***" if re.search(_SECRET, k.lower()) else walk(v) for k, v in x.items()}
+            return [walk(v) for v in x] if isinstance(x, list) else x
+
+        def one(x):
+            try:
+                return None if x is None else json.dumps(walk(json.loads(x)), separators=(",", ":"), ensure_ascii=False)
+            except ValueError:
+                return x
+
+        for s in parts:
+            yield s.map(one)
+
+    return masked(c)
 
 
 def owner_pseudonym(issuer: Column, subject: Column) -> Column:

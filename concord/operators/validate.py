@@ -49,6 +49,13 @@ def errors(contract: Contract, col=F.col) -> Column:
     return F.array_compact(F.array(*out, *[m for m in missing if m is not None], *extra))
 
 
+def unknown_fields(values: Column, contract: Contract) -> Column:
+    """Errors for the keys of a record (a map) that the contract does not have; they name no field."""
+    names = F.array_sort(F.array_except(F.map_keys(values), F.array(*[F.lit(f.name) for f in contract.fields])))
+    message = lambda n: F.concat(F.lit("Additional properties are not allowed ('"), n, F.lit("' was unexpected)"))
+    return F.transform(names, lambda n: F.struct(F.lit(None).cast("string").alias("field"), F.lit("additionalProperties").alias("code"), message(n).alias("message")))
+
+
 _RULE = {"email": "lowercase_email_domain", "date": "normalize_date", "enum": "canonicalize_enum"}
 
 

@@ -6,6 +6,7 @@ import csv
 import datetime
 import hashlib
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -13,11 +14,13 @@ from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_SHEETS, MAX_EXPANDED = 32, 16 * 1024 * 1024
-ROWS = "file_name string, checksum string, sheet string, row long, header array<string>, cells array<string>, error string"
+#: Columns that ``scan_csv`` looks for at least.
+MAX_WIDTH = 50
+ROWS = "file_name string, checksum string, sheet string, row long, header array<string>, cells array<string>, warning string, error string"
 
 
 @dataclass(frozen=True)
@@ -29,24 +32,42 @@ class Limits:
     cell: int | None = None
 
 
-def parse_csv(content: bytes, limits: Limits) -> tuple[list[str], Iterator[tuple[int, list[str]]]]:
-    """Header and numbered rows. Blank rows go before numbering, short rows are padded, extra cells ignored."""
-    reader = csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""))
-    filled = (r for r in reader if any(c.strip() for c in r))
-    header = [c.strip() for c in next(filled, [])]
+def parse_csv(content: bytes, limits: Limits) -> tuple[list[str], Iterator[tuple[int, list[str], str | None]]]:
+    """Header and rows as (number, cells, warning); the header is row 1. Blank rows go before numbering, short rows are padded,
+    extra cells ignored with a warning. Every limit is checked over the whole file first, so a file gives all its rows or none."""
+    text = content.decode("utf-8-sig")
+    csv.field_size_limit(max(csv.field_size_limit(), len(text) + 1))
+
+    def filled() -> Iterator[list[str]]:
+        return (r for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r))
+
+    grid = filled()
+    first = next(grid, None)
+    if first is None:
+        raise ValueError("the file is empty.")
+    header = [c.strip() for c in first]
     if not any(header):
-        raise ValueError("the file is empty")
+        raise ValueError("the header row is empty.")
     if limits.columns is not None and len(header) > limits.columns:
-        raise ValueError(f"more than {limits.columns} columns")
-
-    def rows():
-        for n, r in enumerate(filled, 1):
-            if limits.rows is not None and n > limits.rows:
-                raise ValueError(f"more than {limits.rows} rows")
-            cells = (r + [""] * len(header))[: len(header)]
-            if limits.cell is not None and any(len(c) > limits.cell for c in cells):
-                raise ValueError(f"row {n}: a cell is longer than {limits.cell}")
-            yield n, cells
+        raise ValueError(f"{len(header)} columns exceeds the limit of {limits.columns}.")
+    n, long = 0, None
+    for r in grid:
+        n += 1
+        if long is None and limits.cell is not None:
+            long = next((i for i, c in enumerate(r) if len(c) > limits.cell), None)
+    if not n:
+        raise ValueError("the file has headers but no data rows.")
+    if limits.rows is not None and n > limits.rows:
+        raise ValueError(f"{n} rows exceeds the limit of {limits.rows}.")
+    if long is not None:
+        raise ValueError(f'a cell in column "{header[long] if long < len(header) else long + 1}" is too long (limit {limits.cell} characters).')
+
+    def rows() -> Iterator[tuple[int, list[str], str | None]]:
+        again = filled()
+        next(again)
+        for number, r in enumerate(again, 2):
+            extra = f"row {number} has more cells than headers; the extras were ignored." if len(r) > len(header) else None
+            yield number, (r + [""] * len(header))[: len(header)], extra
 
     return header, rows()
 
@@ -65,6 +86,13 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def number_text(raw: str) -> str:
+    """A stored number as text: whole numbers without a point, others in their shortest form."""
+    if re.fullmatch(r"-?\d+", raw):
+        return str(int(raw))
+    return repr(float(raw))
+
+
 def parse_xlsx(content: bytes) -> tuple[str, list[str], list[tuple[int, list[str]]]]:
     """Sheet, header and rows with their true numbers, of the one populated sheet. Formulas and error values are refused."""
     book = zipfile.ZipFile(io.BytesIO(content))
@@ -101,6 +129,8 @@ def parse_xlsx(content: bytes) -> tuple[str, list[str], list[tuple[int, list[str
                     text = "TRUE" if text == "1" else "FALSE"
                 elif kind == "n" and text and dates and dates[int(c.get("s", 0))]:
                     text = (datetime.date(1899, 12, 30) + datetime.timedelta(days=int(float(text)))).isoformat()
+                elif kind == "n" and text:
+                    text = number_text(text)
                 if kind == "e" or text in _ERRORS:
                     raise ValueError(f"{s.get('name')}!{c.get('r')} holds an error value")
                 if text:
@@ -117,7 +147,8 @@ def parse_xlsx(content: bytes) -> tuple[str, list[str], list[tuple[int, list[str
 
 def read_exports(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """Rows of all files below ``path`` (.csv, .txt, .xlsx) with name, checksum, sheet and row number; a file that cannot be
-    read gives one row with its error."""
+    read gives one row with its error and no other. Each file is whole in one task: for exports of the size that people upload.
+    ``scan_csv`` reads CSV files of any size."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,30 +156,47 @@ def read_exports(spark: SparkSession, path: str, limits: Limits = Limits()) -> D
         for part in parts:
             for p, content in zip(part["path"], part["content"]):
                 name, check = p.rsplit("/", 1)[-1], hashlib.sha256(content).hexdigest()[:32]
-                out = []
                 try:
                     if name.lower().endswith(".xlsx"):
-                        sheet, header, rows = parse_xlsx(content)
+                        sheet, header, cells = parse_xlsx(content)
+                        rows = iter([(n, c, None) for n, c in cells])
                     else:
                         sheet, (header, rows) = None, parse_csv(content, limits)
-                    for n, cells in rows:
-                        out.append((name, check, sheet, n, header, cells, None))
-                        if len(out) >= 5000:
-                            yield pd.DataFrame(out, columns=columns)
-                            out = []
-                    if not out and not header:
-                        raise ValueError("the file has no rows")
-                except (ValueError, KeyError, zipfile.BadZipFile) as e:
-                    out = [(name, check, None, None, None, None, f"{name}: {e}")]
-                yield pd.DataFrame(out, columns=columns)
+                except (ValueError, LookupError, TypeError, csv.Error, zipfile.BadZipFile, ElementTree.ParseError) as e:
+                    yield pd.DataFrame([(name, check, None, None, None, None, None, f"{name}: {e}")], columns=columns)
+                    continue
+                while some := [(name, check, sheet, n, header, cells, warning and f"{name} {warning}", None) for n, cells, warning in itertools.islice(rows, 5000)]:
+                    yield pd.DataFrame(some, columns=columns)
 
     return files.mapInPandas(read, ROWS)
 
 
+def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """file_name, row, header, cells of CSV files of any size, split over tasks by Spark's own reader. Row numbers count the rows
+    that are not blank, the header being 1; short rows are padded and extra cells cut, as in ``read_exports``.
+
+    Rows are numbered without moving them: the count of each piece of a file (one small row a piece) gives its first number.
+    A file with line breaks inside quotes needs ``multi_line``, which keeps each file whole in one task.
+    """
+    options = {"header": "false", "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"', "mode": "PERMISSIVE", "inferSchema": "false", "enforceSchema": "true"}
+    plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00", "maxCharsPerColumn": "-1"}
+    width = len(spark.read.options(**options, **plain).csv(path).columns)  # of the first file; others may be wider
+    heads = spark.read.options(**options, **plain).schema(", ".join(f"c{i} string" for i in range(max(width, MAX_WIDTH)))).csv(path)
+    cells = F.array(*[F.col(c) for c in heads.columns])
+    rows = heads.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.array_compact(cells).alias("cells"))
+    rows = rows.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("serial", F.monotonically_increasing_id())
+    pieces = rows.groupBy("path", "piece").agg(F.min("serial").alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("cells", "serial").alias("top"))
+    before = Window.partitionBy("path").orderBy("piece")
+    pieces = pieces.select("path", "piece", "first", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.first("top").over(before).alias("header"))
+    numbered = rows.join(pieces, ["path", "piece"]).withColumn("row", F.col("base") + F.col("serial") - F.col("first") + 1)
+    size = F.size("header")
+    full = F.slice(F.concat("cells", F.array_repeat(F.lit(""), size)), F.lit(1), size)
+    name = F.element_at(F.split("path", "/"), -1)
+    return numbered.filter("row > 1").select(name.alias("file_name"), "row", F.transform("header", lambda h: F.trim(h)).alias("header"), full.alias("cells"))
+
+
 def columns_of(rows: DataFrame) -> DataFrame:
     """column_id, file_id, header of each file, files numbered by name; positions keep repeated headers apart."""
     heads = rows.filter("header is not null").groupBy("file_name").agg(F.first("header").alias("header"))
-    from pyspark.sql import Window
-
     heads = heads.withColumn("file_id", F.concat(F.lit("f"), F.row_number().over(Window.orderBy("file_name")) - 1))  # one row for each file
     return heads.select("file_name", "file_id", F.posexplode("header").alias("i", "header")).select("file_name", "file_id", F.concat_ws(":", "file_id", F.concat(F.lit("c"), "i")).alias("column_id"), F.col("i").alias("position"), "header")
