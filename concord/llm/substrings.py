@@ -129,11 +129,13 @@ class FingerprintIndex:
             old = run.groupBy("anchor").agg(F.min("content").alias("old_lo"), F.max("content").alias("old_hi"))
             spread = spread.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
         near = spread.filter("lo < hi").select("anchor")
-        each = [run.join(near.hint("merge"), "anchor", "left_semi").select("anchor", "key", "content", F.lit(run is runs[-1]).alias("new"), F.explode("windows").alias("w")) for run in runs]
+        rows = [run.join(near.hint("merge"), "anchor", "left_semi").withColumn("new", F.lit(run is runs[-1])) for run in runs]
+        rows = materialise(reduce(DataFrame.unionByName, rows), "near-windows")  # a part of the runs, which are then not read again
         most = [F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("new").alias("fresh")]
-        same = reduce(DataFrame.unionByName, each).groupBy("anchor", "w").agg(*most).filter("fresh AND lo < hi AND least < most")
+        each = rows.select("anchor", "key", "content", "new", F.explode("windows").alias("w"))
+        same = each.groupBy("anchor", "w").agg(*most).filter("fresh AND lo < hi AND least < most")
         shared = materialise(same.select("anchor").distinct(), "shared-anchors")
-        return materialise(reduce(DataFrame.unionByName, [run.join(shared.hint("merge"), "anchor", "left_semi").select("content", "anchor") for run in runs]), "hits")
+        return materialise(rows.select("content", "anchor").join(shared, "anchor", "left_semi").select("content", "anchor"), "hits")
 
     def compact(self) -> None:
         """One run in place of all, which go. Of the rows that an anchor has for one content, that of the least key stays."""
@@ -187,6 +189,7 @@ def hit_windows(texts: DataFrame, hits: DataFrame, firsts: DataFrame, width: int
 def later_windows(windows: DataFrame) -> DataFrame:
     """key, content, pos of the windows whose words also start in a document with a smaller key."""
     least = windows.groupBy("d").agg(F.min("key").alias("least"), F.max("key").alias("most")).filter("least < most").select("d", "least")
+    least = materialise(least, "least-keys")  # a plain table, so that Spark may split a skewed side of the join
     return windows.join(least, "d").filter(F.col("key") > F.col("least")).select("key", "content", "pos")
 
 
