@@ -129,7 +129,7 @@ class FingerprintIndex:
             old = run.groupBy("anchor").agg(F.min("content").alias("old_lo"), F.max("content").alias("old_hi"))
             spread = spread.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
         near = spread.filter("lo < hi").select("anchor")
-        rows = [run.join(near.hint("merge"), "anchor", "left_semi").withColumn("new", F.lit(run is runs[-1])) for run in runs]
+        rows = [run.join(near.hint("shuffle_hash"), "anchor", "left_semi").withColumn("new", F.lit(run is runs[-1])) for run in runs]
         rows = materialise(reduce(DataFrame.unionByName, rows), "near-windows")  # a part of the runs, which are then not read again
         most = [F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("new").alias("fresh")]
         each = rows.select("anchor", "key", "content", "new", F.explode("windows").alias("w"))
