@@ -110,9 +110,9 @@ class FingerprintIndex:
         self.texts.append(materialise(keyed.select("key", "content", "text"), "texts"))
         return self.texts[-1]
 
-    def _write(self, rows: DataFrame) -> str:
-        """A managed table, so that dropping it removes its files."""
-        name = f"windows_{uuid.uuid4().hex}"
+    def _write(self, rows: DataFrame, name: str = "windows") -> str:
+        """A managed table, bucketed by anchor as all others, so that dropping it removes its files."""
+        name = f"{name}_{uuid.uuid4().hex}"
         with shuffles_dropped(self.spark):
             rows.sortWithinPartitions("anchor").write.option("compression", "zstd").bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
         return name
@@ -128,12 +128,13 @@ class FingerprintIndex:
         for run in runs[:-1]:
             old = run.groupBy("anchor").agg(F.min("content").alias("old_lo"), F.max("content").alias("old_hi"))
             spread = spread.join(old.hint("merge"), "anchor", "left").select("anchor", F.least("lo", "old_lo").alias("lo"), F.greatest("hi", "old_hi").alias("hi"))
-        near = spread.filter("lo < hi").select("anchor")
-        rows = [run.join(near.hint("shuffle_hash"), "anchor", "left_semi").withColumn("new", F.lit(run is runs[-1])) for run in runs]
+        near = self._write(spread.filter("lo < hi").select("anchor"), "near")  # in the runs' buckets: found once, joined to each run
+        rows = [run.join(self.spark.table(near).hint("shuffle_hash"), "anchor", "left_semi").select("anchor", "content", "windows", F.lit(run is runs[-1]).alias("new")) for run in runs]
         rows = materialise(reduce(DataFrame.unionByName, rows), "near-windows")  # a part of the runs, which are then not read again
-        most = [F.min("content").alias("lo"), F.max("content").alias("hi"), F.min("key").alias("least"), F.max("key").alias("most"), F.max("new").alias("fresh")]
-        each = rows.select("anchor", "key", "content", "new", F.explode("windows").alias("w"))
-        same = each.groupBy("anchor", "w").agg(*most).filter("fresh AND lo < hi AND least < most")
+        self.spark.sql(f"DROP TABLE {near}")
+        each = rows.select("anchor", "content", "new", F.explode("windows").alias("w"))
+        most = [F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("new").alias("fresh")]
+        same = each.groupBy("anchor", "w").agg(*most).filter("fresh AND lo < hi")
         shared = materialise(same.select("anchor").distinct(), "shared-anchors")
         return materialise(rows.select("content", "anchor").join(shared, "anchor", "left_semi").select("content", "anchor"), "hits")
 
