@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contract import COMPATIBLE
 
+#: The shapes that values are tested for.
 EMAIL = r"^[^\s@]+@[^\s@.]+(\.[^\s@.]+)+$"
 IDENTIFIER = r"^[A-Za-z0-9][A-Za-z0-9._/-]*$"
 PERSON = r"(?U)^[\p{L}\p{Nl}\p{No}][^\p{Nd}_]*\s[^\p{Nd}_]+$"

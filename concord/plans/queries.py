@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..contract import COMPATIBLE, ORDER, infer_contract, parse_spec, to_yaml
+from ..contract import COMPATIBLE, EMPLOYEE, ORDER, VOCABULARY, infer_contract, parse_spec, to_yaml
 from ..functions import dates, shapes, text
 from ..operators import deliver, mapping, profile, reconcile, review, rulebook, validate
 from .catalog import HEADERS, duck, headers, values, view
@@ -186,14 +186,40 @@ def profile_samples(spark, sf_dir):
     return p.select("column_id", F.col("position").cast("long").alias("position"), "sample")
 
 
-@query("SELECT * FROM (VALUES ('orderRef', 'identifier,text'), ('customerEmail', 'email,text'), ('placedDate', 'date,text'), ('shippedDate', 'date,text'), ('tier', 'identifier,enum,text')) t(column_id, kinds)")
+_SHAPES = {"e": shapes.EMAIL, "p": shapes.PERSON.removeprefix("(?U)"), "i": shapes.IDENTIFIER, "x": shapes.ENUM.removeprefix("(?U)")}
+
+
+@query(
+    _CELLS + f", s AS (SELECT column_id, count(*) AS n, count(DISTINCT lower(t)) AS few, count(*) FILTER (WHERE {d_date('t')['status']} IN ('parsed', 'ambiguous')) AS d, "
+    + ", ".join(f"count(*) FILTER (WHERE regexp_matches(t, '{v}')) AS {k}" for k, v in _SHAPES.items())
+    + """ FROM cells WHERE t <> '' GROUP BY 1), k AS (SELECT column_id, 5 * e >= 4 * n AS e, 5 * d >= 4 * n AS d, 5 * p >= 4 * n AS p, 5 * i >= 4 * n AS i, 5 * x >= 4 * n AND few <= greatest(8, n // 5) AS x FROM s)
+ SELECT column_id, coalesce(array_to_string(list_filter([CASE WHEN e THEN 'email' END, CASE WHEN d THEN 'date' END, CASE WHEN p THEN 'person_name' END, CASE WHEN i AND NOT e AND NOT d THEN 'identifier' END,
+ CASE WHEN x AND NOT d THEN 'enum' END, CASE WHEN e IS NOT NULL THEN 'text' END], lambda v: v IS NOT NULL), ','), '') AS kinds FROM (SELECT DISTINCT column_id FROM cells) LEFT JOIN k USING (column_id)"""
+)
 def detect_kinds(spark, sf_dir):
     return profile.profile_columns(_cells(spark, sf_dir)).select("column_id", F.array_join("detected_kinds", ",").alias("kinds"))
 
 
 # --- mapping ---
-_SPELL = [(s, f.name, f.kind) for f in ORDER.fields for s in sorted(f.spellings())]
-_COLS = values("cols", "column_id, file_id, header, kinds", HEADERS) + ", " + values("spell", "spelling, target, kind", _SPELL) + ", " + values("takes", "kind, allowed", [(k, list(v)) for k, v in COMPATIBLE.items()])
+def spell_sql(contract) -> str:
+    """spell(spelling, target, kind), derived in SQL from the declared names, labels, aliases and the vocabulary alone."""
+    norm = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
+    cut = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+    fields = values("fields", "name, kind, label, aliases", [(f.name, f.kind, f.label, list(f.aliases)) for f in contract.fields])
+    return rf"""spell AS (WITH RECURSIVE {fields}, {values("voc", "word, others", [(w, list(o)) for w, o in VOCABULARY.items()])},
+ own AS (SELECT *, {cut(r"regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')")} AS ws FROM fields),
+ titled AS (SELECT *, CASE WHEN label <> '' THEN label ELSE upper(left(array_to_string(ws, ' '), 1)) || substr(array_to_string(ws, ' '), 2) END AS title FROM own),
+ w AS (SELECT name, kind, aliases, title, CASE WHEN len(ws) > 1 OR len({cut("title")}) = 0 THEN ws ELSE {cut("title")} END AS ws FROM titled),
+ alt AS (SELECT word, word AS other FROM (SELECT unnest(ws) AS word FROM w) UNION SELECT word, unnest(others) FROM voc),
+ p AS (SELECT name, kind, ws, 0 AS i, '' AS made FROM w UNION ALL SELECT name, kind, ws, i + 1, made || other FROM p JOIN alt ON word = ws[i + 1] WHERE i < len(ws)),
+ long AS (SELECT made AS spelling, name, kind FROM p WHERE i = len(ws) UNION SELECT {norm("name")}, name, kind FROM w UNION SELECT {norm("title")}, name, kind FROM w UNION SELECT ws[-1], name, kind FROM w WHERE len(ws) > 1)
+ SELECT spelling, name AS target, kind FROM long WHERE length(spelling) >= 3 UNION SELECT {norm("a")}, name, kind FROM (SELECT unnest(aliases) AS a, name, kind FROM w) WHERE {norm("a")} <> '')"""
+
+
+_SPELL = spell_sql(ORDER)
+_KINDS = values("takes", "kind, allowed", [(k, list(v)) for k, v in COMPATIBLE.items()])
+_COLS = values("cols", "column_id, file_id, header, kinds", HEADERS) + ", " + _SPELL + ", " + _KINDS
+_INDEX = " SELECT spelling, string_agg(target, ',' ORDER BY target) AS targets, count(*) > 1 AS ambiguous FROM spell GROUP BY 1"
 _CAND = f"WITH {_COLS}, cand AS (SELECT column_id, file_id, target, spelling AS h, CASE WHEN spelling = lower(target) THEN 'exact' ELSE 'alias' END AS basis, len(kinds) = 0 OR list_has_any(kinds, allowed) AS viable FROM cols JOIN spell ON spelling = regexp_replace(lower(header), '[^a-z0-9]+', '', 'g') JOIN takes USING (kind))"
 _DECIDE = _CAND + """, shared AS (SELECT spelling AS h FROM spell GROUP BY 1 HAVING count(*) > 1), agg AS (SELECT column_id, count(*) AS n, count(*) FILTER (WHERE viable) AS v, min(CASE WHEN viable THEN target END) AS one FROM cand GROUP BY 1),
  r AS (SELECT c.column_id, c.file_id, a.n, a.v, a.one, s.h IS NOT NULL AS shared, CASE WHEN v = 1 AND s.h IS NULL THEN one END AS lone FROM cols c LEFT JOIN agg a USING (column_id) LEFT JOIN shared s ON s.h = regexp_replace(lower(header), '[^a-z0-9]+', '', 'g')),
@@ -201,11 +227,16 @@ _DECIDE = _CAND + """, shared AS (SELECT spelling AS h FROM spell GROUP BY 1 HAV
  decided AS (SELECT column_id, file_id, one, CASE WHEN shared THEN 'shared_header' WHEN lone IS NOT NULL AND rivals > 1 THEN 'contended' WHEN v = 1 THEN 'mapped' WHEN v > 1 THEN 'several' WHEN n > 0 THEN 'mismatch' ELSE 'unknown' END AS gate FROM q)"""
 
 
-@query(f"WITH {values('spell', 'spelling, target, kind', _SPELL)} SELECT spelling, string_agg(target, ',' ORDER BY target) AS targets, count(*) > 1 AS ambiguous FROM spell GROUP BY 1")
+@query(f"WITH {_SPELL}" + _INDEX)
 def spelling_index(spark, sf_dir):
     return mapping.spelling_index(spark, ORDER).select("spelling", F.array_join("targets", ",").alias("targets"), "ambiguous")
 
 
+@query(f"WITH {spell_sql(EMPLOYEE)}" + _INDEX)
+def spelling_index_employee(spark, sf_dir):
+    return mapping.spelling_index(spark, EMPLOYEE).select("spelling", F.array_join("targets", ",").alias("targets"), "ambiguous")
+
+
 @query(_CAND + " SELECT column_id, target, basis, viable FROM cand")
 def candidates(spark, sf_dir):
     return mapping.candidates(headers(spark), ORDER).select("column_id", "target", "basis", "viable")
@@ -222,7 +253,10 @@ def contention(spark, sf_dir):
     return mapping.decide(headers(spark), ORDER).filter("gate = 'contended'").drop("target").join(named, "column_id").groupBy("file_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(_CAND + ", have AS (SELECT DISTINCT target FROM cand WHERE column_id IN ('f1:c0', 'f1:c3')) SELECT t.target FROM (VALUES ('orderRef'), ('customerEmail'), ('placedDate')) t(target) LEFT JOIN have USING (target) WHERE have.target IS NULL")
+_DECLARED = values("declared", "target, kind, required", [(f.name, f.kind, f.required) for f in ORDER.fields])
+
+
+@query(_CAND + f", {_DECLARED} SELECT target FROM declared WHERE required AND target NOT IN (SELECT target FROM cand WHERE column_id IN ('f1:c0', 'f1:c3'))")
 def required_missing(spark, sf_dir):
     some = headers(spark).filter(F.col("column_id").isin("f1:c0", "f1:c3"))
     return mapping.required_missing(mapping.decide(some, ORDER), mapping.candidates(some, ORDER), ORDER)
@@ -237,7 +271,13 @@ def effective_mappings(spark, sf_dir):
 _PROPOSALS = [(1, "f0:c5", "shippedDate"), (2, "f0:c5", "tier"), (3, "f1:c2", "shippedDate"), (4, "f9:c9", "tier"), (5, "f1:c2", "nothing"), (6, "f2:c2", "shippedDate"), (7, "f1:c4", "orderRef")]
 
 
-@query("SELECT * FROM (VALUES (1, FALSE, 'kinds disagree'), (2, TRUE, NULL), (3, TRUE, NULL), (4, FALSE, 'unknown column'), (5, FALSE, 'unknown field'), (6, FALSE, 'already taken'), (7, FALSE, 'already taken')) t(pos, accepted, reason)")
+@query(
+    "WITH " + values("proposals", "pos, column_id, target", _PROPOSALS) + f", {values('cols', 'column_id, file_id, header, kinds', HEADERS)}, {_KINDS}, {_DECLARED}, "
+    """r AS (SELECT p.pos, p.target, CASE WHEN c.column_id IS NULL THEN 'unknown column' WHEN d.kind IS NULL THEN 'unknown field' WHEN p.target = 'orderRef' THEN 'already taken'
+ WHEN len(c.kinds) > 0 AND NOT list_has_any(c.kinds, allowed) THEN 'kinds disagree' END AS why FROM proposals p LEFT JOIN cols c USING (column_id) LEFT JOIN declared d ON p.target = d.target LEFT JOIN takes t ON d.kind = t.kind),
+ first AS (SELECT target, min(pos) AS pos FROM r WHERE why IS NULL GROUP BY 1), e AS (SELECT r.pos, coalesce(why, CASE WHEN first.pos < r.pos THEN 'already taken' END) AS reason FROM r LEFT JOIN first USING (target))
+ SELECT pos, reason IS NULL AS accepted, reason FROM e"""
+)
 def proposal_verification(spark, sf_dir):
     p = spark.createDataFrame(_PROPOSALS, "pos int, column_id string, target string")
     return mapping.accept_proposals(p, headers(spark), ORDER, ["orderRef"]).select("pos", "accepted", "reason")
@@ -437,7 +477,7 @@ def rule_listing_overridden(spark, sf_dir):
     return review.overridden(rules, rules.filter("n % 4 = 3").select(F.col("rule_id").alias("targets_rule_id"), F.lit(True).alias("enabled"))).select("rule_id", "overridden")
 
 
-@query(f"WITH {values('spell', 'spelling, target, kind', _SPELL)}, s AS (SELECT spelling, min(target) AS target FROM spell GROUP BY 1 HAVING count(*) = 1) SELECT 'HEADER_ALIAS' AS kind, target AS field_name, spelling AS term FROM s WHERE spelling <> lower(target) UNION ALL SELECT 'VALUE_ALIAS', 'tier', t FROM (VALUES {', '.join(repr((a,)).replace(',)', ')') for a in ENUM.value_aliases)}) v(t)")
+@query(f"WITH {_SPELL}, s AS (SELECT spelling, min(target) AS target FROM spell GROUP BY 1 HAVING count(*) = 1) SELECT 'HEADER_ALIAS' AS kind, target AS field_name, spelling AS term FROM s WHERE spelling <> lower(target) UNION ALL SELECT 'VALUE_ALIAS', 'tier', t FROM (VALUES {', '.join(repr((a,)).replace(',)', ')') for a in ENUM.value_aliases)}) v(t)")
 def builtin_rules(spark, sf_dir):
     return review.builtin_rules(spark, ORDER).select("kind", "field_name", "term")
 
