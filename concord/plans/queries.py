@@ -186,12 +186,12 @@ def profile_samples(spark, sf_dir):
     return p.select("column_id", F.col("position").cast("long").alias("position"), "sample")
 
 
-_SHAPES = {"e": shapes.EMAIL, "p": shapes.PERSON.removeprefix("(?U)"), "i": shapes.IDENTIFIER, "x": shapes.ENUM.removeprefix("(?U)")}
+_VALUE_SHAPES = {"e": shapes.EMAIL, "p": shapes.PERSON.removeprefix("(?U)"), "i": shapes.IDENTIFIER, "x": shapes.ENUM.removeprefix("(?U)")}
 
 
 @query(
     _CELLS + f", s AS (SELECT column_id, count(*) AS n, count(DISTINCT lower(t)) AS few, count(*) FILTER (WHERE {d_date('t')['status']} IN ('parsed', 'ambiguous')) AS d, "
-    + ", ".join(f"count(*) FILTER (WHERE regexp_matches(t, '{v}')) AS {k}" for k, v in _SHAPES.items())
+    + ", ".join(f"count(*) FILTER (WHERE regexp_matches(t, '{v}')) AS {k}" for k, v in _VALUE_SHAPES.items())
     + """ FROM cells WHERE t <> '' GROUP BY 1), k AS (SELECT column_id, 5 * e >= 4 * n AS e, 5 * d >= 4 * n AS d, 5 * p >= 4 * n AS p, 5 * i >= 4 * n AS i, 5 * x >= 4 * n AND few <= greatest(8, n // 5) AS x FROM s)
  SELECT column_id, coalesce(array_to_string(list_filter([CASE WHEN e THEN 'email' END, CASE WHEN d THEN 'date' END, CASE WHEN p THEN 'person_name' END, CASE WHEN i AND NOT e AND NOT d THEN 'identifier' END,
  CASE WHEN x AND NOT d THEN 'enum' END, CASE WHEN e IS NOT NULL THEN 'text' END], lambda v: v IS NOT NULL), ','), '') AS kinds FROM (SELECT DISTINCT column_id FROM cells) LEFT JOIN k USING (column_id)"""
@@ -490,6 +490,48 @@ def rule_schema_check(spark, sf_dir):
     return review.check_rules(spark.createDataFrame(_CHECKED, "rule_id string, kind string, field_name string, term string, canonical string"), ORDER)
 
 
+_KIND_OF = ["HEADER_ALIAS", "VALUE_ALIAS", "DATE_ORDER", "COLUMN_IGNORE", "OVERRIDE"]
+_FIELD_OF = ["orderRef", "tier", "placedDate", "color", None, "shippedDate"]
+_TERM_OF = ["buyer", "date", "asap"]
+
+
+def _pick(options: list, n):
+    return F.element_at(F.array(*[F.lit(x).cast("string") for x in options]), (n % len(options) + 1).cast("int"))
+
+
+def _picked(options: list, n: str) -> str:
+    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in options) + f"][CAST({n} % {len(options)} + 1 AS BIGINT)]"
+
+
+@query(
+    f"WITH {_SPELL}, {_DECLARED}, shared AS (SELECT spelling FROM spell GROUP BY 1 HAVING count(*) > 1), "
+    f"r AS (SELECT event_id AS rule_id, {_picked(_KIND_OF, 'event_id')} AS k, {_picked(_FIELD_OF, 'user_id')} AS target, {_picked(_TERM_OF, 'event_id')} AS term, CASE WHEN user_id % 4 = 0 THEN 'urgent' ELSE 'now' END AS canonical FROM events) "
+    f"""SELECT rule_id, CASE WHEN k = 'HEADER_ALIAS' AND term IN (SELECT spelling FROM shared) THEN 'header is claimed by several fields'
+ WHEN declared.kind IS NULL AND (k IN ('HEADER_ALIAS', 'VALUE_ALIAS') OR k = 'DATE_ORDER' AND coalesce(target, '') <> '') THEN 'unknown field' WHEN k = 'VALUE_ALIAS' AND declared.kind <> 'enum' THEN 'not an enum field'
+ WHEN k = 'VALUE_ALIAS' AND canonical NOT IN ({', '.join(repr(v) for v in ENUM.values)}) THEN 'not a permitted value' WHEN k = 'DATE_ORDER' AND declared.kind <> 'date' THEN 'not a date field' END AS refused
+ FROM r LEFT JOIN declared USING (target)"""
+)
+def rule_schema_check_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    rules = e.select(F.col("event_id").alias("rule_id"), _pick(_KIND_OF, F.col("event_id")).alias("kind"), _pick(_FIELD_OF, F.col("user_id")).alias("field_name"), _pick(_TERM_OF, F.col("event_id")).alias("term"), F.when(F.col("user_id") % 4 == 0, F.lit("urgent")).otherwise(F.lit("now")).alias("canonical"))
+    return review.check_rules(rules, ORDER)
+
+
+_PARTS_OF = {"schema_id": ("s", 13), "header": ("h", 2), "field_name": ("f", 3), "value": ("v", 5), "canonical": ("c", 7), "date_order": ("day_first", 4), "targets_rule_id": ("t", 6)}
+
+
+@query(
+    f"WITH r AS (SELECT event_id AS rule_id, {_picked(_KIND_OF, 'user_id')} AS kind, " + ", ".join(f"event_id % {m} <> 0 AS {n}" for n, (_, m) in _PARTS_OF.items()) + " FROM events) "
+    """SELECT rule_id, CASE WHEN NOT schema_id THEN 'no schema' ELSE CASE kind WHEN 'HEADER_ALIAS' THEN CASE WHEN NOT header OR NOT field_name THEN 'needs header and field' END
+ WHEN 'VALUE_ALIAS' THEN CASE WHEN NOT (field_name AND value AND canonical) THEN 'needs field, value and canonical value' END WHEN 'COLUMN_IGNORE' THEN CASE WHEN NOT header THEN 'needs header' END
+ WHEN 'OVERRIDE' THEN CASE WHEN NOT targets_rule_id THEN 'needs the rule it disables' END ELSE CASE WHEN NOT date_order THEN 'needs a reading' WHEN NOT header AND NOT field_name THEN 'needs column or field' END END END AS lacks FROM r"""
+)
+def rule_shape_check_events(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    parts = [F.when(F.col("event_id") % m != 0, F.lit(v)).otherwise(F.lit("" if m % 2 else None).cast("string")).alias(n) for n, (v, m) in _PARTS_OF.items()]
+    return e.select(F.col("event_id").alias("rule_id"), _pick(_KIND_OF, F.col("user_id")).alias("kind"), *parts).select("rule_id", rulebook.shape_error().alias("lacks"))
+
+
 @query("SELECT * FROM (VALUES ('f0:c5', NULL, 'tier')) t(column_id, before, after)")
 def rule_preview_header(spark, sf_dir):
     some = headers(spark).filter(F.col("file_id").isin("f0") & ~F.col("column_id").isin("f0:c3", "f0:c4"))
@@ -661,21 +703,25 @@ def scrub_prompt_text(spark, sf_dir):
 
 @query("SELECT event_id, user_id, event_type, CAST(NULL AS VARCHAR) AS error FROM events WHERE FALSE")
 def csv_scan_errors(spark, sf_dir):
-    """Round trip of a written export through the scan: rows that do not come back (none)."""
+    """Round trip of a written export through the scan: rows that are lost, added or repeated (none)."""
     from ..sources.files import read_exports
 
     folder = _scratch(spark, "csv-export")
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     e.write.option("header", True).option("quoteAll", True).csv(folder)
     back = read_exports(spark, folder + "/*.csv").select(F.col("cells")[0].cast("long").alias("event_id"), F.col("cells")[1].cast("long").alias("user_id"), F.col("cells")[2].alias("event_type"))
-    return e.join(back, ["event_id", "user_id", "event_type"], "left_anti").withColumn("error", F.lit(None).cast("string"))
+    return e.exceptAll(back).withColumn("error", F.lit("lost")).unionByName(back.exceptAll(e).withColumn("error", F.lit("added")))
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="concord-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-concord-", dir="/tmp")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
