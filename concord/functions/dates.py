@@ -39,7 +39,7 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
 def _read(t: Column, g: Column) -> Column:
     """The parts as numbers, in the first reading (day first, where numbers leave a choice), and what shape they have."""
     n = lambda i: F.nullif(g[i], F.lit("")).cast("int")  # noqa: E731 - digits or nothing, so no cast fails
-    names = F.create_map(*[F.lit(x) for kv in MONTH_NUMBERS.items() for x in kv])
+    names = F.expr("map(" + ", ".join(f"'{m}', {i}" for m, i in MONTH_NUMBERS.items()) + ")")
     shape = (
         F.when(g[4] != "", F.lit(MONTH_DAY)).when(g[7] != "", F.lit(DAY_MONTH)).when(g[0] == "", F.lit("")).when((F.length(g[0]) == 4) & (g[1] == "--") & (F.length(g[3]) <= 2), F.lit(ISO))
         .when(F.length(g[0]) == 4, F.lit(YEAR_FIRST)).when(F.length(g[3]) == 4, F.lit(DMY)).otherwise(F.lit("no year"))

@@ -1,8 +1,9 @@
 """One record for each identity: first value wins, agreement makes it canonical, disagreement is a conflict.
 
 The order-dependent fold has a closed form: every later value is compared with the first non-blank one. So two rounds of
-partial aggregates and one join on the key do it, and no window or list ever holds all rows of a key; a hot key
-is aggregated where its rows are read, and Spark may split its side of the join. Rows without a key skip the shuffle.
+partial aggregates and one join on the key do it, the second round only for keys of several rows. No window or list ever holds all
+rows of a key; a hot key is aggregated where its rows are read, and Spark may split its side of the join. Rows without a key
+skip the shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import Contract
-from ..functions.text import canonical_meaning, trim_surrounding, with_meanings
+from ..functions.text import canonical_meaning, trim_surrounding
 
 
 def identity_key(contract: Contract):
@@ -23,39 +24,35 @@ def merge(rows: DataFrame, contract: Contract, rules: dict[str, dict[str, str]]
     """ord, file_id and the fields -> id, key, n_rows, first_ord, the fields, conflicts (array of field and sorted values)."""
     names = [f.name for f in contract.fields]
     keyed = rows.withColumn("key", identity_key(contract))
-    some = with_meanings(keyed.filter(F.col("key").isNotNull()), contract, rules)
-    value = lambda n: F.struct("ord", F.col(n).alias("v"), F.col(f"t_{n}").alias("t"), F.col(f"c_{n}").alias("c"))
+    some = keyed.filter(F.col("key").isNotNull()).withColumns({f"t_{n}": trim_surrounding(F.col(n)) for n in names})
     firsts = some.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("ord").alias("first_ord"),
-        *[F.min(F.when(F.col(f"t_{n}") != "", value(n))).alias(f"f_{n}") for n in names],
-        *[F.min_by(n, "ord").alias(f"b_{n}") for n in names],
+        *[F.expr(f"min(CASE WHEN t_{n} <> '' THEN named_struct('ord', ord, 'v', `{n}`, 't', t_{n}) END) AS f_{n}") for n in names],
+        *[F.expr(f"min_by(`{n}`, ord) AS b_{n}") for n in names],
     )
-    joined = some.select("key", "ord", *[f"t_{n}" for n in names], *[f"c_{n}" for n in names]).join(firsts, "key")
-    later = lambda n: F.coalesce((F.col(f"t_{n}") != "") & (F.col("ord") > F.col(f"f_{n}.ord")), F.lit(False))
-    same = lambda n: (F.col(f"t_{n}") == F.col(f"f_{n}.t")) | F.coalesce(F.col(f"c_{n}") == F.col(f"f_{n}.c"), F.lit(False))
-    joined = joined.withColumns({f"eq_{n}": later(n) & same(n) for n in names} | {f"ne_{n}": later(n) & ~same(n) for n in names})
-    parts = []
-    for n in names:
-        eq, ne = F.col(f"eq_{n}"), F.col(f"ne_{n}")
-        parts += [
-            F.min(F.when(eq, F.col("ord"))).alias(f"at_{n}"), F.min(F.when(ne, F.col("ord"))).alias(f"lo_{n}"), F.max(F.when(ne, F.col("ord"))).alias(f"hi_{n}"),
-            F.collect_set(F.when(ne, F.col(f"t_{n}"))).alias(f"cs_{n}"),
-        ]
-    carried = ["n_rows", "first_ord", *[f"{p}_{n}" for p in "fb" for n in names]]  # alike in all rows of a key
-    both, fields, conflicts = joined.groupBy("key").agg(*[F.any_value(c).alias(c) for c in carried], *parts), [], []
-    for n in names:
-        raw, trimmed, at = F.col(f"f_{n}.v"), F.col(f"f_{n}.t"), F.col(f"at_{n}")
-        fc = F.nullif(F.col(f"f_{n}.c"), F.lit(""))
-        fields.append(F.when(at.isNotNull(), F.coalesce(fc, raw)).otherwise(F.coalesce(raw, F.col(f"b_{n}"))).alias(n))
-        plain = F.when(at.isNull() | (F.col(f"lo_{n}") < at), trimmed)
-        agreed = F.when(F.col(f"hi_{n}") > at, F.coalesce(fc, trimmed))
-        values = F.array_sort(F.array_distinct(F.concat(F.col(f"cs_{n}"), F.array_compact(F.array(plain, agreed)))))
-        conflicts.append(F.when(F.size(f"cs_{n}") > 0, F.struct(F.lit(n).alias("field"), values.alias("options"))))
-    merged = both.select(F.concat(F.lit("rec:"), F.col("key")).alias("id"), "key", "n_rows", "first_ord", *fields, F.array_compact(F.array(*conflicts)).alias("conflicts"))
-    none = F.array().cast(merged.schema["conflicts"].dataType)
+    # meanings only where there is something to compare: of the first value of keys with several rows, and of texts unlike it
+    meaning = lambda f, t: canonical_meaning(t, f, (rules or {}).get(f.name))
+    several = firsts.filter("n_rows > 1").withColumns({f"g_{f.name}": meaning(f, F.col(f"f_{f.name}.t")) for f in contract.fields})
+    joined = some.select("key", "ord", *[f"t_{n}" for n in names]).join(several, "key")
+    joined = joined.withColumns({f"c_{f.name}": meaning(f, F.when(F.col(f"t_{f.name}") != F.col(f"f_{f.name}.t"), F.col(f"t_{f.name}"))) for f in contract.fields})
+    later = "coalesce(t_{0} <> '' AND ord > f_{0}.ord, false)"
+    same = "(t_{0} = f_{0}.t OR coalesce(c_{0} = g_{0}, false))"
+    marks = {"eq": f"{later} AND {same}", "ne": f"{later} AND NOT {same}"}
+    joined = joined.withColumns({f"{m}_{n}": F.expr(text.format(n)) for n in names for m, text in marks.items()})
+    parts = {"at": "min(CASE WHEN eq_{0} THEN ord END)", "lo": "min(CASE WHEN ne_{0} THEN ord END)", "hi": "max(CASE WHEN ne_{0} THEN ord END)", "cs": "collect_set(CASE WHEN ne_{0} THEN t_{0} END)"}
+    carried = ["n_rows", "first_ord", *[f"{p}_{n}" for p in "fbg" for n in names]]  # alike in all rows of a key
+    both = joined.groupBy("key").agg(*[F.expr(f"any_value({c}) AS {c}") for c in carried], *[F.expr(f"{text.format(n)} AS {p}_{n}") for n in names for p, text in parts.items()])
+    fields = [F.expr("CASE WHEN at_{0} IS NOT NULL THEN coalesce(nullif(g_{0}, ''), f_{0}.v) ELSE coalesce(f_{0}.v, b_{0}) END AS `{0}`".format(n)) for n in names]
+    plain, agreed = "CASE WHEN at_{0} IS NULL OR lo_{0} < at_{0} THEN f_{0}.t END", "CASE WHEN hi_{0} > at_{0} THEN coalesce(nullif(g_{0}, ''), f_{0}.t) END"
+    options = f"array_sort(array_distinct(concat(cs_{{0}}, array_compact(array({plain}, {agreed})))))"
+    conflicts = ", ".join(f"CASE WHEN size(cs_{{0}}) > 0 THEN named_struct('field', '{{0}}', 'options', {options}) END".format(n) for n in names)
+    record = F.concat(F.lit("rec:"), F.col("key")).alias("id")
+    merged = both.select(record, "key", "n_rows", "first_ord", *fields, F.expr(f"array_compact(array({conflicts})) AS conflicts"))
+    none = F.array().cast("array<struct<field:string,options:array<string>>>")
+    single = firsts.filter("n_rows = 1").select(record, "key", "n_rows", "first_ord", *[F.expr(f"coalesce(f_{n}.v, b_{n}) AS `{n}`") for n in names], none.alias("conflicts"))
     row_id = F.concat_ws("-", F.lit("rec:row"), F.col("ord.file"), F.col("ord.row"))
     alone = keyed.filter(F.col("key").isNull()).select(row_id.alias("id"), "key", F.lit(1).cast("long").alias("n_rows"), F.col("ord").alias("first_ord"), *names, none.alias("conflicts"))
-    return merged.unionByName(alone)
+    return merged.unionByName(single).unionByName(alone)
 
 
 def provenance(rows: DataFrame, contract: Contract) -> DataFrame:
