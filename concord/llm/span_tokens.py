@@ -6,6 +6,9 @@ Python worker has seen, and new ones are encoded by the library. The key of a st
 themselves; a longer one is found by a hash and its bytes are compared with the remembered ones at every use, so
 stretches of one hash never share ids. The memory of stretches is bounded; when it is full it starts anew. A tokenizer
 of any other kind encodes whole texts.
+
+The ids are those of the library's own call without special tokens added: a text that spells out a special token holds
+that token's id, and such a text goes through the library whole. With ``special_as_text`` the strings are ordinary text.
 """
 
 from __future__ import annotations
@@ -98,17 +101,21 @@ def same_bytes(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray,
 class SpanEncoder:
     """Of one tokenizer file; keeps what it has encoded."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         steps = [x["type"] for x in (norm or {}).get("normalizers", [])]
         self.kind, vocabulary = "whole", self.tokenizer.get_vocab(True)
+        added = [x for x in spec.get("added_tokens") or [] if not (x.get("special") and special_as_text)]
+        self.added = [x["content"].encode() for x in added]
+        if any(x.get("normalized") for x in added):
+            pre, norm = {}, None  # found in normalised text only, so whole texts go through the library
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm is None:
             self.kind = "byte"
             marked = [i for t, i in vocabulary.items() if t.startswith("Ġ")]
@@ -221,7 +228,27 @@ class SpanEncoder:
                 yield i, ids, np.array([0, len(ids)])
             return
         for first, data, offsets in slices(column):
-            yield first, *self._slice(data, offsets)
+            at = 0
+            for row in [*self._spelled(data, offsets), len(offsets) - 1]:
+                if row > at:
+                    yield first + at, *self._slice(data[offsets[at] : offsets[row]], offsets[at : row + 1] - offsets[at])
+                if row < len(offsets) - 1:
+                    ids = self._single([data[offsets[row] : offsets[row + 1]].tobytes().decode()])[0]
+                    yield first + row, ids, np.array([0, len(ids)])
+                at = row + 1
+
+    def _spelled(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows that spell out an added token."""
+        raw, found = data.tobytes() if self.added else b"", set()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                row = int(np.searchsorted(offsets, at, "right")) - 1
+                if at + len(token) <= offsets[row + 1]:
+                    found.add(row)
+                    at = int(offsets[row + 1]) - 1
+                at = raw.find(token, at + 1)
+        return sorted(found)
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
@@ -229,11 +256,11 @@ def _room(x: np.ndarray, n: int) -> np.ndarray:
     return x if n <= len(x) else np.concatenate([x, np.zeros(max(len(x), n - len(x)), x.dtype)])
 
 
-_encoders: dict[str, SpanEncoder] = {}
+_encoders: dict[tuple[str, bool], SpanEncoder] = {}
 
 
-def encoder(path: str) -> SpanEncoder:
+def encoder(path: str, special_as_text: bool = False) -> SpanEncoder:
     """This Python worker's encoder of the tokenizer file at ``path``."""
-    if path not in _encoders:
-        _encoders[path] = SpanEncoder(path)
-    return _encoders[path]
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = SpanEncoder(path, special_as_text)
+    return _encoders[path, special_as_text]

@@ -12,9 +12,10 @@ from tokenizers import Tokenizer
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def tokens(texts, path, end_id):
+def tokens(texts, path, end_id, special_as_text=False):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    if special_as_text:
+        t.encode_special_tokens = True
     return [[*t.encode(x or "", add_special_tokens=False).ids, end_id] for x in texts]
 
 

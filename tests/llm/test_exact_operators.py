@@ -76,6 +76,21 @@ def test_encoder_agrees_with_library(name):
     assert got == [t[:-1] for t in brute.tokens(texts, path, 0)]
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_and_special_tokens_in_texts(name, special_as_text):
+    import pyarrow as pa
+
+    from concord.llm.span_tokens import SpanEncoder
+
+    path = public_tokenizers.path(name)
+    texts = ["hello <|endoftext|> world <|endoftext|>", None, "plain text", "<|startoftext|>", "<|endoftext|><|endoftext|>x", "ends in <|endof", "text|> begins so", "<|ENDOFTEXT|>", "", "a<|startoftext|>b <|endoftext|", "plain again"]
+    got = [ids[o[i] : o[i + 1]].tolist() for _, ids, o in SpanEncoder(path, special_as_text).encode(pa.array(texts)) for i in range(len(o) - 1)]
+    assert got == [t[:-1] for t in brute.tokens(texts, path, 0, special_as_text)]
+    if not special_as_text and name.startswith("byte"):
+        assert got[0] == [31373, 220, 50256, 995, 220, 50256]
+
+
 def twins():
     """Two words of 1024 letters that hash alike under any polynomial modulo 2 ** 64."""
     a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
