@@ -72,6 +72,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def finite(vector):
+    """Whether an array column is there and holds neither null nor non-finite entries; never null."""
+    return F.coalesce(vector.isNotNull() & F.forall(vector, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))), F.lit(False))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of the decimal text of an integer column, modulo n (null: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)

@@ -1,4 +1,4 @@
-"""Queries of the ten operators over whole tables, and the DuckDB SQL of those that SQL can express."""
+"""Queries of the operators over whole tables, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -69,12 +69,33 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda v: v % 50 == 0)
 
 
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .negatives import hard_negatives, shifted
+
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda v: v % 100 == 0, shifted(F.col("vec_id"), F.col("label")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .online_packing import pack_online
+
+    return pack_online(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
     from .mixing import MIX_SQL
+    from .negatives import NEGATIVES_SQL
     from .topk import TOP_K_SQL
 
-    return {"op2_mix": MIX_SQL, "op10_topk": TOP_K_SQL}
+    return {"op2_mix": MIX_SQL, "op10_topk": TOP_K_SQL, "op11_negatives": NEGATIVES_SQL}
