@@ -1,750 +1,8 @@
-"""One query for each operator over the driver's tables, with DuckDB SQL for the same rows where SQL can say it."""
+"""All queries over the driver's tables, with DuckDB SQL for the same rows where SQL can say it; each module registers its own."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from . import scalar_queries, profile_queries, mapping_queries, merge_queries, review_queries, delivery_queries, run_queries  # noqa: F401, I001 - in this order
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..contract import COMPATIBLE, EMPLOYEE, ORDER, VOCABULARY, infer_contract, parse_spec, to_yaml
-from ..functions import dates, shapes, text
-from ..operators import deliver, mapping, profile, reconcile, review, rulebook, validate
-from .catalog import HEADERS, duck, headers, values, view
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-ENUM = ORDER["tier"]
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-# --- DuckDB texts of the shared expressions (inputs here are ASCII) ---
-
-
-def d_trim(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
-
-
-def d_email(x: str) -> str:
-    t = d_trim(x)
-    dom = f"split_part({t}, '@', -1)"
-    return f"CASE WHEN strpos({t}, '@') > 1 THEN left({t}, length({t}) - length({dom})) || lower({dom}) ELSE {t} END"
-
-
-def d_tier(x: str) -> str:
-    pairs = {v.replace("_", ""): v for v in ENUM.values} | ENUM.value_aliases
-    return rf"CASE regexp_replace(lower({d_trim(x)}), '[\s_-]+', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in pairs.items()) + " END"
-
-
-def d_date(x: str) -> dict[str, str]:
-    t = d_trim(x)
-    names = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS) + "]"
-
-    def real(y, m, d):
-        s = f"(lpad({y}, 4, '0') || '-' || lpad(CAST({m} AS VARCHAR), 2, '0') || '-' || lpad({d}, 2, '0'))"
-        return f"CASE WHEN try_cast({s} AS DATE) BETWEEN DATE '1900-01-01' AND DATE '2100-12-31' THEN {s} END"
-
-    g = lambda p, i: f"regexp_extract({t}, '{p}', {i})"
-    iso, mf, df, num = (r"^(\d{4})-(\d{1,2})-(\d{1,2})$", r"^([A-Za-z]+) (\d{1,2}), (\d{4})$", r"^(\d{1,2}) ([A-Za-z]+) (\d{4})$", r"^(\d{1,4})[/.-](\d{1,2})[/.-](\d{1,4})$")
-    month = lambda w: f"list_position({names}, lower({w}))"
-    dm, md, ymd = real(g(num, 3), g(num, 2), g(num, 1)), real(g(num, 3), g(num, 1), g(num, 2)), real(g(num, 1), g(num, 2), g(num, 3))
-    value = (
-        f"CASE WHEN regexp_matches({t}, '{iso}') THEN {real(g(iso, 1), g(iso, 2), g(iso, 3))} WHEN regexp_matches({t}, '{mf}') THEN {real(g(mf, 3), month(g(mf, 1)), g(mf, 2))} "
-        f"WHEN regexp_matches({t}, '{df}') THEN {real(g(df, 3), month(g(df, 2)), g(df, 1))} WHEN length({g(num, 1)}) = 4 THEN {ymd} "
-        f"WHEN ({dm}) IS NOT NULL AND ({md}) IS NOT NULL AND ({dm}) <> ({md}) THEN NULL ELSE coalesce({dm}, {md}) END"
-    )
-    both = f"regexp_matches({t}, '{num}') AND NOT regexp_matches({t}, '{iso}') AND length({g(num, 1)}) <= 2 AND ({dm}) IS NOT NULL AND ({md}) IS NOT NULL AND ({dm}) <> ({md})"
-    status = f"CASE WHEN {x} IS NULL OR {t} = '' THEN 'empty' WHEN {both} THEN 'ambiguous' WHEN ({value}) IS NOT NULL THEN 'parsed' ELSE 'invalid' END"
-    return {"value": f"({value})", "status": status, "dm": f"CASE WHEN {both} THEN {dm} END", "md": f"CASE WHEN {both} THEN {md} END"}
-
-
-def d_strict_email(v: str) -> str:
-    local, dom = f"split_part({v}, '@', 1)", f"split_part({v}, '@', -1)"
-    return (
-        f"(len(string_split({v}, '@')) = 2 AND NOT starts_with({v}, '.') AND NOT contains({v}, '..') AND regexp_matches({local}, '^[A-Za-z0-9!#$%&''*+/=?^_`{{|}}~.-]+$') "
-        f"AND NOT ends_with({local}, '.') AND NOT starts_with({dom}, '-') AND regexp_matches({dom}, '^[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}$'))"
-    )
-
-
-# --- scalars ---
-
-
-@query("SELECT c_custkey, regexp_replace(lower(c_name || ' (' || c_mktsegment || ')'), '[^a-z0-9]+', '', 'g') AS header FROM customer")
-def normalize_headers(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.select("c_custkey", text.normalize_header(F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")"))).alias("header"))
-
-
-@query(duck("ord_a") + f' SELECT k, {d_trim("orderRef")} AS trimmed, FALSE AS blank FROM ord_a')
-def trim_values(spark, sf_dir):
-    return view(spark, sf_dir, "ord_a").select("k", text.trim_surrounding(F.col("orderRef")).alias("trimmed"), text.is_blank(F.col("orderRef")).alias("blank"))
-
-
-@query(duck("ord_a") + f' SELECT k, {d_email("customerEmail")} AS email FROM ord_a')
-def email_domain_lower(spark, sf_dir):
-    return view(spark, sf_dir, "ord_a").select("k", text.normalize_email(text.trim_surrounding(F.col("customerEmail"))).alias("email"))
-
-
-@query(duck("ord_a") + f" SELECT k, {d_tier('tier')} AS tier FROM ord_a")
-def enum_canonical(spark, sf_dir):
-    return view(spark, sf_dir, "ord_a").select("k", text.canonical_enum(F.col("tier"), ENUM).alias("tier"))
-
-
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'urgent' WHEN 'click' THEN 'low' END AS tier FROM events")
-def enum_canonical_with_rules(spark, sf_dir):
-    rules = {"error": "urgent", "click": "low", "view": "nothing"}
-    return table(spark, sf_dir, "events").select("event_id", text.canonical_enum(F.concat(F.lit("E.R-"), "event_type"), ENUM, {f"er{k}": v for k, v in rules.items()}).alias("tier"))
-
-
-_D = d_date("raw")
-
-
-@query(duck("li_dates") + f" SELECT l_orderkey, l_linenumber, l_partkey, {_D['status']} AS status, {_D['value']} AS value FROM li_dates")
-def date_parse(spark, sf_dir):
-    return dates.with_dates(view(spark, sf_dir, "li_dates"), {"p": F.col("raw")}).select("l_orderkey", "l_linenumber", "l_partkey", "p.status", "p.value")
-
-
-@query(duck("li_dates") + f" SELECT l_orderkey, l_linenumber, l_partkey, {_D['dm']} AS day_first, {_D['md']} AS month_first FROM li_dates WHERE {_D['status']} = 'ambiguous'")
-def date_ambiguous_interpretations(spark, sf_dir):
-    p = dates.with_dates(view(spark, sf_dir, "li_dates"), {"p": F.col("raw")})
-    return p.filter("p.status = 'ambiguous'").select("l_orderkey", "l_linenumber", "l_partkey", "p.day_first", "p.month_first")
-
-
-@query(duck("li_dates") + f" SELECT l_orderkey, l_linenumber, l_partkey, coalesce({_D['value']}, CASE WHEN l_partkey % 2 = 0 THEN {_D['dm']} ELSE {_D['md']} END) AS value FROM li_dates")
-def date_learned_order(spark, sf_dir):
-    order = F.when(F.col("l_partkey") % 2 == 0, F.lit("day_first")).otherwise(F.lit("month_first"))
-    p = dates.with_dates(view(spark, sf_dir, "li_dates"), {"p": F.col("raw")})
-    return p.select("l_orderkey", "l_linenumber", "l_partkey", dates.settle_with(F.col("p"), order).alias("value"))
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'soon' ELSE strftime(o_orderdate, '%-d %B %Y') END AS written FROM orders")
-def date_write_long(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", dates.write_long(F.when(F.col("o_orderkey") % 4 == 0, F.lit("soon")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))).alias("written"))
-
-
-@query("SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') AS ist_day, 'model:' || strftime(ts, '%Y-%m-%d') AS utc_key, strftime(date_trunc('day', ts + INTERVAL 330 MINUTE) + INTERVAL 1110 MINUTE, '%Y-%m-%d %H:%M:%S') AS resets_at, strftime(ts + CASE WHEN user_id % 2 = 0 THEN INTERVAL 7 DAY ELSE INTERVAL 2 DAY END, '%Y-%m-%d %H:%M:%S') AS expires_at FROM events")
-def day_windows(spark, sf_dir):
-    e, ts = table(spark, sf_dir, "events"), F.col("ts")
-    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    kind = F.when(F.col("user_id") % 2 == 0, F.lit("user")).otherwise(F.lit("demo"))
-    return e.select("event_id", dates.local_day(ts).cast("string").alias("ist_day"), dates.utc_day_key(ts).alias("utc_key"), stamp(dates.next_local_midnight(ts)).alias("resets_at"), stamp(dates.retention_deadline(ts, kind)).alias("expires_at"))
-
-
-@query(duck("ord_b") + rf""" SELECT k, regexp_matches("customerEmail", '^[^\s@]+@[^\s@.]+(\.[^\s@.]+)+$') AS shape, {d_strict_email('"customerEmail"')} AS strict FROM ord_b""")
-def email_shapes(spark, sf_dir):
-    c = F.col("customerEmail")
-    return view(spark, sf_dir, "ord_b").select("k", c.rlike(shapes.EMAIL).alias("shape"), shapes.strict_email(c).alias("strict"))
-
-
-@query(r"""SELECT p_partkey, regexp_matches(replace(p_brand, '#', '-'), '^[A-Za-z0-9][A-Za-z0-9._/-]*$') AS identifier, regexp_matches(p_name, '^[A-Za-z][^0-9_]*\s[^0-9_]+$') AS person, regexp_matches(p_type, '^[A-Za-z][A-Za-z0-9_\s-]{0,40}$') AS enum FROM part""")
-def value_shapes(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("-")).rlike(shapes.IDENTIFIER).alias("identifier"), F.col("p_name").rlike(shapes.PERSON).alias("person"), F.col("p_type").rlike(shapes.ENUM).alias("enum"))
-
-
-_KINDS = list(COMPATIBLE)
-
-
-@query(f"WITH {values('a', 'target, kinds', [(k, list(v)) for k, v in COMPATIBLE.items()])}, {values('b', 'observed', [(k,) for k in _KINDS])} SELECT target, observed, list_contains(kinds, observed) AS compatible FROM a, b")
-def kinds_compatible_matrix(spark, sf_dir):
-    k = spark.createDataFrame([(a, b) for a in _KINDS for b in _KINDS], "target string, observed string")
-    return k.select("target", "observed", shapes.kinds_compatible(F.col("target"), F.array("observed")).alias("compatible"))
-
-
-# --- profiles ---
-_PROFILED = ["orderRef", "customerEmail", "placedDate", "shippedDate", "tier"]
-_CELLS = duck("ord_b") + ", cells AS (" + " UNION ALL ".join(f"SELECT k AS ord, '{c}' AS column_id, {d_trim(chr(34) + c + chr(34))} AS t FROM ord_b" for c in _PROFILED) + ")"
-
-
-def _cells(spark, sf_dir):
-    return profile.long_form(view(spark, sf_dir, "ord_b"), _PROFILED, "k")
-
-
-@query(_CELLS + " SELECT column_id, count(*) AS total_count, count(*) FILTER (WHERE t <> '') AS non_empty_count, count(DISTINCT CASE WHEN t <> '' THEN t END) AS distinct_count FROM cells GROUP BY 1")
-def profile_columns(spark, sf_dir):
-    return profile.profile_columns(_cells(spark, sf_dir)).select("column_id", "total_count", "non_empty_count", "distinct_count")
-
-
-@query(_CELLS + ", f AS (SELECT column_id, t AS sample, min(ord) AS o FROM cells WHERE t <> '' GROUP BY 1, 2), r AS (SELECT column_id, CAST(row_number() OVER (PARTITION BY column_id ORDER BY o, sample) AS BIGINT) AS position, sample FROM f) SELECT * FROM r WHERE position <= 5")
-def profile_samples(spark, sf_dir):
-    p = profile.profile_samples(_cells(spark, sf_dir))
-    return p.select("column_id", F.col("position").cast("long").alias("position"), "sample")
-
-
-_VALUE_SHAPES = {"e": shapes.EMAIL, "p": shapes.PERSON.removeprefix("(?U)"), "i": shapes.IDENTIFIER, "x": shapes.ENUM.removeprefix("(?U)")}
-
-
-@query(
-    _CELLS + f", s AS (SELECT column_id, count(*) AS n, count(DISTINCT lower(t)) AS few, count(*) FILTER (WHERE {d_date('t')['status']} IN ('parsed', 'ambiguous')) AS d, "
-    + ", ".join(f"count(*) FILTER (WHERE regexp_matches(t, '{v}')) AS {k}" for k, v in _VALUE_SHAPES.items())
-    + """ FROM cells WHERE t <> '' GROUP BY 1), k AS (SELECT column_id, 5 * e >= 4 * n AS e, 5 * d >= 4 * n AS d, 5 * p >= 4 * n AS p, 5 * i >= 4 * n AS i, 5 * x >= 4 * n AND few <= greatest(8, n // 5) AS x FROM s)
- SELECT column_id, coalesce(array_to_string(list_filter([CASE WHEN e THEN 'email' END, CASE WHEN d THEN 'date' END, CASE WHEN p THEN 'person_name' END, CASE WHEN i AND NOT e AND NOT d THEN 'identifier' END,
- CASE WHEN x AND NOT d THEN 'enum' END, CASE WHEN e IS NOT NULL THEN 'text' END], lambda v: v IS NOT NULL), ','), '') AS kinds FROM (SELECT DISTINCT column_id FROM cells) LEFT JOIN k USING (column_id)"""
-)
-def detect_kinds(spark, sf_dir):
-    return profile.profile_columns(_cells(spark, sf_dir)).select("column_id", F.array_join("detected_kinds", ",").alias("kinds"))
-
-
-# --- mapping ---
-def spell_sql(contract) -> str:
-    """spell(spelling, target, kind), derived in SQL from the declared names, labels, aliases and the vocabulary alone."""
-    norm = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]+', '', 'g')"
-    cut = lambda x: f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
-    fields = values("fields", "name, kind, label, aliases", [(f.name, f.kind, f.label, list(f.aliases)) for f in contract.fields])
-    return rf"""spell AS (WITH RECURSIVE {fields}, {values("voc", "word, others", [(w, list(o)) for w, o in VOCABULARY.items()])},
- own AS (SELECT *, {cut(r"regexp_replace(name, '([a-z0-9])([A-Z])', '\1 \2', 'g')")} AS ws FROM fields),
- titled AS (SELECT *, CASE WHEN label <> '' THEN label ELSE upper(left(array_to_string(ws, ' '), 1)) || substr(array_to_string(ws, ' '), 2) END AS title FROM own),
- w AS (SELECT name, kind, aliases, title, CASE WHEN len(ws) > 1 OR len({cut("title")}) = 0 THEN ws ELSE {cut("title")} END AS ws FROM titled),
- alt AS (SELECT word, word AS other FROM (SELECT unnest(ws) AS word FROM w) UNION SELECT word, unnest(others) FROM voc),
- p AS (SELECT name, kind, ws, 0 AS i, '' AS made FROM w UNION ALL SELECT name, kind, ws, i + 1, made || other FROM p JOIN alt ON word = ws[i + 1] WHERE i < len(ws)),
- long AS (SELECT made AS spelling, name, kind FROM p WHERE i = len(ws) UNION SELECT {norm("name")}, name, kind FROM w UNION SELECT {norm("title")}, name, kind FROM w UNION SELECT ws[-1], name, kind FROM w WHERE len(ws) > 1)
- SELECT spelling, name AS target, kind FROM long WHERE length(spelling) >= 3 UNION SELECT {norm("a")}, name, kind FROM (SELECT unnest(aliases) AS a, name, kind FROM w) WHERE {norm("a")} <> '')"""
-
-
-_SPELL = spell_sql(ORDER)
-_KINDS = values("takes", "kind, allowed", [(k, list(v)) for k, v in COMPATIBLE.items()])
-_COLS = values("cols", "column_id, file_id, header, kinds", HEADERS) + ", " + _SPELL + ", " + _KINDS
-_INDEX = " SELECT spelling, string_agg(target, ',' ORDER BY target) AS targets, count(*) > 1 AS ambiguous FROM spell GROUP BY 1"
-_CAND = f"WITH {_COLS}, cand AS (SELECT column_id, file_id, target, spelling AS h, CASE WHEN spelling = lower(target) THEN 'exact' ELSE 'alias' END AS basis, len(kinds) = 0 OR list_has_any(kinds, allowed) AS viable FROM cols JOIN spell ON spelling = regexp_replace(lower(header), '[^a-z0-9]+', '', 'g') JOIN takes USING (kind))"
-_DECIDE = _CAND + """, shared AS (SELECT spelling AS h FROM spell GROUP BY 1 HAVING count(*) > 1), agg AS (SELECT column_id, count(*) AS n, count(*) FILTER (WHERE viable) AS v, min(CASE WHEN viable THEN target END) AS one FROM cand GROUP BY 1),
- r AS (SELECT c.column_id, c.file_id, a.n, a.v, a.one, s.h IS NOT NULL AS shared, CASE WHEN v = 1 AND s.h IS NULL THEN one END AS lone FROM cols c LEFT JOIN agg a USING (column_id) LEFT JOIN shared s ON s.h = regexp_replace(lower(header), '[^a-z0-9]+', '', 'g')),
- q AS (SELECT *, count(lone) OVER (PARTITION BY file_id, lone) AS rivals FROM r),
- decided AS (SELECT column_id, file_id, one, CASE WHEN shared THEN 'shared_header' WHEN lone IS NOT NULL AND rivals > 1 THEN 'contended' WHEN v = 1 THEN 'mapped' WHEN v > 1 THEN 'several' WHEN n > 0 THEN 'mismatch' ELSE 'unknown' END AS gate FROM q)"""
-
-
-@query(f"WITH {_SPELL}" + _INDEX)
-def spelling_index(spark, sf_dir):
-    return mapping.spelling_index(spark, ORDER).select("spelling", F.array_join("targets", ",").alias("targets"), "ambiguous")
-
-
-@query(f"WITH {spell_sql(EMPLOYEE)}" + _INDEX)
-def spelling_index_employee(spark, sf_dir):
-    return mapping.spelling_index(spark, EMPLOYEE).select("spelling", F.array_join("targets", ",").alias("targets"), "ambiguous")
-
-
-@query(_CAND + " SELECT column_id, target, basis, viable FROM cand")
-def candidates(spark, sf_dir):
-    return mapping.candidates(headers(spark), ORDER).select("column_id", "target", "basis", "viable")
-
-
-@query(_DECIDE + " SELECT column_id, CASE WHEN gate = 'mapped' THEN one END AS target, CASE WHEN gate = 'mapped' THEN 'AUTO_MAPPED' ELSE 'ESCALATED' END AS outcome, gate FROM decided")
-def mapping_gates(spark, sf_dir):
-    return mapping.decide(headers(spark), ORDER).select("column_id", "target", "outcome", "gate")
-
-
-@query(_DECIDE + " SELECT file_id, one AS target, count(*) AS n FROM decided WHERE gate = 'contended' GROUP BY 1, 2")
-def contention(spark, sf_dir):
-    named = mapping.candidates(headers(spark), ORDER).filter("viable").groupBy("column_id").agg(F.min("target").alias("target"))
-    return mapping.decide(headers(spark), ORDER).filter("gate = 'contended'").drop("target").join(named, "column_id").groupBy("file_id", "target").agg(F.count(F.lit(1)).alias("n"))
-
-
-_DECLARED = values("declared", "target, kind, required", [(f.name, f.kind, f.required) for f in ORDER.fields])
-
-
-@query(_CAND + f", {_DECLARED} SELECT target FROM declared WHERE required AND target NOT IN (SELECT target FROM cand WHERE column_id IN ('f1:c0', 'f1:c3'))")
-def required_missing(spark, sf_dir):
-    some = headers(spark).filter(F.col("column_id").isin("f1:c0", "f1:c3"))
-    return mapping.required_missing(mapping.decide(some, ORDER), mapping.candidates(some, ORDER), ORDER)
-
-
-@query("WITH d AS (SELECT user_id AS column_id, event_type AS target, event_id AS pos, CASE WHEN event_type = 'error' THEN 'ESCALATED' ELSE 'AUTO_MAPPED' END AS outcome FROM events) SELECT column_id, arg_max(target, pos) AS target, max(pos) AS pos FROM d WHERE outcome = 'AUTO_MAPPED' GROUP BY 1")
-def effective_mappings(spark, sf_dir):
-    d = table(spark, sf_dir, "events").select(F.col("user_id").alias("column_id"), F.col("event_type").alias("target"), F.col("event_id").alias("pos"), F.when(F.col("event_type") == "error", F.lit("ESCALATED")).otherwise(F.lit("AUTO_MAPPED")).alias("outcome"))
-    return mapping.effective(d).select("column_id", "target", "pos")
-
-
-_PROPOSALS = [(1, "f0:c5", "shippedDate"), (2, "f0:c5", "tier"), (3, "f1:c2", "shippedDate"), (4, "f9:c9", "tier"), (5, "f1:c2", "nothing"), (6, "f2:c2", "shippedDate"), (7, "f1:c4", "orderRef")]
-
-
-@query(
-    "WITH " + values("proposals", "pos, column_id, target", _PROPOSALS) + f", {values('cols', 'column_id, file_id, header, kinds', HEADERS)}, {_KINDS}, {_DECLARED}, "
-    """r AS (SELECT p.pos, p.target, CASE WHEN c.column_id IS NULL THEN 'unknown column' WHEN d.kind IS NULL THEN 'unknown field' WHEN p.target = 'orderRef' THEN 'already taken'
- WHEN len(c.kinds) > 0 AND NOT list_has_any(c.kinds, allowed) THEN 'kinds disagree' END AS why FROM proposals p LEFT JOIN cols c USING (column_id) LEFT JOIN declared d ON p.target = d.target LEFT JOIN takes t ON d.kind = t.kind),
- first AS (SELECT target, min(pos) AS pos FROM r WHERE why IS NULL GROUP BY 1), e AS (SELECT r.pos, coalesce(why, CASE WHEN first.pos < r.pos THEN 'already taken' END) AS reason FROM r LEFT JOIN first USING (target))
- SELECT pos, reason IS NULL AS accepted, reason FROM e"""
-)
-def proposal_verification(spark, sf_dir):
-    p = spark.createDataFrame(_PROPOSALS, "pos int, column_id string, target string")
-    return mapping.accept_proposals(p, headers(spark), ORDER, ["orderRef"]).select("pos", "accepted", "reason")
-
-
-# --- merge, validation, repair ---
-def union_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both exports, projected onto the contract and in file order."""
-    feeds = {c: c for c in _PROFILED}
-    a, b = view(spark, sf_dir, "ord_a"), view(spark, sf_dir, "ord_b")
-    return mapping.project(a, feeds, ORDER, "k", "f0", 0).unionByName(mapping.project(b, feeds, ORDER, "k", "f1", 1))
-
-
-_Q = lambda n: f'"{n}"'
-_CANON = {"orderRef": d_trim(_Q("orderRef")), "customerEmail": d_email(_Q("customerEmail")), "placedDate": d_date(_Q("placedDate"))["value"], "shippedDate": d_date(_Q("shippedDate"))["value"], "tier": d_tier("tier")}
-
-
-def _merge_sql() -> str:
-    u = ", ".join(f"{d_trim(_Q(n))} AS t_{n}, CASE WHEN {d_trim(_Q(n))} = '' THEN '' ELSE {c} END AS c_{n}" for n, c in _CANON.items())
-    base = duck("ord_a", "ord_b") + f", u0 AS (SELECT 0 AS file, * FROM ord_a UNION ALL SELECT 1 AS file, * FROM ord_b), u AS (SELECT *, lower({d_trim(_Q('orderRef'))}) AS key, {u} FROM u0)"
-    one = ", ".join(f'arg_min("{n}", (file, k)) FILTER (WHERE t_{n} <> \'\') AS f_{n}, arg_min(t_{n}, (file, k)) FILTER (WHERE t_{n} <> \'\') AS ft_{n}, arg_min({{\'c\': c_{n}}}, (file, k)) FILTER (WHERE t_{n} <> \'\') AS fc0_{n}, min((file, k)) FILTER (WHERE t_{n} <> \'\') AS fo_{n}, arg_min("{n}", (file, k)) AS b_{n}' for n in _CANON)
-    base += f", firsts0 AS (SELECT key, count(*) AS n_rows, {one} FROM u GROUP BY key), firsts AS (SELECT *, {', '.join(f'fc0_{n}.c AS fc_{n}' for n in _CANON)} FROM firsts0)"
-    late = ", ".join(f"u.t_{n} <> '' AND (u.file, u.k) > g.fo_{n} AS later_{n}, coalesce(u.t_{n} = g.ft_{n}, FALSE) OR coalesce(u.c_{n} = g.fc_{n}, FALSE) AS same_{n}" for n in _CANON)
-    base += f", marked AS (SELECT u.*, {late} FROM u JOIN firsts g USING (key))"
-    agg = ", ".join(f"coalesce(bool_or(later_{n} AND same_{n}), FALSE) AS eq_{n}, list_sort(list_distinct(list(t_{n}) FILTER (WHERE later_{n} AND NOT same_{n}))) AS cs_{n}" for n in _CANON)
-    base += f", more AS (SELECT key, {agg} FROM marked GROUP BY key)"
-    out = ", ".join(f"CASE WHEN eq_{n} THEN coalesce(nullif(fc_{n}, ''), f_{n}) ELSE coalesce(f_{n}, b_{n}) END AS \"{n}\"" for n in _CANON)
-    return base + f", rec AS (SELECT 'rec:' || key AS id, key, n_rows, {out}, {', '.join(f'cs_{n}, ft_{n}, fc_{n}, eq_{n}' for n in _CANON)} FROM firsts JOIN more USING (key))"
-
-
-_MERGE = _merge_sql()
-_FIELDS = ", ".join(map(_Q, _CANON))
-
-
-@query(_MERGE + f" SELECT id, n_rows, {_FIELDS} FROM rec")
-def identity_merge(spark, sf_dir):
-    return reconcile.merge(union_rows(spark, sf_dir), ORDER).select("id", "n_rows", *_PROFILED)
-
-
-@query(duck("ord_a", "ord_b") + f" SELECT 'f0' AS file_id, k AS row, {_FIELDS} FROM ord_a UNION ALL SELECT 'f1', k, {_FIELDS} FROM ord_b")
-def multi_file_union(spark, sf_dir):
-    return union_rows(spark, sf_dir).select("file_id", F.col("ord.row").alias("row"), *_PROFILED)
-
-
-_CONFLICT = " UNION ALL ".join(f"SELECT id, '{n}' AS field, array_to_string(list_sort(list_distinct(list_append(cs_{n}, ft_{n}))), '|') AS options FROM rec WHERE len(cs_{n}) > 0" for n in _CANON)
-
-
-@query(_MERGE + f", c AS ({_CONFLICT}) SELECT 'issue:conflict:' || id || ':' || field AS issue_id, options FROM c")
-def merge_conflicts(spark, sf_dir):
-    found = reconcile.conflict_issues(reconcile.merge(union_rows(spark, sf_dir), ORDER))
-    return found.select("issue_id", F.array_join("options", "|").alias("options"))
-
-
-@query(_MERGE + " SELECT 'rec:' || key AS id, string_agg('f' || file || ' row ' || k, ';' ORDER BY file, k) AS sources FROM u GROUP BY key")
-def provenance_lists(spark, sf_dir):
-    p = reconcile.provenance(union_rows(spark, sf_dir), ORDER)
-    named = F.transform(F.array_sort(F.collect_list(F.struct("file_id", "row"))), lambda x: F.concat_ws(" ", x["file_id"], F.lit("row"), x["row"].cast("string")))
-    return p.groupBy("id").agg(F.array_join(named, ";").alias("sources"))
-
-
-@query(_MERGE + " SELECT CAST(sum(n_rows) - count(*) AS BIGINT) AS merged, count(*) AS records, CAST(sum(n_rows) AS BIGINT) AS source_rows FROM rec")
-def merged_rows(spark, sf_dir):
-    r = reconcile.merge(union_rows(spark, sf_dir), ORDER)
-    return r.agg((F.sum("n_rows") - F.count(F.lit(1))).alias("merged"), F.count(F.lit(1)).alias("records"), F.sum("n_rows").alias("source_rows"))
-
-
-@query(_MERGE + f", v AS (SELECT id, lower({_CANON['customerEmail']}) AS value FROM rec) SELECT 'customerEmail' AS field, value, count(*) AS n_records, min(id) AS first_id, max(id) AS last_id FROM v WHERE value <> '' GROUP BY value HAVING count(*) > 1")
-def duplicate_unique(spark, sf_dir):
-    return reconcile.duplicates(reconcile.merge(union_rows(spark, sf_dir), ORDER), ORDER)
-
-
-def d_errors(t: str) -> str:
-    c = lambda n: f'{t}."{n}"'
-    iso = lambda x: f"(regexp_matches({x}, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') AND try_cast({x} AS DATE) IS NOT NULL)"
-    e, p, s, o, r = c("customerEmail"), c("placedDate"), c("shippedDate"), c("orderRef"), c("tier")
-    there = lambda x, req: f"({x} IS NOT NULL{'' if req else f' AND {x} <> ' + repr('')})"
-    tests = [
-        (f"{there(e, 1)} AND NOT contains({e}, '@')", "customerEmail:format"), (f"{there(e, 1)} AND length({e}) > 254", "customerEmail:maxLength"), (f"{there(o, 1)} AND length({o}) > 64", "orderRef:maxLength"), (f"{there(o, 1)} AND length({o}) < 1", "orderRef:minLength"),
-        (f"{there(o, 1)} AND NOT regexp_matches({o}, '^[A-Za-z0-9][A-Za-z0-9._/-]*$')", "orderRef:pattern"), (f"{there(p, 1)} AND NOT {iso(p)}", "placedDate:format"), (f"{there(s, 0)} AND NOT {iso(s)}", "shippedDate:format"),
-        (f"{there(r, 0)} AND {r} NOT IN ({', '.join(repr(v) for v in ENUM.values)})", "tier:enum"), (f"{e} IS NULL", "customerEmail:required"), (f"{o} IS NULL", "orderRef:required"), (f"{p} IS NULL", "placedDate:required"),
-        (f"{e} <> '' AND NOT {d_strict_email(e)}", "customerEmail:email_syntax"), (f"{s} <> '' AND {p} <> '' AND {s} < {p}", "shippedDate:end_before_start"),
-    ]
-    return "concat_ws(',', " + ", ".join(f"CASE WHEN {cond} THEN '{code}' END" for cond, code in tests) + ")"
-
-
-_FIXED = {"orderRef": _CANON["orderRef"], "customerEmail": _CANON["customerEmail"], "tier": f"coalesce({_CANON['tier']}, {d_trim('tier')})"} | {n: f"coalesce({_CANON[n]}, {d_trim(_Q(n))})" for n in ("placedDate", "shippedDate")}
-_VALID = _MERGE + f", one AS (SELECT rec.*, {d_errors('rec')} AS e1 FROM rec), fixed AS (SELECT id, e1, n_rows, " + ", ".join(f"CASE WHEN e1 = '' THEN \"{n}\" ELSE {_FIXED[n]} END AS \"{n}\", \"{n}\" AS raw_{n}" for n in _CANON) + f" FROM one), valid AS (SELECT *, {d_errors('fixed')} AS e2 FROM fixed)"
-
-
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.two_pass(reconcile.merge(union_rows(spark, sf_dir), ORDER), ORDER)
-
-
-def _codes(c: str):
-    return F.array_join(F.transform(c, lambda e: F.concat_ws(":", e["field"], e["code"])), ",")
-
-
-@query(_VALID + " SELECT id, e1 AS first_errors, e2 AS errors FROM valid")
-def validate_errors(spark, sf_dir):
-    return validated(spark, sf_dir).select("id", _codes("first_errors").alias("first_errors"), _codes("errors").alias("errors"))
-
-
-@query(_VALID + f" SELECT id, CAST(CASE WHEN e1 = '' THEN 1 ELSE 2 END AS BIGINT) AS passes, CASE WHEN e2 = '' THEN 'ready' ELSE 'needs_review' END AS disposition, {_FIELDS} FROM valid")
-def two_pass_outcome(spark, sf_dir):
-    return validated(spark, sf_dir).select("id", F.col("passes").cast("long").alias("passes"), "disposition", *_PROFILED)
-
-
-_REPAIRS = " UNION ALL ".join(
-    f"SELECT id, '{n}' AS field, 'trim_whitespace' AS rule, raw_{n} AS before, {d_trim('raw_' + n)} AS after FROM valid WHERE e1 <> '' AND raw_{n} <> {d_trim('raw_' + n)}"
-    + (f" UNION ALL SELECT id, '{n}', '{rule}', {d_trim('raw_' + n)}, \"{n}\" FROM valid WHERE e1 <> '' AND {d_trim('raw_' + n)} <> \"{n}\"" if rule else "")
-    for n, rule in (("orderRef", ""), ("customerEmail", "lowercase_email_domain"), ("placedDate", "normalize_date"), ("shippedDate", "normalize_date"), ("tier", "canonicalize_enum"))
-)
-
-
-@query(_VALID + f" SELECT * FROM ({_REPAIRS})")
-def repair_log(spark, sf_dir):
-    return validated(spark, sf_dir).select("id", F.explode("repairs").alias("r")).select("id", "r.*")
-
-
-@query(_VALID + ", r AS (" + _REPAIRS + ") SELECT 'issue:invalid:' || id AS issue_id, split_part(split_part(e2, ',', 1), ':', 1) AS field, split_part(split_part(e2, ',', 1), ':', 2) AS code, CASE WHEN id IN (SELECT id FROM r) THEN 'repairs were applied and it is still invalid' ELSE 'no safe repair existed' END AS reason FROM valid WHERE e2 <> ''")
-def validation_issues(spark, sf_dir):
-    return validate.validation_issues(validated(spark, sf_dir)).select("issue_id", "field", "code", "reason")
-
-
-@query(_VALID + f", c AS ({_CONFLICT}), r AS (" + _REPAIRS + ") SELECT CASE WHEN e2 = '' THEN 'ready' ELSE 'needs_review' END AS disposition, count(*) AS records, CAST(sum(n_rows - 1) AS BIGINT) AS merged, count(*) FILTER (WHERE id IN (SELECT id FROM c)) AS conflicted, CAST(coalesce(sum(nr), 0) AS BIGINT) AS repairs FROM valid LEFT JOIN (SELECT id, count(*) AS nr FROM r GROUP BY 1) USING (id) GROUP BY 1")
-def reconcile_orders(spark, sf_dir):
-    v = validated(spark, sf_dir)
-    return v.groupBy("disposition").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("n_rows") - 1).alias("merged"), F.count_if(F.size("conflicts") > 0).alias("conflicted"), F.sum(F.size("repairs")).alias("repairs"))
-
-
-@query("SELECT count(*) AS lines, count(*) FILTER (WHERE strftime(l_shipdate, '%Y-%m-%d') < strftime(o_orderdate, '%Y-%m-%d')) AS early FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
-def date_order_violation(spark, sf_dir):
-    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
-    return j.agg(F.count(F.lit(1)).alias("lines"), F.count_if(iso("l_shipdate") < iso("o_orderdate")).alias("early"))
-
-
-# --- issues, decisions, rules ---
-def _issues(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("issue:"), "event_id").alias("issue_id"), F.col("event_type").alias("reason"), F.when(F.col("event_id") % 3 == 0, F.lit("resolved")).otherwise(F.lit("open")).alias("status"), F.when(F.col("event_id") % 3 == 0, F.lit("accept")).alias("resolution"), (F.col("event_type") == "error").alias("blocking"), F.array(F.lit("a"), F.concat(F.lit("o"), F.col("event_id") % 5)).alias("options"), "event_id")
-
-
-_ISSUES = "WITH i AS (SELECT 'issue:' || event_id AS issue_id, event_type AS reason, CASE WHEN event_id % 3 = 0 THEN 'resolved' ELSE 'open' END AS status, CASE WHEN event_id % 3 = 0 THEN 'accept' END AS resolution, event_type = 'error' AS blocking, event_id, ['a', 'o' || event_id % 5] AS options FROM events)"
-
-
-@query(_MERGE + f", c AS ({_CONFLICT}) SELECT type, blocking, count(*) AS n FROM (SELECT 'IDENTITY_CONFLICT' AS type, TRUE AS blocking FROM c UNION ALL SELECT 'DUPLICATE_EMAIL', FALSE FROM (SELECT 1 FROM rec WHERE {d_trim(_Q('customerEmail'))} <> '' GROUP BY lower({_CANON['customerEmail']}) HAVING count(*) > 1)) GROUP BY 1, 2")
-def issue_union(spark, sf_dir):
-    r = reconcile.merge(union_rows(spark, sf_dir), ORDER)
-    d = reconcile.duplicates(r, ORDER).select(F.lit("DUPLICATE_EMAIL").alias("type"), F.lit(False).alias("blocking"))
-    return reconcile.conflict_issues(r).select("type", "blocking").unionAll(d).groupBy("type", "blocking").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(_ISSUES + ", n AS (SELECT issue_id, 'again ' || reason AS reason, 'open' AS status FROM i WHERE event_id % 2 = 0) SELECT i.issue_id, coalesce(n.reason, i.reason) AS reason, i.status, i.resolution FROM i LEFT JOIN n USING (issue_id)")
-def issue_upsert_sticky(spark, sf_dir):
-    i = _issues(spark, sf_dir)
-    new = i.filter("event_id % 2 = 0").select("issue_id", F.concat(F.lit("again "), "reason").alias("reason"), F.lit("open").alias("status"), F.lit(None).cast("string").alias("resolution"))
-    return review.upsert_issues(i.select("issue_id", "reason", "status", "resolution"), new)
-
-
-@query(_ISSUES + " SELECT count(*) FILTER (WHERE blocking AND status = 'open') AS open_blocking, CASE WHEN count(*) FILTER (WHERE blocking AND status = 'open') > 0 THEN 'review' ELSE 'deliver' END AS route FROM i")
-def route_blocking(spark, sf_dir):
-    return review.route(_issues(spark, sf_dir))
-
-
-@query(_ISSUES + ", d AS (SELECT CASE WHEN event_id % 7 = 0 THEN 'issue:x' ELSE issue_id END AS issue_id, CASE WHEN event_id % 5 = 0 THEN 'explode' ELSE 'accept' END AS action, CASE WHEN event_id % 2 = 0 THEN 'o1' END AS option_id FROM i) SELECT issue_id, action, option_id, CASE WHEN i.issue_id IS NULL THEN 'unknown issue' WHEN action = 'explode' THEN 'unknown action' ELSE 'unknown option' END AS refused FROM d LEFT JOIN i USING (issue_id) WHERE i.issue_id IS NULL OR action = 'explode' OR (option_id IS NOT NULL AND NOT list_contains(options, option_id))")
-def decision_validation(spark, sf_dir):
-    i = _issues(spark, sf_dir)
-    d = i.select(F.when(F.col("event_id") % 7 == 0, F.lit("issue:x")).otherwise(F.col("issue_id")).alias("issue_id"), F.when(F.col("event_id") % 5 == 0, F.lit("explode")).otherwise(F.lit("accept")).alias("action"), F.when(F.col("event_id") % 2 == 0, F.lit("o1")).alias("option_id"))
-    return review.check_decisions(d, i)
-
-
-@query(_MERGE + """ SELECT id, CASE WHEN CAST(right(key, 7) AS BIGINT) % 11 = 0 THEN 'fixed@example.com' ELSE "customerEmail" END AS "customerEmail", CAST(CASE WHEN CAST(right(key, 7) AS BIGINT) % 11 = 0 THEN 2 ELSE 1 END AS BIGINT) AS revision, CAST(right(key, 7) AS BIGINT) % 17 = 0 AS excluded FROM rec""")
-def record_corrections(spark, sf_dir):
-    r = reconcile.merge(union_rows(spark, sf_dir), ORDER)
-    number = F.right("key", F.lit(7)).cast("long")
-    fixes = r.filter(number % 11 == 0).select(F.col("id").alias("record_id"), F.lit("customerEmail").alias("field"), F.lit("fixed@example.com").alias("value"), F.lit(1).alias("pos"))
-    out = review.apply_corrections(r, fixes, r.filter(number % 17 == 0).select(F.col("id").alias("record_id")), ORDER)
-    return out.select("id", "customerEmail", F.col("revision").cast("long").alias("revision"), "excluded")
-
-
-def _rules(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return e.select(F.concat(F.lit("rule_"), "event_id").alias("rule_id"), F.when(F.col("event_id") % 2 == 0, F.lit("HEADER_ALIAS")).otherwise(F.lit("VALUE_ALIAS")).alias("kind"), F.lit("tier").alias("field_name"), F.concat(F.lit("t"), F.col("user_id") % 50).alias("term"), (F.col("event_id") % 9 != 0).alias("enabled"), F.lit(1).alias("layer"), F.col("event_id").alias("pos"), F.col("event_id").alias("n"))
-
-
-@query("WITH r AS (SELECT 'rule_' || event_id AS rule_id, CASE WHEN event_id % 2 = 0 THEN 'HEADER_ALIAS' ELSE 'VALUE_ALIAS' END AS kind, 't' || user_id % 50 AS term, event_id AS pos FROM events WHERE event_id % 9 <> 0 AND event_id % 4 <> 3) SELECT kind, term, arg_max(rule_id, pos) AS rule_id FROM r GROUP BY 1, 2")
-def rule_layering(spark, sf_dir):
-    rules = _rules(spark, sf_dir)
-    off = rules.filter("n % 4 = 3").select(F.col("rule_id").alias("targets_rule_id"), F.lit(True).alias("enabled"))
-    return review.active_rules(rules, off).select("kind", "term", "rule_id")
-
-
-@query("WITH r AS (SELECT 'rule_' || event_id AS rule_id FROM events), o AS (SELECT 'rule_' || event_id AS rule_id FROM events WHERE event_id % 4 = 3) SELECT rule_id, rule_id IN (SELECT rule_id FROM o) AS overridden FROM r")
-def rule_listing_overridden(spark, sf_dir):
-    rules = _rules(spark, sf_dir)
-    return review.overridden(rules, rules.filter("n % 4 = 3").select(F.col("rule_id").alias("targets_rule_id"), F.lit(True).alias("enabled"))).select("rule_id", "overridden")
-
-
-@query(f"WITH {_SPELL}, s AS (SELECT spelling, min(target) AS target FROM spell GROUP BY 1 HAVING count(*) = 1) SELECT 'HEADER_ALIAS' AS kind, target AS field_name, spelling AS term FROM s WHERE spelling <> lower(target) UNION ALL SELECT 'VALUE_ALIAS', 'tier', t FROM (VALUES {', '.join(repr((a,)).replace(',)', ')') for a in ENUM.value_aliases)}) v(t)")
-def builtin_rules(spark, sf_dir):
-    return review.builtin_rules(spark, ORDER).select("kind", "field_name", "term")
-
-
-_CHECKED = [("r1", "HEADER_ALIAS", "orderRef", "buyer", None), ("r2", "HEADER_ALIAS", "tier", "date", None), ("r3", "HEADER_ALIAS", "color", "colour", None), ("r4", "VALUE_ALIAS", "orderRef", "x", "y"), ("r5", "VALUE_ALIAS", "tier", "asap", "now"), ("r6", "VALUE_ALIAS", "tier", "asap", "urgent"), ("r7", "DATE_ORDER", "tier", None, None), ("r8", "DATE_ORDER", "placedDate", None, None)]
-
-
-@query("SELECT * FROM (VALUES ('r1', NULL), ('r2', 'header is claimed by several fields'), ('r3', 'unknown field'), ('r4', 'not an enum field'), ('r5', 'not a permitted value'), ('r6', NULL), ('r7', 'not a date field'), ('r8', NULL)) t(rule_id, refused)")
-def rule_schema_check(spark, sf_dir):
-    return review.check_rules(spark.createDataFrame(_CHECKED, "rule_id string, kind string, field_name string, term string, canonical string"), ORDER)
-
-
-_KIND_OF = ["HEADER_ALIAS", "VALUE_ALIAS", "DATE_ORDER", "COLUMN_IGNORE", "OVERRIDE"]
-_FIELD_OF = ["orderRef", "tier", "placedDate", "color", None, "shippedDate"]
-_TERM_OF = ["buyer", "date", "asap"]
-
-
-def _pick(options: list, n):
-    return F.element_at(F.array(*[F.lit(x).cast("string") for x in options]), (n % len(options) + 1).cast("int"))
-
-
-def _picked(options: list, n: str) -> str:
-    return "[" + ", ".join("NULL" if x is None else f"'{x}'" for x in options) + f"][CAST({n} % {len(options)} + 1 AS BIGINT)]"
-
-
-@query(
-    f"WITH {_SPELL}, {_DECLARED}, shared AS (SELECT spelling FROM spell GROUP BY 1 HAVING count(*) > 1), "
-    f"r AS (SELECT event_id AS rule_id, {_picked(_KIND_OF, 'event_id')} AS k, {_picked(_FIELD_OF, 'user_id')} AS target, {_picked(_TERM_OF, 'event_id')} AS term, CASE WHEN user_id % 4 = 0 THEN 'urgent' ELSE 'now' END AS canonical FROM events) "
-    f"""SELECT rule_id, CASE WHEN k = 'HEADER_ALIAS' AND term IN (SELECT spelling FROM shared) THEN 'header is claimed by several fields'
- WHEN declared.kind IS NULL AND (k IN ('HEADER_ALIAS', 'VALUE_ALIAS') OR k = 'DATE_ORDER' AND coalesce(target, '') <> '') THEN 'unknown field' WHEN k = 'VALUE_ALIAS' AND declared.kind <> 'enum' THEN 'not an enum field'
- WHEN k = 'VALUE_ALIAS' AND canonical NOT IN ({', '.join(repr(v) for v in ENUM.values)}) THEN 'not a permitted value' WHEN k = 'DATE_ORDER' AND declared.kind <> 'date' THEN 'not a date field' END AS refused
- FROM r LEFT JOIN declared USING (target)"""
-)
-def rule_schema_check_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    rules = e.select(F.col("event_id").alias("rule_id"), _pick(_KIND_OF, F.col("event_id")).alias("kind"), _pick(_FIELD_OF, F.col("user_id")).alias("field_name"), _pick(_TERM_OF, F.col("event_id")).alias("term"), F.when(F.col("user_id") % 4 == 0, F.lit("urgent")).otherwise(F.lit("now")).alias("canonical"))
-    return review.check_rules(rules, ORDER)
-
-
-_PARTS_OF = {"schema_id": ("s", 13), "header": ("h", 2), "field_name": ("f", 3), "value": ("v", 5), "canonical": ("c", 7), "date_order": ("day_first", 4), "targets_rule_id": ("t", 6)}
-
-
-@query(
-    f"WITH r AS (SELECT event_id AS rule_id, {_picked(_KIND_OF, 'user_id')} AS kind, " + ", ".join(f"event_id % {m} <> 0 AS {n}" for n, (_, m) in _PARTS_OF.items()) + " FROM events) "
-    """SELECT rule_id, CASE WHEN NOT schema_id THEN 'no schema' ELSE CASE kind WHEN 'HEADER_ALIAS' THEN CASE WHEN NOT header OR NOT field_name THEN 'needs header and field' END
- WHEN 'VALUE_ALIAS' THEN CASE WHEN NOT (field_name AND value AND canonical) THEN 'needs field, value and canonical value' END WHEN 'COLUMN_IGNORE' THEN CASE WHEN NOT header THEN 'needs header' END
- WHEN 'OVERRIDE' THEN CASE WHEN NOT targets_rule_id THEN 'needs the rule it disables' END ELSE CASE WHEN NOT date_order THEN 'needs a reading' WHEN NOT header AND NOT field_name THEN 'needs column or field' END END END AS lacks FROM r"""
-)
-def rule_shape_check_events(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    parts = [F.when(F.col("event_id") % m != 0, F.lit(v)).otherwise(F.lit("" if m % 2 else None).cast("string")).alias(n) for n, (v, m) in _PARTS_OF.items()]
-    return e.select(F.col("event_id").alias("rule_id"), _pick(_KIND_OF, F.col("user_id")).alias("kind"), *parts).select("rule_id", rulebook.shape_error().alias("lacks"))
-
-
-@query("SELECT * FROM (VALUES ('f0:c5', NULL, 'tier')) t(column_id, before, after)")
-def rule_preview_header(spark, sf_dir):
-    some = headers(spark).filter(F.col("file_id").isin("f0") & ~F.col("column_id").isin("f0:c3", "f0:c4"))
-    return mapping.preview_change(some, ORDER, spark.createDataFrame([("warehouse", "tier")], "header string, field_name string"))
-
-
-_SHAPES = [
-    ("r1", "HEADER_ALIAS", "s", "buyer", "orderRef", None, None, None, None), ("r2", "HEADER_ALIAS", "s", "buyer", None, None, None, None, None), ("r3", "VALUE_ALIAS", "s", None, "tier", "asap", None, None, None),
-    ("r4", "DATE_ORDER", "s", None, "placedDate", None, None, None, None), ("r5", "DATE_ORDER", "s", None, None, None, None, "day_first", None), ("r6", "COLUMN_IGNORE", "s", "", None, None, None, None, None),
-    ("r7", "OVERRIDE", "s", None, None, None, None, None, None), ("r8", "OVERRIDE", "", None, None, None, None, None, "r1"), ("r9", "DATE_ORDER", "s", None, "placedDate", None, None, "day_first", None),
-]
-
-
-@query("SELECT * FROM (VALUES ('r1', NULL), ('r2', 'needs header and field'), ('r3', 'needs field, value and canonical value'), ('r4', 'needs a reading'), ('r5', 'needs column or field'), ('r6', 'needs header'), ('r7', 'needs the rule it disables'), ('r8', 'no schema'), ('r9', NULL)) t(rule_id, lacks)")
-def rule_shape_check(spark, sf_dir):
-    names = ("rule_id", "kind", "schema_id", "header", "field_name", "value", "canonical", "date_order", "targets_rule_id")
-    return spark.createDataFrame(_SHAPES, ", ".join(f"{n} string" for n in names)).select("rule_id", rulebook.shape_error().alias("lacks"))
-
-
-@query("SELECT c_custkey, left(regexp_replace(lower(c_name || ' (' || c_mktsegment || ')'), '[^a-z0-9]+', '', 'g'), 120) AS header, c_name AS canonical, left(repeat(c_name, 20), 240) AS rationale FROM customer")
-def rule_normalise(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    padded = F.concat(F.lit("  "), "c_name", F.lit(" "))
-    rules = c.select("c_custkey", F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")")).alias("header"), padded.alias("canonical"), F.repeat("c_name", F.lit(20)).alias("rationale"))
-    return rulebook.normalise_rules(rules)
-
-
-@query("WITH s AS (SELECT DISTINCT user_id, user_id % 3 + 1 AS version, 'first' AS body FROM events), c AS (SELECT e.user_id, arg_min(event_type, event_id) AS body FROM events e WHERE event_id % 3 = e.user_id % 3 GROUP BY 1) SELECT s.user_id, CAST(s.version + CASE WHEN c.user_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version, coalesce(c.body, s.body) AS body FROM s LEFT JOIN c USING (user_id)")
-def rule_version_lock(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    stored = e.select("user_id", (F.col("user_id") % 3 + 1).cast("long").alias("version"), F.lit("first").alias("body")).distinct()
-    changes = e.select("user_id", (F.col("event_id") % 3 + 1).alias("expected"), F.col("event_type").alias("body"), F.col("event_id").alias("pos"))
-    return rulebook.update_versions(stored, changes, "user_id", "body")
-
-
-@query("SELECT user_id AS owner, event_type AS targets_rule_id, 's' AS schema_id, arg_max(event_id % 3 = 0, (event_id % 2, event_id)) AS enabled FROM events GROUP BY 1, 2")
-def rule_override_toggle(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    rows = e.select(F.col("user_id").alias("owner"), F.col("event_type").alias("targets_rule_id"), F.lit("s").alias("schema_id"), (F.col("event_id") % 3 == 0).alias("enabled"), F.col("event_id").alias("pos"))
-    return rulebook.toggle_overrides(rows.filter("pos % 2 = 0"), rows.filter("pos % 2 = 1"))
-
-
-_SAMPLES = _CELLS + ", f AS (SELECT column_id, t AS sample, min(ord) AS o FROM cells WHERE t <> '' GROUP BY 1, 2), r AS (SELECT column_id, row_number() OVER (PARTITION BY column_id ORDER BY o, sample) AS position, sample FROM f), s AS (SELECT column_id, sample FROM r WHERE position <= 5)"
-
-
-def _own_targets(spark):
-    return spark.createDataFrame([(c, c) for c in _PROFILED], "column_id string, target string")
-
-
-@query(_SAMPLES + " SELECT column_id, sample AS before, 'low' AS after FROM s WHERE column_id = 'tier' AND regexp_replace(lower(sample), '[^a-z0-9]+', '', 'g') = 'notspecified'")
-def rule_preview_value(spark, sf_dir):
-    return rulebook.preview_value(profile.profile_samples(_cells(spark, sf_dir)), _own_targets(spark), "tier", "notspecified", "low")
-
-
-@query(duck("li_dates") + f" SELECT DISTINCT 'c' || l_linenumber AS column_id, raw AS before, {_D['dm']} AS after FROM li_dates WHERE l_linenumber <= 3 AND {_D['status']} = 'ambiguous'")
-def rule_preview_date(spark, sf_dir):
-    samples = view(spark, sf_dir, "li_dates").select(F.concat(F.lit("c"), "l_linenumber").alias("column_id"), F.col("raw").alias("sample")).distinct()
-    mapped = spark.createDataFrame([(f"c{i}", "placedDate" if i <= 3 else "tier") for i in range(1, 8)], "column_id string, target string")
-    return rulebook.preview_dates(samples, mapped, "placedDate", "day_first")
-
-
-@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 NOT IN (1, 2) AND event_id % 5 <> 0")
-def decisions_that_generalise(spark, sf_dir):
-    n = F.col("event_id")
-    action = F.when(n % 4 == 1, F.lit("reject")).when(n % 4 == 2, F.lit("exclude")).otherwise(F.lit("map"))
-    d = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), action.alias("action"), F.when(n % 5 == 0, F.lit(" Date ")).otherwise(F.lit("Warehouse")).alias("header"))
-    return rulebook.generalisable(d, ORDER, ("click", "view")).select("event_id")
-
-
-@query("SELECT 'rule_' || user_id % 40 AS rule_id, CAST(count(*) + CASE WHEN user_id % 40 < 10 THEN 100 ELSE 0 END AS BIGINT) AS hits FROM events GROUP BY user_id % 40")
-def rule_hits(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.concat(F.lit("rule_"), F.col("user_id") % 40).alias("rule_id"))
-    before = spark.createDataFrame([(f"rule_{i}", 100) for i in range(10)], "rule_id string, hits long")
-    return review.rule_hits(e, before)
-
-
-@query("SELECT event_type, user_id, min(event_id) AS event_id FROM events WHERE event_type <> 'view' GROUP BY 1, 2")
-def accept_dedup(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_type", "user_id", "event_id")
-    return rulebook.accept_new(e, e.filter("event_type = 'view'"), ("event_type", "user_id"), "event_id")
-
-
-# --- delivery, admission, audit ---
-_JSON = "'{{' || concat_ws(',', {}) || '}}'".format(", ".join(f"CASE WHEN \"{n}\" <> '' THEN '\"{n}\":\"' || replace(\"{n}\", '/', '/') || '\"' END" for n in sorted(_CANON)))
-_KEYS = _VALID + f", paid AS (SELECT id, left(sha256({_JSON}), 32) AS payload_hash, left(sha256('run-1:' || id || ':1'), 32) AS idempotency_key FROM valid WHERE e2 = '')"
-
-
-def _ready(spark, sf_dir):
-    v = validated(spark, sf_dir).filter("disposition = 'ready'")
-    return v.select("id", deliver.payload_hash(ORDER).alias("payload_hash"), deliver.idempotency_key(F.lit("run-1"), F.col("id"), F.lit(1)).alias("idempotency_key"))
-
-
-@query(_KEYS + " SELECT * FROM paid")
-def payload_keys(spark, sf_dir):
-    return _ready(spark, sf_dir)
-
-
-_OUT = "CASE WHEN o_orderkey % 10 = 0 THEN CASE WHEN a = 1 THEN 503 ELSE 201 END WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN 422 ELSE 200 END"
-
-
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'succeeded' WHEN o_orderkey % 11 = 0 THEN 'failed' WHEN o_orderkey % 13 = 0 THEN 'failed' ELSE 'succeeded' END AS state, CAST(CASE WHEN o_orderkey % 10 = 0 THEN 2 WHEN o_orderkey % 11 = 0 THEN 3 ELSE 1 END AS BIGINT) AS attempts FROM orders")
-def delivery_rounds(spark, sf_dir):
-    k = F.col("o_orderkey")
-    answer = lambda i: F.when(k % 10 == 0, F.lit(503 if i == 1 else 201)).when(k % 11 == 0, F.lit(None).cast("int")).when(k % 13 == 0, F.lit(422)).otherwise(F.lit(200))
-    return deliver.deliver(table(spark, sf_dir, "orders").select("o_orderkey"), answer).select("o_orderkey", "state", F.col("attempts").cast("long").alias("attempts"))
-
-
-@query("SELECT CASE WHEN count(*) FILTER (WHERE o_orderkey % 11 = 0) > 0 THEN 'complete_with_failures' ELSE 'complete' END AS phase FROM orders")
-def final_phase(spark, sf_dir):
-    return deliver.final_phase(table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 11 == 0, F.lit("failed")).otherwise(F.lit("succeeded")).alias("state")))
-
-
-@query("WITH i AS (SELECT 'k' || user_id AS key, event_type AS payload_hash, event_id AS pos FROM events), h AS (SELECT 'k' || user_id AS key, 'click' AS payload_hash FROM events WHERE user_id % 3 = 0 GROUP BY user_id), f AS (SELECT key, arg_min(payload_hash, pos) AS ph, min(pos) AS p FROM i GROUP BY 1) SELECT i.pos, CASE WHEN h.key IS NULL AND i.pos = f.p THEN 'stored' WHEN i.payload_hash = coalesce(h.payload_hash, f.ph) THEN 'replay' ELSE 'conflict' END AS result FROM i JOIN f USING (key) LEFT JOIN h USING (key)")
-def receipts(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    incoming = e.select(F.concat(F.lit("k"), "user_id").alias("key"), F.col("event_type").alias("payload_hash"), F.col("event_id").alias("pos"))
-    held = e.filter("user_id % 3 = 0").select(F.concat(F.lit("k"), "user_id").alias("key"), F.lit("click").alias("payload_hash")).distinct()
-    return deliver.store_receipts(held, incoming).select("pos", "result")
-
-
-@query("SELECT event_id, CAST(sum(1 + event_id % 3) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, sum(1 + event_id % 3) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 40 AS admitted FROM events")
-def budget_admission(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("day", dates.utc_day_key(F.col("ts"))).withColumn("n", 1 + F.col("event_id") % 3)
-    return deliver.admit_budget(e, "day", ["ts", "event_id"], "n", 40).select("event_id", "used", "admitted")
-
-
-@query("WITH e AS (SELECT user_id % 20 AS owner, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') AS day, event_id // 2 AS run, min((ts, event_id)) AS first_at FROM events GROUP BY 1, 2, 3) SELECT owner, day, run, row_number() OVER (PARTITION BY owner, day ORDER BY first_at, run) <= 2 AS admitted FROM e")
-def quota_admission(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("owner"), dates.local_day(F.col("ts")).cast("string").alias("day"), F.floor(F.col("event_id") / 2).alias("run"), "ts", "event_id")
-    return deliver.admit_starts(e, "owner", "day", "run", ["ts", "event_id"], 2).select("owner", "day", "run", "admitted")
-
-
-@query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) SELECT event_id, max(t - i * 86400000) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 86400000 AS slot FROM e")
-def rate_spacing(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")))
-    return deliver.space_out(e, "user_id", "t", ["ts", "event_id"], 86_400_000).select("event_id", "slot")
-
-
-@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + 10 AS seq FROM events")
-def audit_events_seq(spark, sf_dir):
-    return review.number_events(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 10).select("event_id", "user_id", "seq")
-
-
-@query("SELECT event_id, event_type FROM events WHERE event_id > 500")
-def events_since(spark, sf_dir):
-    return table(spark, sf_dir, "events").filter("event_id > 500").select("event_id", "event_type")
-
-
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20")
-def top_recent_runs(spark, sf_dir):
-    return table(spark, sf_dir, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(20).select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-
-
-@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 12")
-def checkpoint_retention(spark, sf_dir):
-    return review.newest(table(spark, sf_dir, "events").select("event_id", "user_id"), "user_id", [F.desc("event_id")], 12)
-
-
-@query(_VALID + ", st AS (SELECT CASE WHEN e2 = '' THEN 'ready' ELSE 'needs_review' END AS disposition FROM valid) SELECT count(*) AS records, count(*) FILTER (WHERE disposition = 'ready') AS ready, count(*) FILTER (WHERE disposition = 'needs_review') AS review, (SELECT CAST(sum(n_rows) AS BIGINT) FROM rec) - count(*) AS merged FROM st")
-def counters(spark, sf_dir):
-    v = validated(spark, sf_dir)
-    return v.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("disposition") == "ready").alias("ready"), F.count_if(F.col("disposition") == "needs_review").alias("review"), (F.sum("n_rows") - F.count(F.lit(1))).alias("merged"))
-
-
-@query()
-def scrub_prompt_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", text.safe_value(F.col("text")).alias("value"), text.safe_header(F.col("source")).alias("header"))
-
-
-@query("SELECT event_id, user_id, event_type, CAST(NULL AS VARCHAR) AS error FROM events WHERE FALSE")
-def csv_scan_errors(spark, sf_dir):
-    """Round trip of a written export through the scan: rows that are lost, added or repeated (none)."""
-    from ..sources.files import read_exports
-
-    folder = _scratch(spark, "csv-export")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    e.write.option("header", True).option("quoteAll", True).csv(folder)
-    back = read_exports(spark, folder + "/*.csv").select(F.col("cells")[0].cast("long").alias("event_id"), F.col("cells")[1].cast("long").alias("user_id"), F.col("cells")[2].alias("event_type"))
-    return e.exceptAll(back).withColumn("error", F.lit("lost")).unionByName(back.exceptAll(e).withColumn("error", F.lit("added")))
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-concord-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-@query("SELECT * FROM (VALUES ('accountId', 'identifier', TRUE, TRUE, FALSE), ('email', 'email', TRUE, FALSE, TRUE), ('level', 'enum', FALSE, FALSE, FALSE), ('since', 'date', FALSE, FALSE, FALSE)) t(name, kind, required, identity, uniq)")
-def spec_import(spark, sf_dir):
-    spec = {"title": "Account", "required": ["accountId", "email"], "properties": {"accountId": {"type": "string"}, "email": {"type": "string", "format": "email"}, "level": {"enum": ["a", "b"]}, "since": {"type": "string", "format": "date-time"}}}
-    contract = parse_spec(to_yaml(parse_spec(json.dumps(spec))[0]))[0]
-    return spark.createDataFrame([(f.name, f.kind, f.required, f.identity, f.unique) for f in contract.fields], "name string, kind string, required boolean, identity boolean, uniq boolean")
-
-
-@query("SELECT * FROM (VALUES ('orderref', 'identifier'), ('customeremail', 'email'), ('placeddate', 'date'), ('shippeddate', 'date'), ('tier', 'identifier')) t(name, kind)")
-def infer_schema_fields(spark, sf_dir):
-    found = {r["column_id"]: list(r["detected_kinds"]) for r in profile.profile_columns(_cells(spark, sf_dir)).collect()}  # one row for each column
-    contract = infer_contract([{"header": c.lower(), "kinds": found[c]} for c in _PROFILED])
-    return spark.createDataFrame([(f.name, f.kind) for f in contract.fields], "name string, kind string")
-
-
-@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
-def event_days(spark, sf_dir):
-    """The streaming layer's windowed count, run as a batch."""
-    from ..streaming.feed import windowed_counts
-
-    return windowed_counts(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n")
-
-
-from . import run_queries  # noqa: E402, F401 - registers its queries
+__all__ = ["ORACLES", "QUERIES"]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..contract import ORDER
 from ..operators import deliver, issues, mapping, review, rulebook, views
 from .catalog import HEADERS, headers, values
-from .queries import _DECIDE, query, table
+from .base import query, table
+from .mapping_queries import _DECIDE
 
 _FIELDS = values("fields", "target, label, required, place", [(f.name, f.title, f.required, i) for i, f in enumerate(ORDER.fields)])
 
