@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..contract import Contract, normal
+from .blocks import B, G, in_blocks, numbered
 
 ACTIONS = ("map", "accept", "correct_value", "exclude", "reject", "keep_all")
 
@@ -163,9 +164,9 @@ def rule_hits(events: DataFrame, before: DataFrame) -> DataFrame:
     return before.join(new, "rule_id", "full").select("rule_id", (F.coalesce("hits", F.lit(0)) + F.coalesce("new", F.lit(0))).cast("long").alias("hits"))
 
 
-def number_events(events: DataFrame, run: str, order: list[str], base: int = 0) -> DataFrame:
-    """Gap-free sequence numbers within each run."""
-    return events.withColumn("seq", (F.row_number().over(Window.partitionBy(run).orderBy(*order)) + base).cast("long"))
+def number_events(events: DataFrame, run: str, order: list[str], base: int = 0, block: Column | None = None) -> DataFrame:
+    """Gap-free sequence numbers within each run, in blocks of the order (see ``blocks``): no task holds a run."""
+    return numbered(in_blocks(events, [run], order, block), order, "seq", base).drop(G, B)
 
 
 def next_sequence(events: DataFrame) -> DataFrame:

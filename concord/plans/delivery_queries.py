@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..contract import ORDER, infer_contract, parse_spec, to_yaml
 from ..functions import dates, text
-from ..operators import deliver, profile, review
+from ..operators import admission, deliver, profile, review
 from .base import query, table
 from .merge_queries import _CANON, _VALID, validated
 from .profile_queries import _PROFILED, _cells
@@ -55,24 +55,52 @@ def receipts(spark, sf_dir):
 @query("SELECT event_id, CAST(sum(1 + event_id % 3) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, sum(1 + event_id % 3) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 40 AS admitted FROM events")
 def budget_admission(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("day", dates.utc_day_key(F.col("ts"))).withColumn("n", 1 + F.col("event_id") % 3)
-    return deliver.admit_budget(e, "day", ["ts", "event_id"], "n", 40).select("event_id", "used", "admitted")
+    return admission.admit_budget(e, "day", ["ts", "event_id"], "n", 40, F.date_trunc("hour", "ts")).select("event_id", "used", "admitted")
 
 
 @query("WITH e AS (SELECT user_id % 20 AS owner, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') AS day, event_id // 2 AS run, min((ts, event_id)) AS first_at FROM events GROUP BY 1, 2, 3) SELECT owner, day, run, row_number() OVER (PARTITION BY owner, day ORDER BY first_at, run) <= 2 AS admitted FROM e")
 def quota_admission(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("owner"), dates.local_day(F.col("ts")).cast("string").alias("day"), F.floor(F.col("event_id") / 2).alias("run"), "ts", "event_id")
-    return deliver.admit_starts(e, "owner", "day", "run", ["ts", "event_id"], 2).select("owner", "day", "run", "admitted")
+    return admission.admit_starts(e, "owner", "day", "run", ["ts", "event_id"], 2).select("owner", "day", "run", "admitted")
 
 
 @query("WITH e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) SELECT event_id, max(t - i * 86400000) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 86400000 AS slot FROM e")
 def rate_spacing(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("t", F.unix_millis(F.col("ts").cast("timestamp")))
-    return deliver.space_out(e, "user_id", "t", ["ts", "event_id"], 86_400_000).select("event_id", "slot")
+    return admission.space_out(e, "user_id", "t", ["ts", "event_id"], 86_400_000, F.to_date("ts")).select("event_id", "slot")
+
+
+#: Milliseconds between two slots of a lane, and the longest wait.
+_GAP, _BOUND = 900_000, 3_600_000
+
+
+@query(
+    f"""WITH RECURSIVE e AS (SELECT event_id, user_id % 4 AS lane, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, lane, i, t AS slot, t AS last FROM e WHERE i = 1
+ UNION ALL SELECT e.event_id, e.lane, e.i, CASE WHEN greatest(t, last + {_GAP}) - t <= {_BOUND} THEN greatest(t, last + {_GAP}) END, CASE WHEN greatest(t, last + {_GAP}) - t <= {_BOUND} THEN greatest(t, last + {_GAP}) ELSE last END
+ FROM r JOIN e ON e.lane = r.lane AND e.i = r.i + 1) SELECT event_id, slot FROM r"""
+)
+def rate_spacing_bounded(spark, sf_dir):
+    """One request in four lanes; who would wait an hour for a slot is refused and takes none."""
+    e = table(spark, sf_dir, "events").select("event_id", "ts", (F.col("user_id") % 4).alias("lane"), F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    return admission.space_out_bounded(e, "lane", "t", ["ts", "event_id"], _GAP, _BOUND, F.to_date("ts")).select("event_id", "slot")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 20 AS owner, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') AS day, event_type = 'error' AS free,
+ row_number() OVER (PARTITION BY user_id % 20, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d') ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT event_id, owner, day, i, CASE WHEN free THEN 0 ELSE 1 END AS used, NOT free AS admitted FROM e WHERE i = 1
+ UNION ALL SELECT e.event_id, e.owner, e.day, e.i, CASE WHEN free THEN greatest(used - 1, 0) ELSE least(used + 1, 3) END, NOT free AND used < 3 FROM r JOIN e ON e.owner = r.owner AND e.day = r.day AND e.i = r.i + 1)
+SELECT event_id, used, admitted FROM r"""
+)
+def quota_release(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", (F.col("user_id") % 20).alias("owner"), dates.local_day(F.col("ts")).cast("string").alias("day"))
+    return admission.quota_with_release(e, ["owner", "day"], ["ts", "event_id"], F.col("event_type") == "error", 3, F.date_trunc("hour", "ts")).select("event_id", "used", "admitted")
 
 
 @query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) + 10 AS seq FROM events")
 def audit_events_seq(spark, sf_dir):
-    return review.number_events(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 10).select("event_id", "user_id", "seq")
+    return review.number_events(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"], 10, F.to_date("ts")).select("event_id", "user_id", "seq")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id > 500")
