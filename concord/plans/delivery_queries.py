@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from ..contract import ORDER, infer_contract, parse_spec, to_yaml
 from ..functions import dates, text
 from ..operators import admission, deliver, profile, review
+from ..sources.csv_ranges import scan_csv
+from ..sources.files import Limits, over_limits
+from ..storage import shared_dir
 from .base import query, table
 from .merge_queries import _CANON, _VALID, validated
 from .profile_queries import _PROFILED, _cells
@@ -129,28 +132,46 @@ def scrub_prompt_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.safe_value(F.col("text")).alias("value"), text.safe_header(F.col("source")).alias("header"))
 
 
-@query("SELECT event_id, user_id, event_type, CAST(NULL AS VARCHAR) AS error FROM events WHERE FALSE")
-def csv_scan_errors(spark, sf_dir):
-    """Round trip of a written export through the scan: rows that are lost, added or repeated (none)."""
-    from ..sources.files import read_exports
+@query("SELECT event_id, user_id, event_type, 'events.csv' AS file, CAST(row_number() OVER (ORDER BY event_id) + 1 AS BIGINT) AS row, event_id % 5 = 0 AS extra FROM events WHERE event_id % 7 <> 0")
+def csv_scan(spark, sf_dir):
+    """An export with rows of blanks and rows that are too long, written from the events and read by ranges."""
+    folder = shared_dir(spark, "csv-export")
+    e, n = table(spark, sf_dir, "events"), F.col("event_id")
+    line = F.when(n % 7 == 0, F.lit(" ,, ")).otherwise(F.concat_ws(",", n.cast("string"), F.col("user_id").cast("string"), "event_type", F.when(n % 5 == 0, F.lit("more"))))
+    text = e.select(n, line.alias("value")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.lit("event_id, user_id ,event_type").alias("value")))
+    text.coalesce(1).sortWithinPartitions("event_id").select("value").write.text(folder)  # one file is the point: it is read by ranges
+    back = scan_csv(spark, folder, line_breaks_in_quotes=False)
+    cell = lambda i: F.get("cells", F.lit(i))
+    return back.select(cell(0).cast("long").alias("event_id"), cell(1).cast("long").alias("user_id"), cell(2).alias("event_type"), F.lit("events.csv").alias("file"), "row", F.col("warning").isNotNull().alias("extra"))
 
-    folder = _scratch(spark, "csv-export")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    e.write.option("header", True).option("quoteAll", True).csv(folder)
-    back = read_exports(spark, folder + "/*.csv").select(F.col("cells")[0].cast("long").alias("event_id"), F.col("cells")[1].cast("long").alias("user_id"), F.col("cells")[2].alias("event_type"))
-    return e.exceptAll(back).withColumn("error", F.lit("lost")).unionByName(back.exceptAll(e).withColumn("error", F.lit("added")))
 
+@query("SELECT doc_id, length(text) AS n, md5(text) AS digest, source FROM documents")
+def csv_quoted_scan(spark, sf_dir):
+    """Whole texts, line breaks and quotes included, through an export and back."""
+    folder = shared_dir(spark, "csv-export")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    d.write.option("header", True).option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    cell = lambda i: F.get("cells", F.lit(i))
+    back = scan_csv(spark, folder + "/*.csv").select(cell(0).cast("long").alias("doc_id"), cell(1).alias("text"), cell(2).alias("source"))
+    return back.select("doc_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"), "source")
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-concord-", dir="/tmp")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_LIMITS = Limits(columns=2, rows=3000, cell=20_000)
+
+
+@query(
+    """WITH f AS (SELECT 'source-' || source AS name, count(*) AS n, arg_min(length(text) > 20000, doc_id) AS x, max(length(text)) AS longest FROM documents GROUP BY source)
+SELECT name || '.csv' AS file_name, name || '.csv: 3 columns exceeds the limit of 2.' AS error FROM f
+UNION ALL SELECT name || '.csv', name || '.csv: ' || n || ' rows exceeds the limit of 3000.' FROM f WHERE n > 3000
+UNION ALL SELECT name || '.csv', name || '.csv: a cell in column "text" is too long (limit 20000 characters).' FROM f WHERE longest > 20000
+UNION ALL SELECT NULL, 'At most 3 files per migration.' FROM f HAVING count(*) > 3
+UNION ALL SELECT NULL, sum(n) || ' rows exceeds the limit of 100.' FROM f HAVING sum(n) > 100"""
+)
+def import_limits(spark, sf_dir):
+    """Limits of files and of the run, over rows as a scan gives them: one file a source."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.concat(F.lit("source-"), "source", F.lit(".csv")).alias("file_name"), F.col("doc_id").alias("row"), F.array(*map(F.lit, ("doc_id", "text", "lang"))).alias("header"), F.array(F.col("doc_id").cast("string"), "text", "lang").alias("cells"))
+    return over_limits(rows, _LIMITS, files=3, total_rows=100)
 
 
 @query("SELECT * FROM (VALUES ('accountId', 'identifier', TRUE, TRUE, FALSE), ('email', 'email', TRUE, FALSE, TRUE), ('level', 'enum', FALSE, FALSE, FALSE), ('since', 'date', FALSE, FALSE, FALSE)) t(name, kind, required, identity, uniq)")

@@ -1,4 +1,5 @@
-"""CSV and XLSX exports as rows of text, each file whole in one task and files in parallel."""
+"""CSV and XLSX exports as rows of text, each file whole in one task and files in parallel, and limits over what was read.
+CSV files of any size are read by ``csv_ranges``."""
 
 from __future__ import annotations
 
@@ -18,8 +19,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAX_SHEETS, MAX_EXPANDED = 32, 16 * 1024 * 1024
-#: Columns that ``scan_csv`` looks for at least.
-MAX_WIDTH = 50
 ROWS = "file_name string, checksum string, sheet string, row long, header array<string>, cells array<string>, warning string, error string"
 
 
@@ -148,7 +147,7 @@ def parse_xlsx(content: bytes) -> tuple[str, list[str], list[tuple[int, list[str
 def read_exports(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """Rows of all files below ``path`` (.csv, .txt, .xlsx) with name, checksum, sheet and row number; a file that cannot be
     read gives one row with its error and no other. Each file is whole in one task: for exports of the size that people upload.
-    ``scan_csv`` reads CSV files of any size."""
+    ``csv_ranges.scan_csv`` reads CSV files of any size."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,28 +170,28 @@ def read_exports(spark: SparkSession, path: str, limits: Limits = Limits()) -> D
     return files.mapInPandas(read, ROWS)
 
 
-def scan_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """file_name, row, header, cells of CSV files of any size, split over tasks by Spark's own reader. Row numbers count the rows
-    that are not blank, the header being 1; short rows are padded and extra cells cut, as in ``read_exports``.
-
-    Rows are numbered without moving them: the count of each piece of a file (one small row a piece) gives its first number.
-    A file with line breaks inside quotes needs ``multi_line``, which keeps each file whole in one task.
-    """
-    options = {"header": "false", "multiLine": str(multi_line).lower(), "quote": '"', "escape": '"', "mode": "PERMISSIVE", "inferSchema": "false", "enforceSchema": "true"}
-    plain = {"ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "emptyValue": "", "nullValue": "\x00", "maxCharsPerColumn": "-1"}
-    width = len(spark.read.options(**options, **plain).csv(path).columns)  # of the first file; others may be wider
-    heads = spark.read.options(**options, **plain).schema(", ".join(f"c{i} string" for i in range(max(width, MAX_WIDTH)))).csv(path)
-    cells = F.array(*[F.col(c) for c in heads.columns])
-    rows = heads.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("piece"), F.array_compact(cells).alias("cells"))
-    rows = rows.filter(F.exists("cells", lambda c: F.trim(c) != "")).withColumn("serial", F.monotonically_increasing_id())
-    pieces = rows.groupBy("path", "piece").agg(F.min("serial").alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("cells", "serial").alias("top"))
-    before = Window.partitionBy("path").orderBy("piece")
-    pieces = pieces.select("path", "piece", "first", F.coalesce(F.sum("n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.first("top").over(before).alias("header"))
-    numbered = rows.join(pieces, ["path", "piece"]).withColumn("row", F.col("base") + F.col("serial") - F.col("first") + 1)
-    size = F.size("header")
-    full = F.slice(F.concat("cells", F.array_repeat(F.lit(""), size)), F.lit(1), size)
-    name = F.element_at(F.split("path", "/"), -1)
-    return numbered.filter("row > 1").select(name.alias("file_name"), "row", F.transform("header", lambda h: F.trim(h)).alias("header"), full.alias("cells"))
+def over_limits(rows: DataFrame, limits: Limits = Limits(), files: int | None = None, total_rows: int | None = None) -> DataFrame:
+    """What breaks a limit, as sentences: for each file its columns, rows and longest cell, for the run its files and rows in all.
+    One partial aggregate over the scanned rows; what is compared is one row a file."""
+    each = rows.groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("header")).alias("width"), F.any_value("header").alias("header"),
+        F.min(F.when(F.array_max(F.transform("cells", lambda c: F.length(c))) > (limits.cell or 0), F.struct("row", "cells"))).alias("long"),
+    )
+    number = lambda c: F.col(c).cast("string")
+    named = lambda *parts: F.concat(F.col("file_name"), F.lit(": "), *parts)
+    place = F.array_position(F.transform("long.cells", lambda c: F.length(c) > (limits.cell or 0)), True)
+    texts = []
+    if limits.columns is not None:
+        texts.append(F.when(F.col("width") > limits.columns, named(number("width"), F.lit(f" columns exceeds the limit of {limits.columns}."))))
+    if limits.rows is not None:
+        texts.append(F.when(F.col("n") > limits.rows, named(number("n"), F.lit(f" rows exceeds the limit of {limits.rows}."))))
+    if limits.cell is not None:
+        texts.append(F.when(F.col("long").isNotNull(), named(F.lit('a cell in column "'), F.get("header", (place - 1).cast("int")), F.lit(f'" is too long (limit {limits.cell} characters).'))))
+    broken = each.select("file_name", F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *texts))).alias("error"))
+    run = each.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    said = [F.when(F.col("files") > files, F.lit(f"At most {files} files per migration."))] if files is not None else []
+    said += [F.when(F.col("total") > total_rows, F.concat(number("total"), F.lit(f" rows exceeds the limit of {total_rows}.")))] if total_rows is not None else []
+    return broken.unionByName(run.select(F.lit(None).cast("string").alias("file_name"), F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *said))).alias("error")))
 
 
 def columns_of(rows: DataFrame) -> DataFrame:

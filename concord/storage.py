@@ -28,3 +28,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """A written copy of ``df``, marked for broadcasting if it has at most ``most`` rows, and how many it has."""
+    from pyspark.sql import functions as F
+
+    held = materialise(df, "few")
+    n = held.count()
+    return (F.broadcast(held) if n <= most else held), n

@@ -94,7 +94,7 @@ def test_files_are_whole_or_an_error(spark, tmp_path):
 
 
 def test_large_csv_is_split(spark, tmp_path):
-    from concord.sources.files import scan_csv
+    from concord.sources.csv_ranges import scan_csv
 
     lines = [f'{i},"a ""q"" {i}, b"' + (",more" if i % 5 == 0 else "") for i in range(20_000)]
     (tmp_path / "big.csv").write_text("id, text \n\n" + "\n".join(lines[:9000]) + "\n , \n" + "\n".join(lines[9000:]) + "\n7\n")
@@ -107,7 +107,7 @@ def test_large_csv_is_split(spark, tmp_path):
         got = sorted(map(tuple, df.filter("file_name = 'big.csv'").collect()), key=lambda r: r[1])
         assert [r[1] for r in got] == list(range(2, 20_003)) and got[0][2] == ["id", "text"]
         assert [r[3] for r in got] == [[str(i), f'a "q" {i}, b'] for i in range(20_000)] + [["7", ""]]
-        assert [tuple(r) for r in df.filter("file_name = 'small.csv'").collect()] == [("small.csv", 2, ["x", "y", "z"], ["1", "2", "3"])]
+        assert [tuple(r) for r in df.filter("file_name = 'small.csv'").collect()] == [("small.csv", 2, ["x", "y", "z"], ["1", "2", "3"], None)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
