@@ -220,14 +220,15 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
 
 
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, file, start (ids of the shard before it) and the ids (little-endian, 32 bits each) of each entry."""
+    """doc_id, file, start and the ids (little-endian, 32 bits each) of each entry. ``start`` counts from the manifest's column
+    ``base``, the ids of all shards before this one; without that column from the shard's own beginning."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(folder)
         for batch in batches:
-            for name in batch.column("file").to_pylist():
+            for name, start in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 with fs.open_input_file(f"{base}/{name}") as source:
-                    rows, start, held = [], 0, 0
+                    rows, held = [], 0
                     for key, ids in ShardReader(source).scan():
                         rows.append((id_of(key), name, start, ids.tobytes()))
                         start, held = start + len(ids), held + len(ids)
@@ -237,7 +238,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield _rows(rows)
 
-    return manifest.select("file").repartition(max(1, partitions(manifest.sparkSession))).mapInArrow(read, "doc_id long, file string, start long, ids binary")
+    first = F.col("base") if "base" in manifest.columns else F.lit(0).cast("long")
+    return manifest.select("file", first.alias("base")).repartition(max(1, partitions(manifest.sparkSession))).mapInArrow(read, "doc_id long, file string, start long, ids binary")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -253,6 +255,6 @@ def shard_report(docs: DataFrame, tokenizer_path: str, end_id: int = 2, shard_by
     inside = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     parts = manifest.groupBy("part").agg(F.sum("n_tokens").alias("in_part"))
     parts = parts.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    base = manifest.join(parts, "part").select("file", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("base"))
-    found = read_shards(manifest, folder).select("doc_id", "file", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
-    return found.join(base, "file").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32", "file")
+    # the bases go with the files' names: the documents read are joined to nothing, so Spark has no side to misjudge and broadcast
+    based = manifest.join(parts, "part").select("file", (F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("base"))
+    return read_shards(based, folder).select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), "file")
