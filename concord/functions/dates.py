@@ -68,17 +68,22 @@ def _settled(r: Column) -> Column:
     )
 
 
+def _parts(t: Column) -> Column:
+    return F.split(F.regexp_replace(t, _PARTS, _OUT), "\x01")
+
+
+def _readings(r: Column) -> Column:
+    fits = r["shape"] != "no year"
+    return F.struct(r.alias("r"), F.when(fits, _iso(r["y"], r["m"], r["d"])).alias("one"), F.when(r["shape"] == DMY, _iso(r["y"], r["d"], r["m"])).alias("two"))
+
+
 def parse_date(c: Column) -> Column:
     """The calendar date that a text spells, as a struct: one regular expression, then numbers. Every step is bound once, so a
     filter on the result that the optimizer moves below it repeats one small expression."""
     from .text import trim_surrounding
 
-    def both(r: Column) -> Column:
-        fits = r["shape"] != "no year"
-        return F.struct(r.alias("r"), F.when(fits, _iso(r["y"], r["m"], r["d"])).alias("one"), F.when(r["shape"] == DMY, _iso(r["y"], r["d"], r["m"])).alias("two"))
-
-    parts = lambda t: F.struct(t.alias("t"), F.split(F.regexp_replace(t, _PARTS, _OUT), "\x01").alias("g"))
-    return let(let(let(let(trim_surrounding(c), parts), lambda x: _read(x["t"], x["g"])), both), _settled)
+    parts = lambda t: F.struct(t.alias("t"), _parts(t).alias("g"))
+    return let(let(let(let(trim_surrounding(c), parts), lambda x: _read(x["t"], x["g"])), _readings), _settled)
 
 
 def with_dates(df: DataFrame, made: dict[str, Column]) -> DataFrame:

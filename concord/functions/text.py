@@ -48,23 +48,23 @@ def _lookup(pairs: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(pairs.items()) for x in kv]), key)
 
 
-def canonical_enum(c: Column, field, rules: dict[str, str] | None = None) -> Column:
-    """A member, a learned spelling, or an alias of one; else null."""
+def canonical_enum(c: Column, field, rules: dict[str, str] | None = None, known: Column | None = None) -> Column:
+    """A member, a learned spelling (by ``rules``, or ``known`` already), or an alias of one; else null."""
     members = {v.lower().replace(" ", "").replace("_", "").replace("-", ""): v for v in reversed(field.values)}
     learned = {k: v for k, v in (rules or {}).items() if v in field.values}
     aliases = {k.lower().replace(" ", "").replace("_", "").replace("-", ""): v for k, v in field.value_aliases.items()}
-    return F.coalesce(_lookup(members, enum_key(c)), _lookup(learned, normalize_header(c)), _lookup(aliases, enum_key(c)))
+    return F.coalesce(_lookup(members, enum_key(c)), _lookup(learned, normalize_header(c)) if known is None else known, _lookup(aliases, enum_key(c)))
 
 
-def canonical_meaning(t: Column, field, rules: dict[str, str] | None = None, parsed: Column | None = None) -> Column:
+def canonical_meaning(t: Column, field, rules: dict[str, str] | None = None, parsed: Column | None = None, known: Column | None = None) -> Column:
     """What two spellings of one trimmed value share: blank is '', an unsettled date or enum is null. ``parsed`` is the
-    struct of a date's text."""
+    struct of a date's text, ``known`` what a rule makes of an enum's."""
     if field.kind == "date":
         from .dates import parse_date
 
         meaning = (parsed if parsed is not None else parse_date(t))["value"]
     elif field.kind == "enum":
-        meaning = canonical_enum(t, field, rules)
+        meaning = canonical_enum(t, field, rules, known)
     elif field.kind == "email":
         meaning = normalize_email(t)
     else:
@@ -72,14 +72,19 @@ def canonical_meaning(t: Column, field, rules: dict[str, str] | None = None, par
     return F.when(t == "", F.lit("")).otherwise(meaning)
 
 
-def with_meanings(df, contract, rules: dict[str, dict[str, str]] | None = None):
-    """Adds t_<field> (trimmed) and c_<field> (canonical meaning) of every field."""
+def with_meanings(df, contract, rules=None, only: Column | None = None):
+    """Adds t_<field> (trimmed) and c_<field> (canonical meaning) of every field, for rows where ``only`` holds."""
+    from ..operators.rulebook import learned_texts, learned_values
     from .dates import with_dates
 
-    df = df.withColumns({f"t_{f.name}": trim_surrounding(F.col(f.name)) for f in contract.fields})
+    value = lambda n: F.col(n) if only is None else F.when(only, F.col(n))
+    df = df.withColumns({f"t_{f.name}": trim_surrounding(value(f.name)) for f in contract.fields})
+    df = learned_texts(df, contract, rules)
     day = [f.name for f in contract.fields if f.kind == "date"]
     df = with_dates(df, {f"p_{n}": F.col(f"t_{n}") for n in day})
-    made = {f"c_{f.name}": canonical_meaning(F.col(f"t_{f.name}"), f, (rules or {}).get(f.name), F.col(f"p_{f.name}") if f.kind == "date" else None) for f in contract.fields}
+    known = lambda f: F.col(f"l_{f.name}") if f"l_{f.name}" in df.columns else None
+    given = learned_values(contract, rules)
+    made = {f"c_{f.name}": canonical_meaning(F.col(f"t_{f.name}"), f, given.get(f.name), F.col(f"p_{f.name}") if f.kind == "date" else None, known(f)) for f in contract.fields}
     return df.withColumns(made)
 
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from ..contract import Contract
 from ..functions.dates import settle_with, with_dates
 from ..functions.text import normalize_header, trim_surrounding
+from ..storage import few
+
+#: What values of enums mean: dictionaries by field, or a table (field, term, canonical; ``pos`` where terms repeat, the last wins).
+Rules = dict[str, dict[str, str]] | DataFrame | None
+#: Learned texts that a task may hold; beyond that rows and texts are joined by a shuffle.
+MOST_TEXTS = 1_000_000
 
 MAX_VALUE, MAX_RATIONALE = 120, 240
 
@@ -46,6 +52,32 @@ def update_versions(stored: DataFrame, changes: DataFrame, key: str, body: str)
     return out.select(key, (F.col("version") + F.when(hit, 1).otherwise(0)).alias("version"), F.when(hit, F.col("new.b")).otherwise(F.col(body)).alias(body))
 
 
+def learned_values(contract: Contract, rules: Rules) -> dict[str, dict[str, str]]:
+    """The rules that are given as dictionaries; a table has none of them."""
+    return {} if rules is None or isinstance(rules, DataFrame) else rules
+
+
+def learned_texts(df: DataFrame, contract: Contract, rules: Rules) -> DataFrame:
+    """Where rules are a table: adds l_<field> to rows with t_<field>, what a rule makes of the text of an enum, else null.
+
+    The distinct texts of the rows meet the rules, of which there may be any number, and only those with a rule that the contract
+    permits come back to the rows: as a copy in each task where they are few, by a join that Spark can split where not.
+    """
+    if not isinstance(rules, DataFrame):
+        return df
+    enums = [f for f in contract.fields if f.kind == "enum"]
+    term = lambda f: normalize_header(F.col(f"t_{f.name}"))
+    permitted = df.sparkSession.createDataFrame([(f.name, v) for f in enums for v in f.values], "field string, canonical string")
+    last = F.max_by("canonical", "pos") if "pos" in rules.columns else F.max("canonical")
+    fine = rules.join(F.broadcast(permitted), ["field", "canonical"]).groupBy("field", "term").agg(last.alias("canonical"))
+    texts = df.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), term(f).alias("term")) for f in enums])).alias("e")).select("e.*").filter("term <> ''").distinct()
+    found, _ = few(texts.join(fine, ["field", "term"]), MOST_TEXTS)
+    for f in enums:
+        own = found.filter(F.col("field") == f.name).select(F.col("term").alias("_term"), F.col("canonical").alias(f"l_{f.name}"))
+        df = df.withColumn("_term", term(f)).join(own, "_term", "left").drop("_term")
+    return df
+
+
 def toggle_overrides(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("owner", "targets_rule_id", "schema_id")) -> DataFrame:
     """One row for each key: the last state by ``pos``, those of ``new`` after all of ``old``."""
     both = old.withColumn("_late", F.lit(0)).unionByName(new.withColumn("_late", F.lit(1)))

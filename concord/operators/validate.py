@@ -9,6 +9,7 @@ from ..contract import Contract
 from ..functions.dates import let, settle_with
 from ..functions.shapes import IDENTIFIER, strict_email
 from ..functions.text import with_meanings
+from .rulebook import Rules
 
 
 def _error(cond: Column, name: str, code: str, message: Column | str) -> Column:
@@ -59,34 +60,36 @@ def unknown_fields(values: Column, contract: Contract) -> Column:
 _RULE = {"email": "lowercase_email_domain", "date": "normalize_date", "enum": "canonicalize_enum"}
 
 
-def two_pass(records: DataFrame, contract: Contract, rules: dict[str, dict[str, str]] | None = None, orders: dict[str, Column] | None = None) -> DataFrame:
-    """Adds first_errors, errors, repairs, passes, disposition. A record that is valid as it is stays untouched. ``orders`` has
-    the learned reading of dates by field."""
+def two_pass(
+    records: DataFrame, contract: Contract, rules: Rules = None, orders: dict[str, Column] | None = None, extra: Column | None = None, excluded: Column | None = None
+) -> DataFrame:
+    """Adds first_errors, errors, repairs, passes, disposition. A record that is valid as it is stays untouched, and so does one that
+    is ``excluded``, which is not validated at all. ``orders`` has the learned reading of dates by field, ``extra`` a map of
+    values that the contract may not know: those errors come first, and no repair mends them. Repairs are worked out for invalid
+    records alone."""
     orders, names = orders or {}, [f.name for f in contract.fields]
+    out = F.lit(False) if excluded is None else F.coalesce(excluded, F.lit(False))
     checked = let(F.struct(*names), lambda r: errors(contract, lambda n: r[n]))  # bound once: filters on the outcome stay small
-    df = with_meanings(records.withColumn("first_errors", checked), contract, rules)
-    fixed = {}
+    if extra is not None:
+        checked = F.concat(F.coalesce(unknown_fields(extra, contract), F.array().cast("array<struct<field:string,code:string,message:string>>")), checked)
+    df = records.withColumn("_out", out).withColumn("first_errors", F.when(F.col("_out"), F.slice(checked, 1, 0)).otherwise(checked))
+    # the row number keeps filters on the outcome above this point, where first_errors is a column and no expression to repeat
+    df = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_bad", (F.size("first_errors") > 0) & (F.col("_at") >= 0))
+    bad = F.col("_bad")
+    df, fixed = with_meanings(df, contract, rules, bad), {}
     for f in contract.fields:
         made = settle_with(F.col(f"p_{f.name}"), orders[f.name]) if f.name in orders else F.nullif(F.col(f"c_{f.name}"), F.lit(""))
         fixed[f"x_{f.name}"] = F.coalesce(made, F.col(f"t_{f.name}")) if f.kind in _RULE else F.col(f"t_{f.name}")
-    df, bad = df.withColumns(fixed), F.size("first_errors") > 0
-    entries = []
+    df, entries = df.withColumns(fixed), []
     for f in contract.fields:
         raw, t, x = (F.col(p + f.name) for p in ("", "t_", "x_"))
-        rule = "normalize_date_learned" if f.name in orders else _RULE.get(f.kind, "trim_whitespace")
-        for before, after, name in ((raw, t, "trim_whitespace"), (t, x, rule)):
-            entries.append(F.when(bad & (before != after), F.struct(F.lit(f.name).alias("field"), F.lit(name).alias("rule"), before.alias("before"), after.alias("after"))))
+        rule = F.lit(_RULE.get(f.kind, "trim_whitespace"))
+        if f.name in orders:
+            rule = F.when(F.col(f"p_{f.name}.status") == "ambiguous", F.lit("normalize_date_learned")).otherwise(rule)
+        for before, after, name in ((raw, t, F.lit("trim_whitespace")), (t, x, rule)):
+            entries.append(F.when(bad & (before != after), F.struct(F.lit(f.name).alias("field"), name.alias("rule"), before.alias("before"), after.alias("after"))))
     df = df.withColumn("repairs", F.array_compact(F.array(*entries)))
     df = df.withColumns({n: F.when(bad, F.col(f"x_{n}")).otherwise(F.col(n)) for n in names})
-    df = df.withColumn("errors", F.when(bad, checked).otherwise(F.col("first_errors"))).withColumn("passes", F.when(bad, 2).otherwise(1))
-    df = df.drop(*[p + n for n in names for p in ("t_", "c_", "p_", "x_")])
-    return df.withColumn("disposition", F.when(F.size("errors") == 0, F.lit("ready")).otherwise(F.lit("needs_review")))
-
-
-def validation_issues(validated: DataFrame) -> DataFrame:
-    """One blocking issue for each record that failed both passes, on the field of its first error."""
-    why = F.when(F.size("repairs") > 0, F.lit("repairs were applied and it is still invalid")).otherwise(F.lit("no safe repair existed"))
-    return validated.filter("size(errors) > 0").select(
-        F.concat_ws(":", F.lit("issue:invalid"), "id").alias("issue_id"), F.lit("VALIDATION_FAILED_TWICE").alias("type"), F.lit(True).alias("blocking"), "id",
-        F.col("errors")[0]["field"].alias("field"), F.col("errors")[0]["code"].alias("code"), why.alias("reason"),
-    )
+    df = df.withColumn("errors", F.when(bad, checked).otherwise(F.col("first_errors"))).withColumn("passes", F.when(F.col("_out"), 0).when(bad, 2).otherwise(1))
+    state = F.when(F.col("_out"), F.lit("excluded")).when(F.size("errors") == 0, F.lit("ready")).otherwise(F.lit("needs_review"))
+    return df.withColumn("disposition", state).drop("_out", "_at", "_bad", *[p + n for n in names for p in ("t_", "c_", "p_", "x_", "l_")])

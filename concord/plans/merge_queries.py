@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..contract import ORDER
-from ..operators import mapping, reconcile, validate
+from ..operators import issues, mapping, reconcile, validate
 from .base import ENUM, d_date, d_email, d_strict_email, d_tier, d_trim, query, table
 from .catalog import duck, view
 from .profile_queries import _PROFILED
@@ -55,8 +55,8 @@ _CONFLICT = " UNION ALL ".join(f"SELECT id, '{n}' AS field, array_to_string(list
 
 @query(_MERGE + f", c AS ({_CONFLICT}) SELECT 'issue:conflict:' || id || ':' || field AS issue_id, options FROM c")
 def merge_conflicts(spark, sf_dir):
-    found = reconcile.conflict_issues(reconcile.merge(union_rows(spark, sf_dir), ORDER))
-    return found.select("issue_id", F.array_join("options", "|").alias("options"))
+    found = issues.conflict_issues(reconcile.merge(union_rows(spark, sf_dir), ORDER), ORDER)
+    return found.select("issue_id", F.array_join(F.transform("options", lambda o: o["value"]), "|").alias("options"))
 
 
 @query(_MERGE + " SELECT 'rec:' || key AS id, string_agg('f' || file || ' row ' || k, ';' ORDER BY file, k) AS sources FROM u GROUP BY key")
@@ -125,9 +125,10 @@ def repair_log(spark, sf_dir):
     return validated(spark, sf_dir).select("id", F.explode("repairs").alias("r")).select("id", "r.*")
 
 
-@query(_VALID + ", r AS (" + _REPAIRS + ") SELECT 'issue:invalid:' || id AS issue_id, split_part(split_part(e2, ',', 1), ':', 1) AS field, split_part(split_part(e2, ',', 1), ':', 2) AS code, CASE WHEN id IN (SELECT id FROM r) THEN 'repairs were applied and it is still invalid' ELSE 'no safe repair existed' END AS reason FROM valid WHERE e2 <> ''")
+@query(_VALID + ", r AS (" + _REPAIRS + ") SELECT 'issue:invalid:' || id AS issue_id, split_part(split_part(e2, ',', 1), ':', 1) AS field, split_part(split_part(e2, ',', 1), ':', 2) AS code, \"orderRef\" || ' failed validation twice. ' || CASE WHEN id IN (SELECT id FROM r) THEN 'Safe repairs were applied and it is still invalid.' ELSE 'No safe automatic repair existed for this value.' END AS reason FROM valid WHERE e2 <> ''")
 def validation_issues(spark, sf_dir):
-    return validate.validation_issues(validated(spark, sf_dir)).select("issue_id", "field", "code", "reason")
+    found = issues.validation_issues(validated(spark, sf_dir), ORDER)
+    return found.select("issue_id", "field", F.col("detected_errors")[0]["code"].alias("code"), "reason")
 
 
 @query(_VALID + f", c AS ({_CONFLICT}), r AS (" + _REPAIRS + ") SELECT CASE WHEN e2 = '' THEN 'ready' ELSE 'needs_review' END AS disposition, count(*) AS records, CAST(sum(n_rows - 1) AS BIGINT) AS merged, count(*) FILTER (WHERE id IN (SELECT id FROM c)) AS conflicted, CAST(coalesce(sum(nr), 0) AS BIGINT) AS repairs FROM valid LEFT JOIN (SELECT id, count(*) AS nr FROM r GROUP BY 1) USING (id) GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..contract import ORDER
-from ..operators import mapping, profile, reconcile, review, rulebook
+from ..operators import issues, mapping, profile, reconcile, review, rulebook
 from .base import ENUM, d_trim, query, table
 from .catalog import duck, headers, view
 from .mapping_queries import _DECLARED, _SPELL
@@ -26,7 +26,7 @@ _ISSUES = "WITH i AS (SELECT 'issue:' || event_id AS issue_id, event_type AS rea
 def issue_union(spark, sf_dir):
     r = reconcile.merge(union_rows(spark, sf_dir), ORDER)
     d = reconcile.duplicates(r, ORDER).select(F.lit("DUPLICATE_EMAIL").alias("type"), F.lit(False).alias("blocking"))
-    return reconcile.conflict_issues(r).select("type", "blocking").unionAll(d).groupBy("type", "blocking").agg(F.count(F.lit(1)).alias("n"))
+    return issues.conflict_issues(r, ORDER).select("type", "blocking").unionAll(d).groupBy("type", "blocking").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(_ISSUES + ", n AS (SELECT issue_id, 'again ' || reason AS reason, 'open' AS status FROM i WHERE event_id % 2 = 0) SELECT i.issue_id, coalesce(n.reason, i.reason) AS reason, i.status, i.resolution FROM i LEFT JOIN n USING (issue_id)")
