@@ -11,10 +11,25 @@ MAX_ATTEMPTS = 3
 RETRYABLE = (408, 425, 429, 500, 502, 503, 504)
 
 
+def json_string(c: Column) -> Column:
+    """A text as a JSON string in ASCII: quotes, backslashes and control characters escaped, everything else beyond ASCII as the hex
+    digits of its UTF-16 units (two for a character beyond the first plane). All in JVM expressions; a text goes by runs of
+    plain and other characters, and one without others as it is."""
+    escape = F.lit("\\\\u$1")
+    units = lambda run: F.regexp_replace(F.lower(F.hex(F.encode(run, "UTF-16BE"))), F.lit("(.{4})"), escape)
+    named = {"\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f", '"': '\\"', "\\": "\\\\"}
+    short = F.create_map(*[F.lit(x) for kv in named.items() for x in kv])
+    runs = F.regexp_extract_all(c, F.lit(r'[\x20-\x7e&&[^"\\]]+|["\\\n\r\t\x08\f]|[^\x20-\x7e"\\\n\r\t\x08\f]+'), F.lit(0))
+    plain = r'\A[\x20-\x7e&&[^"\\]]*\z'
+    made = F.transform(runs, lambda r: F.coalesce(F.try_element_at(short, r), F.when(r.rlike(plain), r).otherwise(units(r))))
+    return F.concat(F.lit('"'), F.when(c.rlike(plain), c).otherwise(F.array_join(made, "")), F.lit('"'))
+
+
 def payload(contract: Contract, ordered: bool = False) -> Column:
-    """JSON of the filled fields, in contract order, or by name for hashing (UTF-8, sorted keys)."""
+    """JSON of the filled fields without blanks between them: in contract order as it is sent, or by name for hashing."""
     fields = sorted(contract.fields, key=lambda f: f.name) if ordered else contract.fields
-    return F.to_json(F.struct(*[F.nullif(F.col(f.name), F.lit("")).alias(f.name) for f in fields]))
+    entry = lambda f: F.when(F.col(f.name) != "", F.concat(F.lit(f'"{f.name}":'), json_string(F.col(f.name))))
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*map(entry, fields))), ","), F.lit("}"))
 
 
 def payload_hash(contract: Contract) -> Column:
@@ -84,9 +99,6 @@ def failure_text(body: Column, status: Column, attempt: Column) -> Column:
     return F.when(parsed.isNotNull(), worded).when(status.isin(*RETRYABLE), tried).otherwise(F.coalesce(F.get_json_object(body, "$.detail"), F.left(body, F.lit(200))))
 
 
-def find_receipt(receipts: DataFrame, key: str) -> DataFrame:
-    return receipts.filter(F.col("key") == key)
-
 
 def count_receipts(receipts: DataFrame, run: str) -> DataFrame:
     return receipts.filter(F.col("run_id") == run).agg(F.count(F.lit(1)).alias("n"))
