@@ -20,10 +20,13 @@ def spelling_index(spark: SparkSession, contract: Contract) -> DataFrame:
     return found.withColumn("ambiguous", F.size("targets") >= 2)
 
 
-def candidates(columns: DataFrame, contract: Contract, learned: DataFrame | None = None) -> DataFrame:
-    """columns: column_id, file_id, header, kinds. One row for each field that a header may name, with its basis."""
+def candidates(columns: DataFrame, contract: Contract, learned: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
+    """columns: column_id, file_id, header, kinds. One row for each field that a header may name, with its basis; none for ignored
+    headers (header, in normal form)."""
     spark = columns.sparkSession
     h = normalize_header(F.col("header"))
+    if ignored is not None:
+        columns = columns.join(ignored.select(F.col("header").alias("_ignored")), h == F.col("_ignored"), "left_anti")
     known = spellings(spark, contract)
     named = columns.withColumn("h", h).join(F.broadcast(known), F.col("h") == F.col("spelling"))
     basis = F.when(F.col("h") == F.lower("target"), F.lit("exact")).otherwise(F.lit("alias"))
@@ -51,7 +54,7 @@ def decide(columns: DataFrame, contract: Contract, learned: DataFrame | None = N
     if learned is not None:
         by_rule = index.drop("settled").join(learned.select(F.col("header").alias("h"), "field_name"), "h").filter(F.array_contains("targets", F.col("field_name"))).select("h", F.lit(True).alias("s")).distinct()
         index = index.join(by_rule, "h", "left").withColumn("settled", F.coalesce("s", F.lit(False)))
-    found = candidates(columns, contract, learned)
+    found = candidates(columns, contract, learned, ignored)
     each = found.groupBy("column_id").agg(F.count_if("viable").alias("n_viable"), F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("viable"), F.col("target"))).alias("one"))
     rows = rows.join(each, "column_id", "left").join(F.broadcast(index.select("h", "claimed", "settled")), "h", "left")
     lone = F.when((F.col("n_viable") == 1) & F.col("claimed").isNull() & ~F.col("skip"), F.col("one"))
@@ -64,13 +67,19 @@ def decide(columns: DataFrame, contract: Contract, learned: DataFrame | None = N
     return rows.select("column_id", "file_id", F.when(gate == "mapped", F.col("one")).alias("target"), outcome.alias("outcome"), gate.alias("gate"))
 
 
-def preview_change(columns: DataFrame, contract: Contract, rule: DataFrame) -> DataFrame:
-    """column_id, before, after of the columns whose target or outcome a header rule (header, field_name) would change."""
-    a, b = decide(columns, contract).alias("a"), decide(columns, contract, rule).alias("b")
+def preview_change(columns: DataFrame, contract: Contract, rule: DataFrame | None = None, ignored: DataFrame | None = None) -> DataFrame:
+    """column_id, before, after of the columns whose target or outcome a header rule (header, field_name) or a rule that leaves
+    headers out (header) would change."""
+    a, b = decide(columns, contract).alias("a"), decide(columns, contract, rule, ignored).alias("b")
     changed = a.join(b, "column_id").filter(~F.col("a.target").eqNullSafe(F.col("b.target")) | ~F.col("a.outcome").eqNullSafe(F.col("b.outcome")))
     return changed.select("column_id", F.col("a.target").alias("before"), F.col("b.target").alias("after"))
 
 
+def would_change(preview: DataFrame) -> DataFrame:
+    """One row: how many places a rule would change, and whether any."""
+    return preview.agg(F.count(F.lit(1)).alias("n")).withColumn("would_change", F.col("n") > 0)
+
+
 def with_profiles(columns: DataFrame, profiles: DataFrame) -> DataFrame:
     """Columns with the kinds of their profile; none where there is no profile."""
     kinds = profiles.select("column_id", F.col("detected_kinds").alias("kinds"))
@@ -78,11 +87,15 @@ def with_profiles(columns: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def required_missing(decisions: DataFrame, found: DataFrame, contract: Contract) -> DataFrame:
-    """Required fields that nothing supplies or offers; none while a column is unknown."""
+    """Required fields that no decision supplies and no undecided column offers; none while a column is unknown. A column with a
+    header of several fields or a mismatch, or one of several for a field, offers its candidates; an ignored one nothing."""
     spark = decisions.sparkSession
     wanted = spark.createDataFrame([(f.name,) for f in contract.fields if f.required], "target string")
     open_ = decisions.filter("gate = 'unknown'").limit(1)
-    return wanted.join(found.select("target").distinct(), "target", "left_anti").join(open_.select(F.lit(1).alias("one")), F.lit(True), "left_anti")
+    offers = found.join(decisions.select("column_id", "gate"), "column_id")
+    offers = offers.filter("gate IN ('contended', 'mismatch') OR gate = 'several' AND viable OR gate = 'shared_header' AND basis <> 'learned'").select("target")
+    there = offers.union(decisions.filter("outcome = 'AUTO_MAPPED'").select("target")).distinct()
+    return wanted.join(there, "target", "left_anti").join(open_.select(F.lit(1).alias("one")), F.lit(True), "left_anti")
 
 
 def effective(decisions: DataFrame) -> DataFrame:

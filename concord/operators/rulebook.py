@@ -91,9 +91,10 @@ def preview_value(samples: DataFrame, mapped: DataFrame, field: str, value: str,
     return hit.select("column_id", F.col("sample").alias("before"), F.lit(canonical).alias("after"))
 
 
-def preview_dates(samples: DataFrame, mapped: DataFrame, field: str, order: str) -> DataFrame:
-    """Ambiguous date samples of columns mapped to the field, as the reading settles them."""
-    mine = mapped.filter(F.col("target") == field).select("column_id").distinct()
+def preview_dates(samples: DataFrame, mapped: DataFrame, field: str | None, order: str, header: str | None = None) -> DataFrame:
+    """Ambiguous date samples as the reading settles them: of columns mapped to the field, or of those with the header (mapped:
+    column_id, target and, for a header, header)."""
+    mine = mapped.filter(F.col("target") == field if header is None else normalize_header(F.col("header")) == header).select("column_id").distinct()
     read = with_dates(samples.join(mine, "column_id", "left_semi"), {"_p": F.col("sample")}).filter("_p.status = 'ambiguous'")
     return read.select("column_id", F.col("sample").alias("before"), settle_with(F.col("_p"), F.lit(order)).alias("after"))
 

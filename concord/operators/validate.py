@@ -51,10 +51,13 @@ def errors(contract: Contract, col=F.col) -> Column:
 
 
 def unknown_fields(values: Column, contract: Contract) -> Column:
-    """Errors for the keys of a record (a map) that the contract does not have; they name no field."""
+    """The error for the keys of a record (a map) that the contract does not have, all in one; it names no field."""
     names = F.array_sort(F.array_except(F.map_keys(values), F.array(*[F.lit(f.name) for f in contract.fields])))
-    message = lambda n: F.concat(F.lit("Additional properties are not allowed ('"), n, F.lit("' was unexpected)"))
-    return F.transform(names, lambda n: F.struct(F.lit(None).cast("string").alias("field"), F.lit("additionalProperties").alias("code"), message(n).alias("message")))
+    quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
+    verb = F.when(F.size(names) == 1, F.lit(" was")).otherwise(F.lit(" were"))
+    message = F.concat(F.lit("Additional properties are not allowed ("), quoted, verb, F.lit(" unexpected) is not part of the target schema."))
+    error = F.struct(F.lit(None).cast("string").alias("field"), F.lit("additionalProperties").alias("code"), message.alias("message"))
+    return F.when(F.size(names) > 0, F.array(error)).otherwise(F.slice(F.array(error), 1, 0))
 
 
 _RULE = {"email": "lowercase_email_domain", "date": "normalize_date", "enum": "canonicalize_enum"}

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..contract import Contract, Field
+from ..operators.mapping import with_profiles
+from ..operators.profile import profile_columns
+from ..storage import materialise
 
 SPARK = {"long": "date_format({0}, 'd MMMM yyyy')", "us": "date_format({0}, 'MMMM d, yyyy')", "dmy": "date_format({0}, 'dd/MM/yyyy')", "mdy": "date_format({0}, 'MM/dd/yyyy')", "ymd": "date_format({0}, 'yyyy/MM/dd')", "iso": "date_format({0}, 'yyyy-MM-dd')"}
 DUCK = {"long": "strftime({0}, '%-d %B %Y')", "us": "strftime({0}, '%B %-d, %Y')", "dmy": "strftime({0}, '%d/%m/%Y')", "mdy": "strftime({0}, '%m/%d/%Y')", "ymd": "strftime({0}, '%Y/%m/%d')", "iso": "strftime({0}, '%Y-%m-%d')"}
@@ -42,16 +50,48 @@ def duck(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({sql(n, DUCK)})" for n in names)
 
 
-#: column_id, file_id, header, kinds; covers every mapping gate.
-HEADERS = [
-    ("f0:c0", "f0", "Order Ref", ["identifier", "text"]), ("f0:c1", "f0", "Customer E-mail", ["email", "text"]), ("f0:c2", "f0", " placed_date ", ["date", "text"]), ("f0:c3", "f0", "Priority", ["enum", "text"]),
-    ("f0:c4", "f0", "TIER", ["enum", "text"]), ("f0:c5", "f0", "Warehouse", ["text"]), ("f1:c0", "f1", "orderref", ["identifier", "text"]), ("f1:c1", "f1", "customeremail", ["text"]), ("f1:c2", "f1", "Date", ["date", "text"]),
-    ("f1:c3", "f1", "Shipped-Date", ["date", "text"]), ("f1:c4", "f1", "tier", []), ("f2:c0", "f2", "ordernumber", ["identifier", "text"]), ("f2:c1", "f2", "clientemail", ["email", "text"]), ("f2:c2", "f2", "dispatcheddate", ["date", "text"]),
-]
+#: Columns of the given tables as exports of their names: whole and text columns, dates as days.
+SOURCES = {
+    "region": ("r_regionkey", "r_name"), "nation": ("n_nationkey", "n_name", "n_regionkey"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "supplier": ("s_suppkey", "s_name", "s_nationkey"),
+    "part": ("p_partkey", "p_name", "p_brand", "p_type", "p_size"), "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority"), "events": ("event_id", "user_id", "event_type"),
+    "labels": ("doc_id", "quality", "toxic"),
+}
+#: column_id, file_id, header: a column's name without the letters of its table.
+NAMES = [(f"{t}:c{i}", t, re.sub("^[a-z]_", "", c)) for t, cs in SOURCES.items() for i, c in enumerate(cs)]
+#: A contract whose fields those columns name: alone, together, wrongly, or not at all.
+TRADE = Contract(
+    "Trade",
+    (
+        Field("orderKey", "identifier", "Order key", required=True, identity=True), Field("buyerKey", "identifier", "Buyer key", aliases=("custkey", "nationkey")), Field("partyName", "person_name", "Party name", required=True),
+        Field("goodName", "text", "Good name"), Field("orderDate", "date", "Order date", required=True), Field("orderStatus", "enum", "Order status", values=("O", "F", "P")),
+        Field("priorityMail", "email", "Priority mail", required=True, aliases=("orderpriority",)), Field("brandCode", "identifier", "Brand code", aliases=("brand", "type")),
+        Field("documentId", "identifier", "Document id", required=True, aliases=("doc_id",)), Field("shippedOn", "date", "Shipped on", required=True),
+    ),
+)
+
+
+def _cell(column: str) -> str:
+    return "CAST(CAST(o_orderdate AS DATE) AS STRING)" if column == "o_orderdate" else f"CAST({column} AS STRING)"
+
+
+def source_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ord, column_id, value of all cells of the sources."""
+    out = None
+    for t, cs in SOURCES.items():
+        wide = spark.read.parquet(f"{sf_dir}/{t}.parquet").selectExpr("0 AS ord", *[f"{_cell(c)} AS `{t}:c{i}`" for i, c in enumerate(cs)])
+        part = wide.unpivot(["ord"], [f"`{t}:c{i}`" for i in range(len(cs))], "column_id", "value")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """column_id, file_id, file_name, header and the kinds that the values of a column show."""
+    names = spark.createDataFrame(NAMES, "column_id string, file_id string, header string").withColumn("file_name", F.concat("file_id", F.lit(".csv")))
+    return materialise(with_profiles(names, profile_columns(source_cells(spark, sf_dir))), "columns")
 
 
-def headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HEADERS, "column_id string, file_id string, header string, kinds array<string>")
+#: The cells in SQL.
+CELLS_SQL = "cells AS (" + " UNION ALL ".join(f"SELECT '{t}:c{i}' AS column_id, {_cell(c)} AS v FROM {t}" for t, cs in SOURCES.items() for i, c in enumerate(cs)) + ")"
 
 
 def _text(x) -> str:

@@ -32,12 +32,16 @@ def profile_samples(spark, sf_dir):
 _VALUE_SHAPES = {"e": shapes.EMAIL, "p": shapes.PERSON.removeprefix("(?U)"), "i": shapes.IDENTIFIER, "x": shapes.ENUM.removeprefix("(?U)")}
 
 
-@query(
-    _CELLS + f", s AS (SELECT column_id, count(*) AS n, count(DISTINCT lower(t)) AS few, count(*) FILTER (WHERE {d_date('t')['status']} IN ('parsed', 'ambiguous')) AS d, "
+#: Kinds by column, from cells(column_id, t).
+KINDS_SQL = (
+    f"s AS (SELECT column_id, count(*) AS n, count(DISTINCT lower(t)) AS few, count(*) FILTER (WHERE {d_date('t')['status']} IN ('parsed', 'ambiguous')) AS d, "
     + ", ".join(f"count(*) FILTER (WHERE regexp_matches(t, '{v}')) AS {k}" for k, v in _VALUE_SHAPES.items())
-    + """ FROM cells WHERE t <> '' GROUP BY 1), k AS (SELECT column_id, 5 * e >= 4 * n AS e, 5 * d >= 4 * n AS d, 5 * p >= 4 * n AS p, 5 * i >= 4 * n AS i, 5 * x >= 4 * n AND few <= greatest(8, n // 5) AS x FROM s)
- SELECT column_id, coalesce(array_to_string(list_filter([CASE WHEN e THEN 'email' END, CASE WHEN d THEN 'date' END, CASE WHEN p THEN 'person_name' END, CASE WHEN i AND NOT e AND NOT d THEN 'identifier' END,
- CASE WHEN x AND NOT d THEN 'enum' END, CASE WHEN e IS NOT NULL THEN 'text' END], lambda v: v IS NOT NULL), ','), '') AS kinds FROM (SELECT DISTINCT column_id FROM cells) LEFT JOIN k USING (column_id)"""
+    + """ FROM cells WHERE t <> '' GROUP BY 1), k AS (SELECT column_id, 5 * e >= 4 * n AS e, 5 * d >= 4 * n AS d, 5 * p >= 4 * n AS p, 5 * i >= 4 * n AS i, 5 * x >= 4 * n AND few <= greatest(8, n // 5) AS x FROM s),
+ kinds AS (SELECT column_id, list_filter([CASE WHEN e THEN 'email' END, CASE WHEN d THEN 'date' END, CASE WHEN p THEN 'person_name' END, CASE WHEN i AND NOT e AND NOT d THEN 'identifier' END,
+ CASE WHEN x AND NOT d THEN 'enum' END, CASE WHEN e IS NOT NULL THEN 'text' END], lambda v: v IS NOT NULL) AS kinds FROM (SELECT DISTINCT column_id FROM cells) LEFT JOIN k USING (column_id))"""
 )
+
+
+@query(_CELLS + f", {KINDS_SQL} SELECT column_id, coalesce(array_to_string(kinds, ','), '') AS kinds FROM kinds")
 def detect_kinds(spark, sf_dir):
     return profile.profile_columns(_cells(spark, sf_dir)).select("column_id", F.array_join("detected_kinds", ",").alias("kinds"))

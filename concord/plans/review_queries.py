@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..contract import ORDER
-from ..operators import issues, mapping, profile, reconcile, review, rulebook
+from ..functions import text
+from ..operators import issues, profile, reconcile, review, rulebook
 from .base import ENUM, d_trim, query, table
-from .catalog import duck, headers, view
-from .mapping_queries import _DECLARED, _SPELL
+from .catalog import TRADE, columns, duck, view
+from .mapping_queries import _COLS, _DECLARED, _NORM, _SPELL
 from .merge_queries import _CANON, _CONFLICT, _MERGE, _Q, union_rows
 from .profile_queries import _CELLS, _PROFILED, _cells
 from .scalar_queries import _D
@@ -75,17 +76,19 @@ def rule_listing_overridden(spark, sf_dir):
     return review.overridden(rules, rules.filter("n % 4 = 3").select(F.col("rule_id").alias("targets_rule_id"), F.lit(True).alias("enabled"))).select("rule_id", "overridden")
 
 
-@query(f"WITH {_SPELL}, s AS (SELECT spelling, min(target) AS target FROM spell GROUP BY 1 HAVING count(*) = 1) SELECT 'HEADER_ALIAS' AS kind, target AS field_name, spelling AS term FROM s WHERE spelling <> lower(target) UNION ALL SELECT 'VALUE_ALIAS', 'tier', t FROM (VALUES {', '.join(repr((a,)).replace(',)', ')') for a in ENUM.value_aliases)}) v(t)")
-def builtin_rules(spark, sf_dir):
-    return review.builtin_rules(spark, ORDER).select("kind", "field_name", "term")
-
-
-_CHECKED = [("r1", "HEADER_ALIAS", "orderRef", "buyer", None), ("r2", "HEADER_ALIAS", "tier", "date", None), ("r3", "HEADER_ALIAS", "color", "colour", None), ("r4", "VALUE_ALIAS", "orderRef", "x", "y"), ("r5", "VALUE_ALIAS", "tier", "asap", "now"), ("r6", "VALUE_ALIAS", "tier", "asap", "urgent"), ("r7", "DATE_ORDER", "tier", None, None), ("r8", "DATE_ORDER", "placedDate", None, None)]
+_VALUES = ", ".join(f"('{a}', '{c}')" for a, c in ENUM.value_aliases.items())
 
 
-@query("SELECT * FROM (VALUES ('r1', NULL), ('r2', 'header is claimed by several fields'), ('r3', 'unknown field'), ('r4', 'not an enum field'), ('r5', 'not a permitted value'), ('r6', NULL), ('r7', 'not a date field'), ('r8', NULL)) t(rule_id, refused)")
-def rule_schema_check(spark, sf_dir):
-    return review.check_rules(spark.createDataFrame(_CHECKED, "rule_id string, kind string, field_name string, term string, canonical string"), ORDER)
+@query(
+    f"""{_COLS}, one AS (SELECT spelling, min(target) AS target FROM spell GROUP BY 1 HAVING count(*) = 1) SELECT 'HEADER_ALIAS' AS kind, target AS field_name, spelling AS term, CAST(NULL AS VARCHAR) AS canonical, count(*) AS n FROM one JOIN cols ON spelling = {_NORM} WHERE spelling <> lower(target) GROUP BY 2, 3
+ UNION ALL SELECT 'VALUE_ALIAS', 'tier', term, canonical, count(*) FROM (VALUES {_VALUES}) v(term, canonical) JOIN orders ON term = regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '', 'g') GROUP BY 3, 4"""
+)
+def builtin_rules(spark, sf_dir):
+    """Rules that come with a contract, and how many headers and values of the tables each of them reads."""
+    heads = columns(spark, sf_dir).select(text.normalize_header(F.col("header")).alias("term"), F.lit("HEADER_ALIAS").alias("kind"))
+    read = table(spark, sf_dir, "orders").select(text.normalize_header(F.col("o_orderpriority")).alias("term"), F.lit("VALUE_ALIAS").alias("kind"))
+    rules = review.builtin_rules(spark, TRADE).filter("kind = 'HEADER_ALIAS'").unionByName(review.builtin_rules(spark, ORDER).filter("kind = 'VALUE_ALIAS'"))
+    return heads.unionByName(read).join(F.broadcast(rules), ["kind", "term"]).groupBy("kind", "field_name", "term", "canonical").agg(F.count(F.lit(1)).alias("n"))
 
 
 _KIND_OF = ["HEADER_ALIAS", "VALUE_ALIAS", "DATE_ORDER", "COLUMN_IGNORE", "OVERRIDE"]
@@ -130,25 +133,6 @@ def rule_shape_check_events(spark, sf_dir):
     return e.select(F.col("event_id").alias("rule_id"), _pick(_KIND_OF, F.col("user_id")).alias("kind"), *parts).select("rule_id", rulebook.shape_error().alias("lacks"))
 
 
-@query("SELECT * FROM (VALUES ('f0:c5', NULL, 'tier')) t(column_id, before, after)")
-def rule_preview_header(spark, sf_dir):
-    some = headers(spark).filter(F.col("file_id").isin("f0") & ~F.col("column_id").isin("f0:c3", "f0:c4"))
-    return mapping.preview_change(some, ORDER, spark.createDataFrame([("warehouse", "tier")], "header string, field_name string"))
-
-
-_SHAPES = [
-    ("r1", "HEADER_ALIAS", "s", "buyer", "orderRef", None, None, None, None), ("r2", "HEADER_ALIAS", "s", "buyer", None, None, None, None, None), ("r3", "VALUE_ALIAS", "s", None, "tier", "asap", None, None, None),
-    ("r4", "DATE_ORDER", "s", None, "placedDate", None, None, None, None), ("r5", "DATE_ORDER", "s", None, None, None, None, "day_first", None), ("r6", "COLUMN_IGNORE", "s", "", None, None, None, None, None),
-    ("r7", "OVERRIDE", "s", None, None, None, None, None, None), ("r8", "OVERRIDE", "", None, None, None, None, None, "r1"), ("r9", "DATE_ORDER", "s", None, "placedDate", None, None, "day_first", None),
-]
-
-
-@query("SELECT * FROM (VALUES ('r1', NULL), ('r2', 'needs header and field'), ('r3', 'needs field, value and canonical value'), ('r4', 'needs a reading'), ('r5', 'needs column or field'), ('r6', 'needs header'), ('r7', 'needs the rule it disables'), ('r8', 'no schema'), ('r9', NULL)) t(rule_id, lacks)")
-def rule_shape_check(spark, sf_dir):
-    names = ("rule_id", "kind", "schema_id", "header", "field_name", "value", "canonical", "date_order", "targets_rule_id")
-    return spark.createDataFrame(_SHAPES, ", ".join(f"{n} string" for n in names)).select("rule_id", rulebook.shape_error().alias("lacks"))
-
-
 @query("SELECT c_custkey, left(regexp_replace(lower(c_name || ' (' || c_mktsegment || ')'), '[^a-z0-9]+', '', 'g'), 120) AS header, c_name AS canonical, left(repeat(c_name, 20), 240) AS rationale FROM customer")
 def rule_normalise(spark, sf_dir):
     c = table(spark, sf_dir, "customer")

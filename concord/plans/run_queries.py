@@ -8,61 +8,64 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..contract import ORDER
-from ..operators import deliver, issues, mapping, review, rulebook, views
-from .catalog import HEADERS, headers, values
+from ..operators import deliver, issues, mapping, profile, review, rulebook, views
 from .base import query, table
-from .mapping_queries import _DECIDE
-
-_FIELDS = values("fields", "target, label, required, place", [(f.name, f.title, f.required, i) for i, f in enumerate(ORDER.fields)])
-
-
-def _named(columns):
-    return columns.withColumn("file_name", F.concat("file_id", F.lit(".csv")))
-
+from .catalog import TRADE, columns, source_cells
+from .mapping_queries import _DECIDE, _MISSING, _TRADE, decided_without_unknown
 
 _MAPS = "string_agg('map:' || target, ',' ORDER BY place) || ',ignore'"
 
 
 @query(
-    _DECIDE + f""", {_FIELDS}, n AS (SELECT c.*, d.gate, d.one, f.label, f.required, f.place, k.header FROM cand c JOIN decided d USING (column_id) JOIN fields f USING (target) JOIN cols k USING (column_id))
-SELECT 'issue:competing:' || file_id || ':' || target AS issue_id, 'COMPETING_COLUMNS' AS type, required AS blocking, string_agg('use:' || column_id, ',' ORDER BY column_id) AS options,
+    _DECIDE + f""", {_TRADE}, firsts AS (SELECT column_id, min(t) AS sample FROM cells WHERE t <> '' GROUP BY 1), n AS (SELECT c.*, d.gate, d.one, f.label, f.required, f.place, k.header, s.sample FROM cand c JOIN decided d USING (column_id) JOIN fields f USING (target) JOIN cols k USING (column_id) LEFT JOIN firsts s USING (column_id))
+SELECT 'issue:competing:' || file_id || ':' || target AS issue_id, 'COMPETING_COLUMNS' AS type, required AS blocking, string_agg('use:' || column_id, ',' ORDER BY column_id) AS options, CAST(NULL AS VARCHAR) AS current_value,
   count(*) || ' columns in ' || file_id || '.csv could each be ' || label || ': ' || string_agg('"' || header || '"', ', ' ORDER BY column_id) || '. Only one can supply it, and the headers do not say which.' AS reason
   FROM n WHERE gate = 'contended' AND viable GROUP BY file_id, target, required, label
-UNION ALL SELECT 'issue:ambiguous:' || column_id, 'AMBIGUOUS_MAPPING', TRUE, {_MAPS}, '"' || header || '" in ' || file_id || '.csv could be ' || string_agg(label, ' or ' ORDER BY place) || '. The header does not say which, and picking wrong would silently corrupt every record in this file.'
+UNION ALL SELECT 'issue:ambiguous:' || column_id, 'AMBIGUOUS_MAPPING', TRUE, {_MAPS}, any_value(sample), '"' || header || '" in ' || file_id || '.csv could be ' || string_agg(label, ' or ' ORDER BY place) || '. The header does not say which, and picking wrong would silently corrupt every record in this file.'
   FROM n WHERE gate = 'shared_header' GROUP BY column_id, header, file_id
-UNION ALL SELECT 'issue:ambiguous:' || column_id, 'AMBIGUOUS_MAPPING', bool_or(required), {_MAPS}, '"' || header || '" in ' || file_id || '.csv could be ' || string_agg(label, ' and ' ORDER BY place) || ', and matches both equally well.'
+UNION ALL SELECT 'issue:ambiguous:' || column_id, 'AMBIGUOUS_MAPPING', bool_or(required), {_MAPS}, any_value(sample), '"' || header || '" in ' || file_id || '.csv could be ' || string_agg(label, ' and ' ORDER BY place) || ', and matches both equally well.'
   FROM n WHERE gate = 'several' AND viable GROUP BY column_id, header, file_id
-UNION ALL SELECT 'issue:mismatch:' || column_id, 'AMBIGUOUS_MAPPING', arg_min(required, place), 'map:' || arg_min(target, place) || ',ignore',
+UNION ALL SELECT 'issue:mismatch:' || column_id, 'AMBIGUOUS_MAPPING', arg_min(required, place), 'map:' || arg_min(target, place) || ',ignore', any_value(sample),
   '"' || header || '" in ' || file_id || '.csv looks like ' || arg_min(label, place) || ' by name, but its values do not match that shape. Applying it could corrupt the field.' FROM n WHERE gate = 'mismatch' GROUP BY column_id, header, file_id
-UNION ALL SELECT 'issue:unknown:' || column_id, 'AMBIGUOUS_MAPPING', FALSE, coalesce((SELECT string_agg('map:' || target, ',' ORDER BY place) || ',' FROM fields WHERE target NOT IN (SELECT one FROM decided WHERE gate = 'mapped')), '') || 'ignore',
-  '"' || header || '" in ' || file_id || '.csv does not match any target field, and could not be placed confidently. Choose a field for it or leave it out.' FROM decided JOIN cols USING (column_id, file_id) WHERE gate = 'unknown'"""
+UNION ALL SELECT 'issue:unknown:' || column_id, 'AMBIGUOUS_MAPPING', FALSE, coalesce((SELECT string_agg('map:' || target, ',' ORDER BY place) || ',' FROM fields WHERE target NOT IN (SELECT one FROM decided WHERE gate = 'mapped')), '') || 'ignore', sample,
+  '"' || header || '" in ' || file_id || '.csv does not match any target field, and could not be placed confidently. Choose a field for it or leave it out.' FROM decided JOIN cols USING (column_id, file_id) LEFT JOIN firsts USING (column_id) WHERE gate = 'unknown'"""
 )
 def mapping_issue_records(spark, sf_dir):
-    columns = _named(headers(spark))
-    found = issues.mapping_issues(columns, mapping.decide(columns, ORDER), mapping.candidates(columns, ORDER), ORDER)
-    return found.select("issue_id", "type", "blocking", F.array_join(F.transform("options", lambda o: o["id"]), ",").alias("options"), "reason")
-
-
-_SOME = [h for h in HEADERS if h[0] in ("f1:c0", "f1:c3")]
+    cols = columns(spark, sf_dir)
+    found = issues.mapping_issues(cols, mapping.decide(cols, TRADE), mapping.candidates(cols, TRADE), TRADE, profile.profile_samples(source_cells(spark, sf_dir)))
+    return found.select("issue_id", "type", "blocking", F.array_join(F.transform("options", lambda o: o["id"]), ",").alias("options"), "current_value", "reason")
 
 
 @query(
-    f"WITH {_FIELDS}, {values('cols', 'column_id, header', [(h[0], h[2]) for h in _SOME])} SELECT 'issue:missing:' || target AS issue_id, string_agg('use:' || column_id, ',' ORDER BY column_id) AS options, label || ' is required by the target schema, but none of the uploaded columns look like it. Records cannot be delivered without it.' AS reason FROM fields, cols WHERE required AND target NOT IN ('orderRef', 'shippedDate') GROUP BY target, label"
+    _MISSING + " SELECT 'issue:missing:' || target AS issue_id, string_agg('use:' || column_id, ',' ORDER BY column_id) AS options, label || ' is required by the target schema, but none of the uploaded columns look like it. Records cannot be delivered without it.' AS reason FROM missing, cols GROUP BY target, label"
 )
 def missing_field_issues(spark, sf_dir):
-    columns = _named(headers(spark).filter(F.col("column_id").isin(*[h[0] for h in _SOME])))
-    found = issues.mapping_issues(columns, mapping.decide(columns, ORDER), mapping.candidates(columns, ORDER), ORDER).filter("type = 'REQUIRED_FIELD_UNMAPPED'")
+    cols, decisions, known = decided_without_unknown(spark, sf_dir)
+    found = issues.mapping_issues(cols, decisions, known, TRADE).filter("type = 'REQUIRED_FIELD_UNMAPPED'")
     return found.select("issue_id", F.array_join(F.transform("options", lambda o: o["id"]), ",").alias("options"), "reason")
 
 
-@query(
-    _DECIDE + f""", {_FIELDS} SELECT column_id, target, CASE basis WHEN 'exact' THEN 'Header "' || header || '" is the target field name.' ELSE 'Header "' || header || '" is a known spelling of ' || label || '.' END || ' ' ||
-CASE WHEN NOT viable THEN 'Values look like ' || kinds[1] || ', which does not fit ' || label || '.' WHEN len(kinds) > 0 THEN 'Values look like ' || kinds[1] || ', which fits ' || label || '.' ELSE 'Column has no values to contradict the header.' END AS evidence
-FROM cand JOIN cols USING (column_id) JOIN fields USING (target)"""
-)
+_EVIDENCE = """CASE basis WHEN 'exact' THEN 'Header "' || header || '" is the target field name.' ELSE 'Header "' || header || '" is a known spelling of ' || label || '.' END || ' ' ||
+CASE WHEN NOT viable THEN 'Values look like ' || kinds[1] || ', which does not fit ' || label || '.' WHEN len(kinds) > 0 THEN 'Values look like ' || kinds[1] || ', which fits ' || label || '.' ELSE 'Column has no values to contradict the header.' END"""
+
+
+@query(_DECIDE + f", {_TRADE} SELECT column_id, target, {_EVIDENCE} AS evidence FROM cand JOIN cols USING (column_id) JOIN fields USING (target)")
 def mapping_evidence(spark, sf_dir):
-    found = issues.evidence(headers(spark), mapping.candidates(headers(spark), ORDER), ORDER)
-    return found.select("column_id", "target", F.array_join("evidence", " ").alias("evidence"))
+    cols = columns(spark, sf_dir)
+    return issues.evidence(cols, mapping.candidates(cols, TRADE), TRADE).select("column_id", "target", F.array_join("evidence", " ").alias("evidence"))
+
+
+@query(
+    _MISSING + f""", e AS (SELECT column_id, target, place, label, {_EVIDENCE} AS evidence FROM cand JOIN cols USING (column_id) JOIN fields USING (target))
+ SELECT column_id, CASE WHEN column_id IN (SELECT column_id FROM left_out) THEN 'A rule you approved leaves "' || header || '" out of migrations.'
+ WHEN gate = 'shared_header' THEN 'Header "' || header || '" names a concept shared by ' || (SELECT string_agg(label, ' and ' ORDER BY place) FROM e WHERE e.column_id = d.column_id) || '.'
+ WHEN gate = 'contended' THEN 'Another column in ' || d.file_id || '.csv claims the same target field.' WHEN gate = 'mapped' THEN (SELECT evidence FROM e WHERE e.column_id = d.column_id AND target = one)
+ ELSE (SELECT arg_min(evidence, place) FROM e WHERE e.column_id = d.column_id) END AS evidence FROM decided d JOIN cols USING (column_id)"""
+)
+def gate_evidence(spark, sf_dir):
+    """What each gate says of its decision, some headers being left out by rules."""
+    cols, decisions, known = decided_without_unknown(spark, sf_dir)
+    return issues.decision_evidence(cols, decisions, known, TRADE).select("column_id", F.array_join("evidence", " ").alias("evidence"))
 
 
 # --- decisions on issues: every event is an issue about the column or records of its user ---

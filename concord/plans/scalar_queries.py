@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..contract import COMPATIBLE
 from ..functions import dates, shapes, text
 from .base import ENUM, d_date, d_email, d_strict_email, d_tier, d_trim, query, table
 from .catalog import duck, values, view
@@ -84,12 +83,3 @@ def email_shapes(spark, sf_dir):
 def value_shapes(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select("p_partkey", F.replace("p_brand", F.lit("#"), F.lit("-")).rlike(shapes.IDENTIFIER).alias("identifier"), F.col("p_name").rlike(shapes.PERSON).alias("person"), F.col("p_type").rlike(shapes.ENUM).alias("enum"))
-
-
-_KINDS = list(COMPATIBLE)
-
-
-@query(f"WITH {values('a', 'target, kinds', [(k, list(v)) for k, v in COMPATIBLE.items()])}, {values('b', 'observed', [(k,) for k in _KINDS])} SELECT target, observed, list_contains(kinds, observed) AS compatible FROM a, b")
-def kinds_compatible_matrix(spark, sf_dir):
-    k = spark.createDataFrame([(a, b) for a in _KINDS for b in _KINDS], "target string, observed string")
-    return k.select("target", "observed", shapes.kinds_compatible(F.col("target"), F.array("observed")).alias("compatible"))
