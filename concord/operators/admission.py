@@ -5,7 +5,7 @@ no day, owner or lane is one task:
 
 * budget: x + n, composed by sums;
 * spacing: max(t, x + gap), composed by maxima after a shift (max-plus);
-* quota: x + 1 up to a cap and x - 1 down to zero, composed as tables over the cap + 1 states;
+* quota: x + 1 up to a cap and x - 1 down to zero, composed as clamped sums;
 * spacing with a bound on the wait: a request that would wait longer takes no slot. Its steps have no small composed form, so
   blocks are run with what the block before handed on, and run again while that changes. A moment without a queue cuts the
   chain, so two or three rounds do, and only changed blocks are read again.
@@ -117,12 +117,14 @@ def quota_with_release(events: DataFrame, by: Sequence[str], order: Sequence[str
     """Reservations and releases in order: adds ``used`` (after the event) and ``admitted``. A reservation is admitted while
     fewer than ``limit`` are held, and only an admitted one counts; a release frees one, never below zero."""
     placed = in_blocks(events.withColumn("_free", release), by, order, block)
-    step = lambda x, free: F.when(free, F.greatest(x - 1, F.lit(0))).otherwise(F.least(x + 1, F.lit(limit)))
-    # a block as a table: the state it leaves for each state that it may find
-    states = F.sequence(F.lit(0), F.lit(limit))
+    # a block as one clamped sum x -> min(high, max(low, x + by)); two of them in a row are one again
+    held = lambda x: F.least(F.greatest(x, F.lit(0)), F.lit(limit))
+    move = lambda o: F.when(o["_free"], F.lit(-1)).otherwise(F.lit(1))
     ops = placed.groupBy(G, B).agg(F.array_sort(F.collect_list(F.struct(*order, "_free"))).alias("ops"))
-    tables = ops.select(G, B, F.aggregate("ops", states, lambda a, o: F.transform(a, lambda x: step(x, o["_free"]))).alias("table"))
-    handed = carried(tables, "0", lambda state, block: F.element_at(block["table"], state + 1), "int", "handed")
+    first = F.struct(F.lit(0).alias("by"), F.lit(0).alias("low"), F.lit(limit).alias("high"))
+    fold = F.aggregate("ops", first, lambda a, o: F.struct((a["by"] + move(o)).alias("by"), held(a["low"] + move(o)).alias("low"), held(a["high"] + move(o)).alias("high")))
+    sums = ops.select(G, B, fold.alias("f")).select(G, B, "f.*")
+    handed = carried(sums, "0", lambda state, block: F.least(F.greatest(state + block["by"], block["low"]), block["high"]), "int", "handed")
 
     def walk(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x = 0

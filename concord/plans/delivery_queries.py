@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..contract import ORDER, infer_contract, parse_spec, to_yaml
+from ..contract import ORDER, infer_contract
 from ..functions import dates, text
 from ..operators import admission, deliver, profile, review
 from ..sources.csv_ranges import scan_csv
@@ -174,13 +172,6 @@ def import_limits(spark, sf_dir):
     return over_limits(rows, _LIMITS, files=3, total_rows=100)
 
 
-@query("SELECT * FROM (VALUES ('accountId', 'identifier', TRUE, TRUE, FALSE), ('email', 'email', TRUE, FALSE, TRUE), ('level', 'enum', FALSE, FALSE, FALSE), ('since', 'date', FALSE, FALSE, FALSE)) t(name, kind, required, identity, uniq)")
-def spec_import(spark, sf_dir):
-    spec = {"title": "Account", "required": ["accountId", "email"], "properties": {"accountId": {"type": "string"}, "email": {"type": "string", "format": "email"}, "level": {"enum": ["a", "b"]}, "since": {"type": "string", "format": "date-time"}}}
-    contract = parse_spec(to_yaml(parse_spec(json.dumps(spec))[0]))[0]
-    return spark.createDataFrame([(f.name, f.kind, f.required, f.identity, f.unique) for f in contract.fields], "name string, kind string, required boolean, identity boolean, uniq boolean")
-
-
 @query("SELECT * FROM (VALUES ('orderref', 'identifier'), ('customeremail', 'email'), ('placeddate', 'date'), ('shippeddate', 'date'), ('tier', 'identifier')) t(name, kind)")
 def infer_schema_fields(spark, sf_dir):
     found = {r["column_id"]: list(r["detected_kinds"]) for r in profile.profile_columns(_cells(spark, sf_dir)).collect()}  # one row for each column

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import scalar_queries, profile_queries, mapping_queries, merge_queries, review_queries, delivery_queries, run_queries, composed_queries  # noqa: F401, I001 - in this order
+from . import scalar_queries, profile_queries, mapping_queries, merge_queries, review_queries, delivery_queries, run_queries, composed_queries, more_queries  # noqa: F401, I001 - in this order
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

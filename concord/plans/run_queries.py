@@ -300,11 +300,6 @@ def next_sequence(spark, sf_dir):
     return review.next_sequence(table(spark, sf_dir, "events").select(F.col("event_id").alias("seq")))
 
 
-@query(f"SELECT * FROM ({' UNION ALL '.join(f'SELECT {chr(39)}{f.name}{chr(39)} AS name, {chr(39)}{f.title}{chr(39)} AS label, {f.identity} AS is_identity, {f.unique} AS is_unique' for f in ORDER.fields)})")
-def contract_fields(spark, sf_dir):
-    return views.contract_view(ORDER, spark).select("name", "label", "is_identity", "is_unique")
-
-
 # --- delivery ---
 @query("SELECT 'rec:' || o_orderkey AS id FROM orders WHERE o_orderkey % 7 = 2 OR o_orderkey % 7 = 0 AND o_orderkey % 2 = 0")
 def deliverable_records(spark, sf_dir):
