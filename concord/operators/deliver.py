@@ -154,3 +154,23 @@ def describe_columns(columns: DataFrame, profiles: DataFrame, samples: int = 3)
         F.when(F.col("examples") != "", F.concat(F.lit("examples=["), F.col("examples"), F.lit("]"))),
     )
     return rows.join(shown, "column_id").select("column_id", line.alias("line"))
+
+
+def describe_schema(contract: Contract, taken: DataFrame) -> DataFrame:
+    """place and line of what a prompt says of a contract: its name, the fields that no column supplies yet (``taken``: target), and
+    which are gone. Metadata: one line a field."""
+    from ..functions.text import safe_value
+
+    spark = taken.sparkSession
+    fields = spark.createDataFrame([(i + 3, f.name, f.required, f.kind, list(f.values)) for i, f in enumerate(contract.fields)], "place int, target string, required boolean, kind string, allowed array<string>")
+    each = fields.select("*", F.posexplode_outer("allowed").alias("at", "one")).withColumn("safe", F.when(F.col("one").isNotNull(), safe_value(F.col("one"))))
+    each = each.groupBy("place", "target", "required", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("safe").isNotNull(), F.struct("at", "safe")))), lambda x: x["safe"]), ", ").alias("values"))
+    asks = F.when(F.col("required"), F.lit("required")).otherwise(F.lit("optional"))
+    line = F.concat(F.lit("- "), F.col("target"), F.lit(" ("), asks, F.lit(", "), F.col("kind"), F.lit(")"), F.when(F.col("values") != "", F.concat(F.lit(" Allowed values: "), F.col("values"), F.lit("."))).otherwise(F.lit("")))
+    free = each.join(taken.select("target"), "target", "left_anti").select("place", line.alias("line"))
+    title = spark.createDataFrame([(contract.name,)], "name string").select(F.lit(0).alias("place"), F.concat(F.lit("Target schema: "), safe_value(F.col("name"))).alias("line"))
+    fixed = spark.createDataFrame([(1, ""), (2, "Permitted target fields:")], "place int, line string")
+    gone = taken.filter("target IS NOT NULL").agg(F.array_sort(F.collect_set("target")).alias("t")).filter("size(t) > 0")
+    last = F.concat(F.lit("Already supplied by another column, so not available: "), F.array_join("t", ", "), F.lit("."))
+    end = gone.select(F.explode(F.array(F.struct(F.lit(1000).alias("place"), F.lit("").alias("line")), F.struct(F.lit(1001).alias("place"), last.alias("line")))).alias("x")).select("x.*")
+    return title.unionByName(fixed).unionByName(free).unionByName(end)

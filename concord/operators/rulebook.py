@@ -99,7 +99,11 @@ def preview_dates(samples: DataFrame, mapped: DataFrame, field: str | None, orde
     return read.select("column_id", F.col("sample").alias("before"), settle_with(F.col("_p"), F.lit(order)).alias("after"))
 
 
-def generalisable(decisions: DataFrame, contract: Contract, types: tuple[str, ...]) -> DataFrame:
+#: Types of issue whose decisions are about a pattern and not about one record.
+TEACHABLE = ("AMBIGUOUS_MAPPING", "COMPETING_COLUMNS", "REQUIRED_FIELD_UNMAPPED", "AMBIGUOUS_DATE", "UNSAFE_CLEANUP")
+
+
+def generalisable(decisions: DataFrame, contract: Contract, types: tuple[str, ...] = TEACHABLE) -> DataFrame:
     """Decisions (type, action, header) that could teach a rule: of the types, not declined, not about a header several fields claim."""
     shared = [s for s, names in contract.spelling_index().items() if len(names) > 1]
     claimed = normalize_header(F.coalesce("header", F.lit(""))).isin(*shared) if shared else F.lit(False)
@@ -117,7 +121,7 @@ def accept_new(proposed: DataFrame, held: DataFrame, keys: tuple[str, ...] = _KE
     return first.join(held.select(*keys).distinct().alias("h"), same, "left_anti")
 
 
-DRAFTABLE, READINGS = ("HEADER_ALIAS", "VALUE_ALIAS", "DATE_ORDER"), ("day_first", "month_first")
+DRAFTABLE, READINGS = ("HEADER_ALIAS", "VALUE_ALIAS", "DATE_ORDER", "COLUMN_IGNORE"), ("day_first", "month_first")
 
 
 def verify_drafts(drafts: DataFrame, contract: Contract) -> DataFrame:

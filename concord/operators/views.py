@@ -29,8 +29,9 @@ def latest_decisions(mappings: DataFrame) -> DataFrame:
     return mappings.filter(F.col("column_id").isNotNull()).groupBy("column_id").agg(F.max_by(F.struct(*rest), "pos").alias("d")).select("column_id", "d.*")
 
 
-def counters(records: DataFrame, mappings: DataFrame, issues: DataFrame, source_rows: DataFrame) -> DataFrame:
-    """One row. records: disposition, n_repairs; mappings: column_id, pos, outcome, basis; issues: status, blocking; source_rows: n."""
+def counters(records: DataFrame, mappings: DataFrame, issues: DataFrame, source_rows: DataFrame, requests: DataFrame | None = None) -> DataFrame:
+    """One row. records: disposition, n_repairs; mappings: column_id, pos, outcome, basis; issues: status, blocking; source_rows: n;
+    requests: n, what each step has asked the model."""
     state = F.col("disposition")
     r = records.agg(
         F.count(F.lit(1)).alias("records"), F.coalesce(F.sum("n_repairs"), F.lit(0)).cast("long").alias("repairs"),
@@ -43,6 +44,8 @@ def counters(records: DataFrame, mappings: DataFrame, issues: DataFrame, source_
     i = issues.agg(_n((F.coalesce("status", F.lit("open")) == "open") & F.coalesce("blocking", F.lit(True))).alias("awaiting_review"))
     n = source_rows.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("source_rows"))
     merged = F.when(F.col("records") > 0, F.greatest(F.lit(0), F.col("source_rows") - F.col("records"))).otherwise(F.lit(0)).cast("long")
+    asked = F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("model_requests")
+    n = n.withColumn("model_requests", F.lit(0).cast("long")) if requests is None else n.crossJoin(requests.agg(asked))
     return r.crossJoin(m).crossJoin(i).crossJoin(n).withColumns({"merged": merged, "model_requests_avoided": F.col("learned_hits")})  # four single rows
 
 

@@ -210,3 +210,17 @@ def column_first_samples(spark, sf_dir):
     cells = source_cells(spark, sf_dir)
     first = profile.profile_samples(cells, 1).select("column_id", "sample")
     return first.join(profile.profile_columns(cells).select("column_id", F.col("distinct_count").alias("n")), "column_id")
+
+
+_FULL = values("full_", "place, target, kind, required, allowed", [(i + 3, f.name, f.kind, f.required, ", ".join(f'"{v}"' for v in f.values)) for i, f in enumerate(TRADE.fields)])
+
+
+@query(
+    _DECIDE + f""", {_FULL}, taken AS (SELECT DISTINCT one AS target FROM decided WHERE gate = 'mapped') SELECT 0 AS place, 'Target schema: "{TRADE.name}"' AS line UNION ALL SELECT 1, '' UNION ALL SELECT 2, 'Permitted target fields:'
+ UNION ALL SELECT place, '- ' || target || ' (' || CASE WHEN required THEN 'required' ELSE 'optional' END || ', ' || kind || ')' || CASE WHEN allowed <> '' THEN ' Allowed values: ' || allowed || '.' ELSE '' END FROM full_ WHERE target NOT IN (SELECT target FROM taken)
+ UNION ALL SELECT 1000, '' UNION ALL SELECT 1001, 'Already supplied by another column, so not available: ' || (SELECT string_agg(target, ', ' ORDER BY target) FROM taken) || '.'"""
+)
+def schema_description(spark, sf_dir):
+    """What a prompt says of the contract once the tables' columns are mapped."""
+    taken = mapping.decide(columns(spark, sf_dir), TRADE).filter("gate = 'mapped'").select("target").distinct()
+    return deliver.describe_schema(TRADE, taken)

@@ -175,12 +175,14 @@ def rule_preview_date(spark, sf_dir):
     return rulebook.preview_dates(samples, mapped, "placedDate", "day_first")
 
 
-@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view') AND event_id % 4 NOT IN (1, 2) AND event_id % 5 <> 0")
+@query("SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'signup') AND event_id % 4 NOT IN (1, 2) AND event_id % 5 <> 0")
 def decisions_that_generalise(spark, sf_dir):
     n = F.col("event_id")
     action = F.when(n % 4 == 1, F.lit("reject")).when(n % 4 == 2, F.lit("exclude")).otherwise(F.lit("map"))
-    d = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("type"), action.alias("action"), F.when(n % 5 == 0, F.lit(" Date ")).otherwise(F.lit("Warehouse")).alias("header"))
-    return rulebook.generalisable(d, ORDER, ("click", "view")).select("event_id")
+    kinds = {"click": "COMPETING_COLUMNS", "view": "AMBIGUOUS_DATE", "signup": "UNSAFE_CLEANUP", "error": "VALIDATION_FAILED_TWICE", "purchase": "IDENTITY_CONFLICT"}
+    kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("event_type")]
+    d = table(spark, sf_dir, "events").select("event_id", kind.alias("type"), action.alias("action"), F.when(n % 5 == 0, F.lit(" Date ")).otherwise(F.lit("Warehouse")).alias("header"))
+    return rulebook.generalisable(d, ORDER).select("event_id")
 
 
 @query("SELECT 'rule_' || user_id % 40 AS rule_id, CAST(count(*) + CASE WHEN user_id % 40 < 10 THEN 100 ELSE 0 END AS BIGINT) AS hits FROM events GROUP BY user_id % 40")

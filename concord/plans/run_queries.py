@@ -164,8 +164,8 @@ def date_order_precedence(spark, sf_dir):
     return review.date_orders(c, _active(spark, sf_dir)).select("event_id", "date_order")
 
 
-@query(_R + """ SELECT rule_id, CASE WHEN event_id % 13 = 0 THEN 'The model judged that this decision does not generalise.' WHEN kind IN ('COLUMN_IGNORE', 'OVERRIDE') THEN 'The model proposed a kind of rule the engine does not accept.'
- WHEN kind = 'DATE_ORDER' AND event_id % 10 = 2 THEN 'The drafted date rule named no usable reading.' WHEN kind = 'HEADER_ALIAS' AND (term IS NULL OR field_name IS NULL) THEN 'needs header and field' WHEN kind = 'VALUE_ALIAS' AND (field_name IS NULL OR term IS NULL) THEN 'needs field, value and canonical value'
+@query(_R + """ SELECT rule_id, CASE WHEN event_id % 13 = 0 THEN 'The model judged that this decision does not generalise.' WHEN kind = 'OVERRIDE' THEN 'The model proposed a kind of rule the engine does not accept.'
+ WHEN kind = 'DATE_ORDER' AND event_id % 10 = 2 THEN 'The drafted date rule named no usable reading.' WHEN kind = 'COLUMN_IGNORE' THEN CASE WHEN term IS NULL THEN 'needs header' END WHEN kind = 'HEADER_ALIAS' AND (term IS NULL OR field_name IS NULL) THEN 'needs header and field' WHEN kind = 'VALUE_ALIAS' AND (field_name IS NULL OR term IS NULL) THEN 'needs field, value and canonical value'
  WHEN kind = 'DATE_ORDER' AND term IS NULL AND field_name IS NULL THEN 'needs column or field' WHEN kind = 'HEADER_ALIAS' AND term = 'date' THEN 'header is claimed by several fields' WHEN (kind <> 'DATE_ORDER' OR field_name IS NOT NULL) AND field_name = 'nothing' THEN 'unknown field'
  WHEN kind = 'VALUE_ALIAS' AND field_name <> 'tier' THEN 'not an enum field' WHEN kind = 'VALUE_ALIAS' AND canonical <> 'low' THEN 'not a permitted value' WHEN kind = 'DATE_ORDER' AND field_name = 'tier' THEN 'not a date field' END AS refused,
  CASE WHEN kind IN ('VALUE_ALIAS', 'DATE_ORDER') THEN 'value' ELSE 'column' END AS scope FROM r""")
@@ -211,14 +211,15 @@ def _mappings(spark, sf_dir):
 _COUNTED = """WITH m AS (SELECT user_id, arg_max(event_id, event_id) AS n FROM events GROUP BY 1), mm AS (SELECT count(*) FILTER (WHERE n % 3 <> 2) AS auto_mapped, count(*) FILTER (WHERE n % 3 = 2) AS escalated, count(*) FILTER (WHERE n % 3 <> 2) AS rule_hits, count(*) FILTER (WHERE n % 3 = 1) AS learned_hits FROM m),
  r AS (SELECT count(*) AS records, CAST(sum(o_orderkey % 3) AS BIGINT) AS repairs, count(*) FILTER (WHERE o_orderkey % 7 > 2) AS delivered, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS failed, count(*) FILTER (WHERE o_orderkey % 7 = 1) AS excluded, count(*) FILTER (WHERE o_orderkey % 7 = 2) AS retrying FROM orders),
  i AS (SELECT count(*) FILTER (WHERE event_id % 4 = 0) AS awaiting_review FROM events), n AS (SELECT count(*) AS source_rows FROM lineitem),
- c AS (SELECT *, greatest(0, source_rows - records) AS merged, learned_hits AS model_requests_avoided FROM r, mm, i, n)"""
+ q AS (SELECT CAST(sum(event_id % 2) AS BIGINT) AS model_requests FROM events), c AS (SELECT *, greatest(0, source_rows - records) AS merged, learned_hits AS model_requests_avoided FROM r, mm, i, n, q)"""
 
 
 def _counted(spark, sf_dir, open_issues: bool = True):
     status = F.when(F.col("event_id") % 4 == 0, F.lit("open" if open_issues else "resolved")).otherwise(F.lit("resolved"))
     i = table(spark, sf_dir, "events").select(status.alias("status"), F.lit(True).alias("blocking"))
     rows = table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"))
-    return views.counters(_records(spark, sf_dir), _mappings(spark, sf_dir), i, rows)
+    asked = table(spark, sf_dir, "events").select((F.col("event_id") % 2).alias("n"))
+    return views.counters(_records(spark, sf_dir), _mappings(spark, sf_dir), i, rows, asked)
 
 
 @query(_COUNTED + " SELECT * FROM c")
