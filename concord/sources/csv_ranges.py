@@ -24,7 +24,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trim_surrounding
-from ..operators.blocks import B, G, carried
 from ..storage import few, materialise
 
 _QUOTED = r'(?:[^"]++|"")*+'
@@ -73,9 +72,16 @@ def _states(given: DataFrame) -> DataFrame:
     # lines without a quote change nothing, so only the others leave the JVM
     found = given.filter(F.contains("value", F.lit('"'))).select("path", "range", "value").mapInPandas(ends, "path string, range long, outside_to boolean, inside_to boolean")
     every = given.groupBy("path", "range").agg(F.count(F.lit(1)).alias("n_lines")).join(found, ["path", "range"], "left")
-    table = every.select(F.struct("path").alias(G), F.col("range").alias(B), F.coalesce("outside_to", F.lit(False)).alias("outside_to"), F.coalesce("inside_to", F.lit(True)).alias("inside_to"))
-    begins = carried(table, "false", lambda inside, b: F.when(inside, b["inside_to"]).otherwise(b["outside_to"]), "boolean", "inside")
-    return begins.select(F.col(f"{G}.path").alias("path"), F.col(B).alias("range"), "inside")
+    # a range leaves one state whatever it finds, turns it over, or keeps it: what counts is the last that fixed it and the turns since
+    out, kept = F.coalesce("outside_to", F.lit(False)), F.coalesce("inside_to", F.lit(True))
+    every = every.select("path", "range", F.when(out == kept, out).alias("fixed"), (out & ~kept).cast("int").alias("turn"))
+    order = Window.partitionBy("path").orderBy("range")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    every = every.withColumn("turns", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.last(F.when(F.col("fixed").isNotNull(), F.struct("fixed", "turns")), ignorenulls=True).over(earlier)
+    every = every.select("path", "range", last.alias("last"), F.coalesce(F.lag("turns").over(order), F.lit(0)).alias("before"))
+    odd = (F.col("before") - F.coalesce("last.turns", F.lit(0))) % 2 == 1
+    return every.select("path", "range", (F.coalesce("last.fixed", F.lit(False)) != odd).alias("inside"))
 
 
 def _with(given: DataFrame, ranges: DataFrame) -> DataFrame:
