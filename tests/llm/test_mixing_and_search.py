@@ -56,6 +56,16 @@ def test_mix(spark):
     assert mix_report(frame(spark, [])).collect() == []
 
 
+def test_targets_of_many_sources_below_their_limits(spark):
+    from concord.llm.mixing import source_targets
+
+    for sizes in ({f"src{i}": 900 + 37 * (i * 7 % 20) for i in range(20)} | {None: 500, "": 0}, {"a": 10, "b": 10, "c": 10}, {"a": 7, "b": 100_000, "c": 3, "d": 0}):
+        want = plain_targets(sizes)
+        got = {r["source"]: r["target"] for r in source_targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[s], want[s], abs_tol=1e-6) for s in want)
+        assert math.isclose(sum(got.values()), 1.5 * sum(sizes.values())) and all(0 <= got[s] <= 2 * sizes[s] for s in sizes)
+
+
 def test_ranges_are_bounded_whatever_the_weights(spark):
     from concord.llm.mixing import in_ranges, mix
 
