@@ -51,10 +51,12 @@ def spelling_index(spark, sf_dir):
     return columns(spark, sf_dir).join(found, normalize_header(F.col("header")) == F.col("spelling")).select("column_id", F.array_join("targets", ",").alias("targets"), "ambiguous")
 
 
-@query(f"{_ALL}, {spell_sql(EMPLOYEE)} SELECT column_id, string_agg(target, ',' ORDER BY target) AS targets, count(*) > 1 AS ambiguous FROM cols JOIN spell ON spelling = {_NORM} GROUP BY 1")
+@query(f"{_ALL}, {spell_sql(EMPLOYEE)}, i AS (SELECT spelling, string_agg(target, ',' ORDER BY target) AS targets, count(*) > 1 AS ambiguous FROM spell GROUP BY 1) SELECT spelling, targets, ambiguous, column_id FROM i LEFT JOIN cols ON spelling = {_NORM}")
 def spelling_index_employee(spark, sf_dir):
+    """Every spelling of the contract, with the columns whose header it is (null: none)."""
     found = mapping.spelling_index(spark, EMPLOYEE)
-    return columns(spark, sf_dir).join(found, normalize_header(F.col("header")) == F.col("spelling")).select("column_id", F.array_join("targets", ",").alias("targets"), "ambiguous")
+    named = columns(spark, sf_dir).select("column_id", normalize_header(F.col("header")).alias("h"))
+    return found.join(named, F.col("spelling") == F.col("h"), "left").select("spelling", F.array_join("targets", ",").alias("targets"), "ambiguous", "column_id")
 
 
 @query(_ALL + " SELECT column_id, file_id, header, array_to_string(kinds, ',') AS kinds FROM cols")
