@@ -36,7 +36,7 @@ def _iso(y: Column, m: Column, d: Column) -> Column:
     return F.when(real, F.concat(y.cast("string"), F.lit("-"), two(m), F.lit("-"), two(d)))
 
 
-def _read(t: Column, g: Column) -> Column:
+def _read_parts(g: Column) -> dict[str, Column]:
     """The parts as numbers, in the first reading (day first, where numbers leave a choice), and what shape they have."""
     n = lambda i: F.nullif(g[i], F.lit("")).cast("int")  # noqa: E731 - digits or nothing, so no cast fails
     names = F.expr("map(" + ", ".join(f"'{m}', {i}" for m, i in MONTH_NUMBERS.items()) + ")")
@@ -45,22 +45,30 @@ def _read(t: Column, g: Column) -> Column:
         .when(F.length(g[0]) == 4, F.lit(YEAR_FIRST)).when(F.length(g[3]) == 4, F.lit(DMY)).otherwise(F.lit("no year"))
     )
     word = F.concat(g[4], g[8])
-    return F.struct(
-        t.alias("t"), shape.alias("shape"), word.alias("word"), F.coalesce(n(6), n(9), F.when(F.length(g[0]) == 4, n(0)).otherwise(n(3))).alias("y"),
-        F.when(word != "", F.try_element_at(names, F.lower(word))).otherwise(n(2)).alias("m"), F.coalesce(n(5), n(7), F.when(F.length(g[0]) == 4, n(3)).otherwise(n(0))).alias("d"),
-    )
+    return {
+        "shape": shape, "word": word, "y": F.coalesce(n(6), n(9), F.when(F.length(g[0]) == 4, n(0)).otherwise(n(3))),
+        "m": F.when(word != "", F.try_element_at(names, F.lower(word))).otherwise(n(2)), "d": F.coalesce(n(5), n(7), F.when(F.length(g[0]) == 4, n(3)).otherwise(n(0))),
+    }
+
+
+def _read(t: Column, g: Column) -> Column:
+    return F.struct(t.alias("t"), *[c.alias(n) for n, c in _read_parts(g).items()])
 
 
 def _settled(r: Column) -> Column:
-    """status (empty, parsed, ambiguous, invalid), value, format, day_first, month_first, reason."""
-    t, shape, one, two = r["r"]["t"], r["r"]["shape"], r["one"], r["two"]
+    return _outcome(*[r["r"][n] for n in ("t", "shape", "word", "m")], r["one"], r["two"])
+
+
+def _outcome(t: Column, shape: Column, word: Column, m: Column, one: Column, two: Column, always: Column | None = None) -> Column:
+    """status (empty, parsed, ambiguous, invalid), value, format, day_first, month_first, reason. ``always`` is a condition that holds
+    for every row and that status and value shall depend on."""
     ambiguous = F.coalesce(one != two, F.lit(False))
-    value = F.when(~ambiguous, F.coalesce(one, two))
+    value = F.when(~ambiguous if always is None else ~ambiguous & always, F.coalesce(one, two))
     status = F.when(t.isNull() | (t == ""), F.lit("empty")).when(ambiguous, F.lit("ambiguous")).when(value.isNotNull(), F.lit("parsed")).otherwise(F.lit("invalid"))
     fmt = F.when(shape != DMY, shape).when(one == two, F.lit(EITHER_WAY)).when(one.isNotNull(), F.lit(DMY)).otherwise(F.lit(MDY))
     reason = (
         F.when(shape == "", F.concat(F.lit('"'), t, F.lit('" is not a recognised date format'))).when(shape == "no year", F.concat(t, F.lit(" has no four-digit year, so the century would be a guess")))
-        .when((r["r"]["word"] != "") & r["r"]["m"].isNull(), F.concat(F.lit('unrecognised month "'), r["r"]["word"], F.lit('"'))).otherwise(F.concat(t, F.lit(" is not a real calendar date")))
+        .when((word != "") & m.isNull(), F.concat(F.lit('unrecognised month "'), word, F.lit('"'))).otherwise(F.concat(t, F.lit(" is not a real calendar date")))
     )
     return F.struct(
         status.alias("status"), value.alias("value"), F.when(value.isNotNull(), fmt).alias("format"), F.when(shape == DMY, one).alias("day_first"), F.when(shape == DMY, two).alias("month_first"),
@@ -87,8 +95,25 @@ def parse_date(c: Column) -> Column:
 
 
 def with_dates(df: DataFrame, made: dict[str, Column]) -> DataFrame:
-    """Adds a parsed struct for each named text."""
-    return df.withColumns({n: parse_date(c) for n, c in made.items()})
+    """Adds a parsed struct, as ``parse_date`` makes it, for each named text. Here each step is a plain column, so all of it is
+    generated code; the row number keeps filters on the outcome above the steps, which they would repeat."""
+    from .text import trim_surrounding
+
+    if not made:
+        return df
+    own = {n: f"_{i}_dates" for i, n in enumerate(made)}
+    at = lambda n, part: F.col(f"{own[n]}_{part}")
+    out = df.withColumns({f"{own[n]}_t": trim_surrounding(c) for n, c in made.items()})
+    out = out.withColumns({f"{own[n]}_g": _parts(at(n, "t")) for n in made})
+    # every column below is used several times by the next step and is no struct, so the optimizer leaves it a column
+    read = {n: _read_parts(at(n, "g")) for n in made}
+    out = out.withColumns({f"{own[n]}_{part}": c for n in made for part, c in read[n].items()})
+    shape, number = (lambda n: at(n, "shape")), lambda n: [at(n, x) for x in "ymd"]
+    fits = {n: F.when(shape(n) != "no year", _iso(*number(n))) for n in made}
+    swapped = {n: F.when(shape(n) == DMY, _iso(at(n, "y"), at(n, "d"), at(n, "m"))) for n in made}
+    out = out.withColumns({f"{own[n]}_one": fits[n] for n in made} | {f"{own[n]}_two": swapped[n] for n in made} | {"_at_dates": F.monotonically_increasing_id()})
+    out = out.withColumns({n: _outcome(*[at(n, x) for x in ("t", "shape", "word", "m", "one", "two")], F.col("_at_dates") >= 0) for n in made})
+    return out.drop("_at_dates", *[f"{o}_{x}" for o in own.values() for x in ("t", "g", "shape", "word", "y", "m", "d", "one", "two")])
 
 
 def learned_date(c: Column, order: Column) -> Column:

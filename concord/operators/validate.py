@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..contract import Contract
-from ..functions.dates import let, settle_with
+from ..functions.dates import settle_with
 from ..functions.shapes import IDENTIFIER, strict_email
 from ..functions.text import with_meanings
 from .rulebook import Rules
@@ -14,7 +14,7 @@ from .rulebook import Rules
 
 def _error(cond: Column, name: str, code: str, message: Column | str) -> Column:
     m = message if isinstance(message, Column) else F.lit(message)
-    return F.when(cond, F.struct(F.lit(name).alias("field"), F.lit(code).alias("code"), m.alias("message")))
+    return F.when(cond, F.array(F.struct(F.lit(name).alias("field"), F.lit(code).alias("code"), m.alias("message"))))
 
 
 def errors(contract: Contract, col=F.col) -> Column:
@@ -47,7 +47,17 @@ def errors(contract: Contract, col=F.col) -> Column:
             earlier = col(f.not_before)
             text = F.concat_ws(" ", F.lit(f.title), v, F.lit("is before"), F.lit(contract[f.not_before].title), F.concat(earlier, F.lit(".")))
             extra.append(_error((v != "") & (earlier != "") & (v < earlier), f.name, "end_before_start", text))
-    return F.array_compact(F.array(*out, *[m for m in missing if m is not None], *extra))
+    return _joined([*out, *[m for m in missing if m is not None], *extra], ERROR)
+
+
+def _joined(entries: list[Column], kind: str) -> Column:
+    """The entries that are there (arrays of one, or null), in their order, as generated code: array_compact and lambdas run outside of it,
+    with all that stands below them."""
+    none = F.array().cast(f"array<{kind}>")
+    return F.concat(*[F.coalesce(e, none) for e in entries])
+
+
+ERROR, REPAIR = "struct<field:string,code:string,message:string>", "struct<field:string,rule:string,before:string,after:string>"
 
 
 def unknown_fields(values: Column, contract: Contract) -> Column:
@@ -72,9 +82,9 @@ def two_pass(
     records alone."""
     orders, names = orders or {}, [f.name for f in contract.fields]
     out = F.lit(False) if excluded is None else F.coalesce(excluded, F.lit(False))
-    checked = let(F.struct(*names), lambda r: errors(contract, lambda n: r[n]))  # bound once: filters on the outcome stay small
+    checked = errors(contract)
     if extra is not None:
-        checked = F.concat(F.coalesce(unknown_fields(extra, contract), F.array().cast("array<struct<field:string,code:string,message:string>>")), checked)
+        checked = F.concat(F.coalesce(unknown_fields(extra, contract), F.array().cast(f"array<{ERROR}>")), checked)
     df = records.withColumn("_out", out).withColumn("first_errors", F.when(F.col("_out"), F.slice(checked, 1, 0)).otherwise(checked))
     # the row number keeps filters on the outcome above this point, where first_errors is a column and no expression to repeat
     df = df.withColumn("_at", F.monotonically_increasing_id()).withColumn("_bad", (F.size("first_errors") > 0) & (F.col("_at") >= 0))
@@ -90,9 +100,12 @@ def two_pass(
         if f.name in orders:
             rule = F.when(F.col(f"p_{f.name}.status") == "ambiguous", F.lit("normalize_date_learned")).otherwise(rule)
         for before, after, name in ((raw, t, F.lit("trim_whitespace")), (t, x, rule)):
-            entries.append(F.when(bad & (before != after), F.struct(F.lit(f.name).alias("field"), name.alias("rule"), before.alias("before"), after.alias("after"))))
-    df = df.withColumn("repairs", F.array_compact(F.array(*entries)))
+            entries.append(F.when(bad & (before != after), F.array(F.struct(F.lit(f.name).alias("field"), name.alias("rule"), before.alias("before"), after.alias("after")))))
+    df = df.withColumn("repairs", _joined(entries, REPAIR))
     df = df.withColumns({n: F.when(bad, F.col(f"x_{n}")).otherwise(F.col(n)) for n in names})
-    df = df.withColumn("errors", F.when(bad, checked).otherwise(F.col("first_errors"))).withColumn("passes", F.when(F.col("_out"), 0).when(bad, 2).otherwise(1))
-    state = F.when(F.col("_out"), F.lit("excluded")).when(F.size("errors") == 0, F.lit("ready")).otherwise(F.lit("needs_review"))
-    return df.withColumn("disposition", state).drop("_out", "_at", "_bad", *[p + n for n in names for p in ("t_", "c_", "p_", "x_", "l_")])
+    df = df.withColumns({"errors": F.when(bad, checked).otherwise(F.col("first_errors")), "_end": F.monotonically_increasing_id()})
+    # once more: filters on what comes out stay above the columns that they would otherwise work out a second time
+    once = {n: F.when(F.col("_end") >= 0, F.col(n)) for n in ("first_errors", "errors", "repairs")}
+    state = F.when(F.col("_out"), F.lit("excluded")).when((F.size("errors") == 0) & (F.col("_end") >= 0), F.lit("ready")).otherwise(F.lit("needs_review"))
+    df = df.withColumns(once | {"disposition": state, "passes": F.when(F.col("_out"), 0).when(bad, 2).otherwise(1)})
+    return df.drop("_out", "_at", "_bad", "_end", *[p + n for n in names for p in ("t_", "c_", "p_", "x_", "l_")])
