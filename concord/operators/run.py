@@ -70,10 +70,10 @@ def clean_and_validate(
     """(records, issues, events) of records as ``reconcile.merge`` makes them. Records are in the order of ``first_ord``; events are
     numbered from ``next_seq`` on in that order and end with a summary."""
     given = corrected(records, corrections, exclusions, contract)
-    done = two_pass(given, contract, rules, orders, excluded=F.col("excluded")).withColumn("events", record_events(contract))
+    placed = in_blocks(given, [], ["first_ord"], ranges=ranges)  # before the work, as Spark's range partitioner reads its input twice
+    done = two_pass(placed, contract, rules, orders, excluded=F.col("excluded")).withColumn("events", record_events(contract))
     why = F.coalesce("exclusion_reason", F.lit(EXCLUDED)) if "exclusion_reason" in records.columns else F.lit(EXCLUDED)
-    done = done.withColumn("exclusion_reason", F.when(F.col("excluded"), why))
-    placed = in_blocks(done, [], ["first_ord"], ranges=ranges)
+    placed = materialise(done.withColumn("exclusion_reason", F.when(F.col("excluded"), why)), "validated")
     counted = running_sum(placed.select(G, B, "first_ord", "events"), ["first_ord"], F.size("events").cast("long"), "_upto")
     each = counted.select("_upto", F.size("events").alias("_n"), F.posexplode("events").alias("_i", "e"))
     stream = each.select((F.col("_upto") - F.col("_n") + F.col("_i") + F.lit(next_seq)).cast("long").alias("seq"), "e.*")
