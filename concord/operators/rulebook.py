@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from ..contract import Contract
 from ..functions.dates import settle_with, with_dates
 from ..functions.text import normalize_header, trim_surrounding
-from ..storage import few
+from ..storage import materialise
 
 #: What values of enums mean: dictionaries by field, or a table (field, term, canonical; ``pos`` where terms repeat, the last wins).
 Rules = dict[str, dict[str, str]] | DataFrame | None
 #: Learned texts that a task may hold; beyond that rows and texts are joined by a shuffle.
 MOST_TEXTS = 1_000_000
+#: Rows with one text from which on it counts as a crowd, whose rows one task of a shuffle should not all receive.
+CROWD = 10_000
 
 MAX_VALUE, MAX_RATIONALE = 120, 240
 
@@ -61,7 +63,8 @@ def learned_texts(df: DataFrame, contract: Contract, rules: Rules) -> DataFrame:
     """Where rules are a table: adds l_<field> to rows with t_<field>, what a rule makes of the text of an enum, else null.
 
     The distinct texts of the rows meet the rules, of which there may be any number, and only those with a rule that the contract
-    permits come back to the rows: as a copy in each task where they are few, by a join that Spark can split where not.
+    permits come back to the rows: as a copy in each task where they are few, by a shuffle where not. Texts that crowds of rows share
+    are copied to all tasks even then, and their rows are dealt out evenly.
     """
     if not isinstance(rules, DataFrame):
         return df
@@ -70,11 +73,23 @@ def learned_texts(df: DataFrame, contract: Contract, rules: Rules) -> DataFrame:
     permitted = df.sparkSession.createDataFrame([(f.name, v) for f in enums for v in f.values], "field string, canonical string")
     last = F.max_by("canonical", "pos") if "pos" in rules.columns else F.max("canonical")
     fine = rules.join(F.broadcast(permitted), ["field", "canonical"]).groupBy("field", "term").agg(last.alias("canonical"))
-    texts = df.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), term(f).alias("term")) for f in enums])).alias("e")).select("e.*").filter("term <> ''").distinct()
-    found, _ = few(texts.join(fine, ["field", "term"]), MOST_TEXTS)
+    texts = df.select(F.explode(F.array(*[F.struct(F.lit(f.name).alias("field"), term(f).alias("term")) for f in enums])).alias("e")).select("e.*").filter("term <> ''")
+    texts = texts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("n"))
+    met = materialise(texts.join(fine, ["field", "term"], "left").filter(F.col("canonical").isNotNull() | (F.col("n") >= CROWD)), "texts")
+    crowds = met.filter(F.col("n") >= CROWD).select("field", "term", "canonical")  # at most one in CROWD texts
+    found = met.filter(F.col("n") < CROWD).select("field", "term", "canonical")
+    few_texts = met.count() <= MOST_TEXTS
     for f in enums:
-        own = found.filter(F.col("field") == f.name).select(F.col("term").alias("_term"), F.col("canonical").alias(f"l_{f.name}"))
-        df = df.withColumn("_term", term(f)).join(own, "_term", "left").drop("_term")
+        own = lambda t, c: t.filter(F.col("field") == f.name).select(F.col("term").alias("_term"), F.col("canonical").alias(c))  # noqa: B023, E731
+        df = df.withColumn("_term", term(f))
+        if few_texts:
+            df = df.join(F.broadcast(own(met.filter("canonical IS NOT NULL"), f"l_{f.name}")), "_term", "left").drop("_term")
+            continue
+        # rows with a text of a crowd, or with none, meet no text in the shuffle: a number that is no term deals them out evenly
+        df = df.join(F.broadcast(own(crowds, "_crowd").withColumn("_in", F.lit(True))), "_term", "left")
+        spread = F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string"))
+        df = df.withColumn("_term", F.when(F.col("_in") | (F.coalesce("_term", F.lit("")) == ""), spread).otherwise(F.col("_term")))
+        df = df.join(own(found, "_own"), "_term", "left").withColumn(f"l_{f.name}", F.coalesce("_crowd", "_own")).drop("_term", "_crowd", "_in", "_own")
     return df
 
 
