@@ -3,8 +3,8 @@
 A vector is a sparse row of (term, integer weight) pairs, a term being a component's position. Candidates are
 packed into blocks of ``BLOCK_ROWS``; a block keeps one posting list per term. Queries are packed into blocks
 as well, and every query block meets every candidate block (a stated query set against all rows, in blocks): candidate
-blocks are dealt out once, over as many groups as there are shuffle partitions, and the query blocks, the smaller side by
-far, go to every group. In a task, each term in turn scatters its weighted postings into dense score arrays; a partition selection
+blocks are dealt out once, over groups, and the query blocks, the smaller side by far, go to every group, by a shuffle and never
+by a broadcast. In a task, each term in turn scatters its weighted postings into dense score arrays; a partition selection
 keeps the k best of the block per query, and a window merges the blocks' lists.
 
 Defined results: vectors that are null or hold a null or non-finite component take no part; vectors of
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import group_count, materialise, met
 
 BLOCK_ROWS, QUERY_ROWS = 8192, 2048
 _SAFE = 1 << 23  # below it, 2**16 products stay within 62 bits
@@ -54,13 +54,29 @@ def _weights(values, scale: float) -> np.ndarray:
     return exact
 
 
+def narrow(weights: np.ndarray) -> np.ndarray:
+    """Weights as they are stored: in the fewest bytes that hold them and their negatives."""
+    if weights.dtype == object:
+        return weights
+    most = np.abs(weights).max(initial=0)
+    return weights.astype(np.int16 if most < 1 << 15 else np.int32)
+
+
+def score_type(rows: np.ndarray, other: np.ndarray):
+    """The type in which all sums of products of stored weights are exact; objects as they are."""
+    if rows.dtype == object or other.dtype == object:
+        return None
+    most = int(np.abs(rows).max(initial=0)) * int(np.abs(other).max(initial=0)) * min(rows.shape[1], other.shape[1])
+    return np.int32 if most < 1 << 31 else np.int64
+
+
 def postings(weights: np.ndarray) -> list[tuple[int, np.ndarray | None, np.ndarray]]:
-    """(term, rows or None for all rows, their weights) of each term in use."""
+    """(term, rows or None for all rows, their weights) of each term in use. A list of most rows is cheaper with its zeros."""
     out = []
     for term in range(weights.shape[1]):
         column = weights[:, term]
         rows = np.flatnonzero(column)
-        if len(rows) == len(column):
+        if 2 * len(rows) > len(column):
             out.append((term, None, np.ascontiguousarray(column)))
         elif len(rows):
             out.append((term, rows, column[rows]))
@@ -70,7 +86,7 @@ def postings(weights: np.ndarray) -> list[tuple[int, np.ndarray | None, np.ndarr
 def accumulate(query: np.ndarray, lists, n: int) -> np.ndarray:
     """Scores of n candidates for one query, one term after the other."""
     small = query.dtype != object and all(w.dtype != object for _, _, w in lists)
-    scores = np.zeros(n, np.int64 if small else object)
+    scores = np.zeros(n, np.result_type(query, *(w for _, _, w in lists)) if small else object)
     for term, rows, weights in lists:
         if term < len(query) and (q := query[term]) != 0:
             if not small:
@@ -108,7 +124,7 @@ def _pack(rows: DataFrame, name: str, size: int, scale: float) -> DataFrame:
             nonlocal made
             made += 1
             w = _weights(values, scale)
-            return pd.DataFrame({name: [part * 1_000_000 + made], f"{name}_data": [pickle.dumps((np.array(ids, np.int64), w if w.dtype == object else w.astype(np.int32)))]})
+            return pd.DataFrame({name: [part * 1_000_000 + made], f"{name}_data": [pickle.dumps((np.array(ids, np.int64), narrow(w)))]})
 
         for batch in batches:
             for i, v in zip(batch["vec_id"], batch["v"]):
@@ -126,28 +142,27 @@ def _pack(rows: DataFrame, name: str, size: int, scale: float) -> DataFrame:
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each query row."""
     given = taking_part(vectors, id_col, vector_col)
-    queries = given.filter(is_query(F.col("vec_id")))
+    asked_rows = is_query(F.col("vec_id"))
+    count = given.agg(F.count(F.lit(1)).alias("rows"), F.count_if(asked_rows).alias("asked")).first()
     blocks = _pack(given, "block", BLOCK_ROWS, scale)
-    asked = materialise(_pack(queries.repartition(queries.count() // QUERY_ROWS + 1), "asked", QUERY_ROWS, scale), "queries")
-    groups = partitions(vectors.sparkSession)
+    asked = materialise(_pack(given.filter(asked_rows).repartition(count["asked"] // QUERY_ROWS + 1), "asked", QUERY_ROWS, scale), "queries")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = ids = lists = None
+        held = own = rows = None
         for batch in batches:
-            for block, block_data, number, asked_data in zip(batch["block"], batch["block_data"], batch["asked"], batch["asked_data"]):
-                if block != held:
-                    ids, weights = pickle.loads(block_data)
-                    held, lists = block, postings(weights if weights.dtype == object else weights.astype(np.int64))
-                own, rows = pickle.loads(asked_data)
-                rows = rows if rows.dtype == object else rows.astype(np.int64)
+            for block_data, number, asked_data in zip(batch["block_data"], batch["asked"], batch["asked_data"]):
+                if number != held:
+                    held, (own, rows) = number, pickle.loads(asked_data)
+                ids, weights = pickle.loads(block_data)
+                kind = score_type(rows, weights)
+                lists, wanted = (postings(weights), rows) if kind is None else (postings(weights.astype(kind)), rows.astype(kind))
                 out = []
                 for i, query_id in enumerate(own):
-                    found = best(accumulate(rows[i], lists, len(ids)), ids, ids != query_id, k)
+                    found = best(accumulate(wanted[i], lists, len(ids)), ids, ids != query_id, k)
                     out += [(int(query_id), int(number) * QUERY_ROWS + i, v, s) for v, s in found]
                 yield pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
 
-    dealt = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    pairs = dealt.join(asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group").drop("group")
+    pairs = met(blocks, asked, group_count(vectors.sparkSession, count["rows"], count["asked"]))
     partial = pairs.mapInPandas(search, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     merged = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
