@@ -1,8 +1,8 @@
 """Hard-negative mining by a full sort of each anchor's scores (operator 11).
 
 Rows are packed into blocks of ``BLOCK_ROWS`` with their integer vectors, ids and labels, anchors into blocks of their own,
-and every anchor block meets every block of rows (a stated query set against all rows, in blocks). Candidate blocks are dealt out once;
-the anchor blocks, a small share of the rows, go to each group of blocks. Two passes:
+and every anchor block meets every block of rows (a stated query set against all rows, in blocks). Candidate blocks are dealt out once
+a pass; the anchor blocks, a small share of the rows, go to each group of blocks, by a shuffle and never by a broadcast. Two passes:
 
 1. positives: an anchor's scores over the same-label rows of a block are sorted by score and id; the blocks' first rows merge
    by a window into the anchor's positives.
@@ -29,8 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import finite, materialise, partitions
-from .topk import _HIGH, _LOW, _weights
+from .common import finite, group_count, materialise, met
+from .topk import _HIGH, _LOW, _weights, narrow
 
 BLOCK_ROWS, ANCHOR_ROWS = 8192, 1024
 POSITIVES, NEGATIVES = 5, 5
@@ -55,7 +55,7 @@ def product(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
         if most < 1 << 53:
             return (a.astype(float) @ b.astype(float).T).astype(np.int64)
         if most < 1 << 63:
-            return a @ b.T
+            return a.astype(np.int64) @ b.astype(np.int64).T
     return np.clip(a.astype(object) @ b.astype(object).T, _LOW, _HIGH).astype(np.int64)
 
 
@@ -82,7 +82,7 @@ def _blocks(rows: DataFrame, name: str, size: int, scale: float) -> DataFrame:
             while len(held) >= size or (batch is None and len(held)):
                 now, held = held.iloc[:size], held.iloc[size:]
                 w = _weights(now["v"].tolist(), scale)
-                data = (now["vec_id"].to_numpy(np.int64), now["label"].to_numpy(np.int64), w if w.dtype == object else w.astype(np.int32))
+                data = (now["vec_id"].to_numpy(np.int64), now["label"].to_numpy(np.int64), narrow(w))
                 yield pd.DataFrame({name: [(part << 32) + made], f"{name}_data": [pickle.dumps(data)]})
                 made += 1
 
@@ -122,25 +122,23 @@ def hard_negatives(
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score and negative_score. ``label`` is a column, ``label`` if not given."""
     given = labelled(vectors, F.col("label") if label is None else label, id_col, vector_col)
-    anchors = given.filter(is_anchor(F.col("vec_id")))
-    groups = partitions(vectors.sparkSession)
-    blocks = materialise(_blocks(given, "block", block_rows, scale).withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")), "blocks")
-    asked = materialise(_blocks(anchors.repartition(anchors.count() // ANCHOR_ROWS + 1), "asked", ANCHOR_ROWS, scale), "anchors")
-
-    def meet(asked: DataFrame) -> DataFrame:
-        return blocks.join(asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "group").drop("group")
+    asked_rows = is_anchor(F.col("vec_id"))
+    count = given.agg(F.count(F.lit(1)).alias("rows"), F.count_if(asked_rows).alias("asked")).first()
+    groups = group_count(vectors.sparkSession, count["rows"], count["asked"], block_rows)
+    blocks = materialise(_blocks(given, "block", block_rows, scale), "blocks")
+    asked = materialise(_blocks(given.filter(asked_rows).repartition(count["asked"] // ANCHOR_ROWS + 1), "asked", ANCHOR_ROWS, scale), "anchors")
 
     def same(own_id, own_label, scores, ids, labels, _):
         rows = np.flatnonzero((labels == own_label) & (ids != own_id))
         best = rows[by_score(scores[rows], ids[rows])[:positives]]
         return [(own_id, int(ids[r]), int(scores[r])) for r in best]
 
-    found = _each(meet(asked), same, "asked long, i int, anchor_id long, positive_id long, positive_score long")
+    found = _each(met(blocks, asked, groups), same, "asked long, i int, anchor_id long, positive_id long, positive_score long")
     first = Window.partitionBy("asked", "i").orderBy(F.col("positive_score").desc(), "positive_id")
     found = found.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= positives)
     # at most ANCHOR_ROWS * positives entries a block
     lists = found.filter("positive_score >= 0").groupBy("asked").agg(F.collect_list(F.struct(*_WANTED)).alias("all"))
-    wanted = asked.join(lists, "asked").select("asked", "asked_data", *(F.col(f"all.{c}").alias(f"{c}s") for c in _WANTED))
+    wanted = asked.join(lists.hint("merge"), "asked").select("asked", "asked_data", *(F.col(f"all.{c}").alias(f"{c}s") for c in _WANTED))
 
     def other(own_id, own_label, scores, ids, labels, mine):
         if not mine:
@@ -154,7 +152,7 @@ def hard_negatives(
                 yield own_id, place, positive_id, high, int(ids[r]), int(scores[r])
 
     schema = "asked long, i int, anchor_id long, place int, positive_id long, positive_score long, negative_id long, negative_score long"
-    near = _each(meet(materialise(wanted, "positives")), other, schema, wanted=True)
+    near = _each(met(blocks, materialise(wanted, "positives"), groups), other, schema, wanted=True)
     order = Window.partitionBy("asked", "i", "place").orderBy(F.col("negative_score").desc(), "negative_id")
     near = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
     return near.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

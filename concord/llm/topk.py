@@ -162,7 +162,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
                     out += [(int(query_id), int(number) * QUERY_ROWS + i, v, s) for v, s in found]
                 yield pd.DataFrame(out, columns=["query_id", "query_row", "vec_id", "score"])
 
-    pairs = met(blocks, asked, group_count(vectors.sparkSession, count["rows"], count["asked"]))
+    pairs = met(blocks, asked, group_count(vectors.sparkSession, count["rows"], count["asked"], BLOCK_ROWS))
     partial = pairs.mapInPandas(search, "query_id long, query_row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
     merged = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

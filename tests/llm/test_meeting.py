@@ -36,9 +36,10 @@ def test_copies_follow_the_rows_not_the_partitions(spark, many_partitions):
     from concord.llm.common import GROUP_ROWS, group_count, met
 
     least = 4 * spark.sparkContext.defaultParallelism
-    assert group_count(spark, 1000, 20) == min(60, max(50, least))
-    assert group_count(spark, 1000, 1000) == group_count(spark, 0, 0) == min(60, least)
-    assert group_count(spark, 100 * GROUP_ROWS, 2 * GROUP_ROWS) == 100
+    assert group_count(spark, 1000, 20, 10) == min(60, max(50, least))
+    assert group_count(spark, 1000, 1000, 10) == min(60, least)
+    assert group_count(spark, 1000, 20, 800) == 3 and group_count(spark, 0, 0, 10) == 1
+    assert group_count(spark, 100 * GROUP_ROWS, 2 * GROUP_ROWS, 8192) == 100
     blocks, asked = spark.range(40).select(F.col("id").alias("block"), F.lit("b").alias("block_data")), spark.range(7).withColumnRenamed("id", "asked")
     pairs = Counter((x["asked"], x["block"]) for x in met(blocks, asked, 5).collect())
     assert pairs == Counter((a, b) for a in range(7) for b in range(40))
@@ -57,3 +58,32 @@ def test_scores_in_narrow_types():
         lists = postings(stored.astype(kind))
         for q, plain in zip(asked.astype(kind), query):
             assert accumulate(q, lists, 50).tolist() == [sum(int(a) * int(b) for a, b in zip(plain, w)) for w in rows]
+
+
+def test_negatives_broadcast_no_copies(spark, many_partitions, monkeypatch):
+    from concord.llm import negatives
+
+    from .test_negatives_whitening_online import plain_negatives
+
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.integers(-9, 9, 4)], int(r.integers(0, 4))) for i in range(600)]
+    plans, written = [], negatives.materialise
+    monkeypatch.setattr(negatives, "materialise", lambda df, name: (plans.append(plan(df)), written(df, name))[1])
+    got = negatives.hard_negatives(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), lambda v: v % 100 == 0, negatives.shifted(*_columns("vec_id", "label")))
+    assert Counter(map(tuple, got.collect())) == plain_negatives(rows)
+    assert not any("Broadcast" in p for p in [*plans, plan(got)]) and sum("SortMergeJoin" in p for p in [*plans, plan(got)]) == 2
+
+
+def _columns(*names):
+    from pyspark.sql import functions as F
+
+    return [F.col(n) for n in names]
+
+
+def test_products_of_stored_weights_are_exact():
+    from concord.llm.negatives import product
+    from concord.llm.topk import narrow
+
+    for kind in (2**15 - 1, 2**23 - 1):  # sums beyond 53 bits with 300 of the latter
+        rows, other = np.full((2, 300), kind), np.full((3, 300), -(2**23 - 1))
+        assert product(narrow(rows), narrow(other)).tolist() == [[-300 * kind * (2**23 - 1)] * 3] * 2
